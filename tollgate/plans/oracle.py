@@ -102,7 +102,11 @@ def score_value(n: str) -> str:
 
 
 # Validated rows: raw cells, normalised cells, per-field messages, is_valid.
-VALIDATED = f"""raw AS ({RAW_STUDENTS}),
+def validated_ctes(raw_sql: str) -> str:
+    return VALIDATED_TEMPLATE.replace("@RAW@", raw_sql)
+
+
+VALIDATED_TEMPLATE = f"""raw AS (@RAW@),
 n AS (
   SELECT line_number,
     coalesce(name, '') AS name_raw, coalesce(email, '') AS email_raw, coalesce(enrollment_date, '') AS date_raw,
@@ -122,6 +126,7 @@ val AS (
   SELECT *, (name_error IS NULL AND email_error IS NULL AND date_error IS NULL AND course_error IS NULL
              AND score_error IS NULL) AS is_valid
   FROM v)"""
+VALIDATED = validated_ctes(RAW_STUDENTS)
 
 # One row per violation (field order name=1 .. score=5).
 VIOLATIONS = """viol AS (

@@ -68,14 +68,14 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered_students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same registered set as full target rows (students schema)."""
+    """The same registered set as full target rows (students schema); names are ``c_name``."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.where(k % 10 == 0).select(
         F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(k.cast("string"), 12, "0")).alias("id"),
-        F.lit("Ana Souza").alias("name"),
+        F.col("c_name").alias("name"),
         F.concat(F.lit("user."), k.cast("string"), F.lit("@school.edu")).alias("email"),
         F.lit("2024-02-01").cast("date").alias("enrollment_date"),
         F.concat(F.lit("COURSE-"), (k % 50).cast("string")).alias("course_id"),
-        (F.floor(F.col("c_acctbal")) % 101).cast("double").alias("score"),
+        F.pmod(F.floor(F.col("c_acctbal")), F.lit(101)).cast("double").alias("score"),
     )
