@@ -68,3 +68,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_files(spark: SparkSession, path: str, prefix: str = "part-") -> list[str]:
+    """Data files under ``path`` (recursive), as fully qualified URIs."""
+    jpath, fs = _fs(spark, path)
+    it = fs.listFiles(jpath, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        if st.getPath().getName().startswith(prefix):
+            out.append(st.getPath().toString())
+    return sorted(out)
+
+
+def rename_suffix(spark: SparkSession, files: list[str], old: str, new: str) -> list[str]:
+    """Rename each file's suffix (a metadata operation on the cluster filesystem)."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for f in files:
+        src, fs = _fs(spark, f)
+        target = f[: -len(old)] + new if f.endswith(old) else f + new
+        fs.rename(src, jvm.org.apache.hadoop.fs.Path(target))
+        out.append(target)
+    return out

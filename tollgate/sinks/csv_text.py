@@ -63,16 +63,10 @@ def write_csv_files(
         .select("part", text.alias("value"))
     )
     out.write.mode("errorifexists").partitionBy("part").text(path)
-    return sorted(_data_files(path))
+    from tollgate.session import list_files, rename_suffix
 
-
-def _data_files(path: str) -> list[str]:
-    found = []
-    for root, _dirs, files in os.walk(path):
-        for f in files:
-            if f.startswith("part-"):
-                found.append(os.path.join(root, f))
-    return found
+    spark = df.sparkSession
+    return rename_suffix(spark, list_files(spark, path), ".txt", ".csv")
 
 
 def report_stamp(run_ts: dt.datetime) -> str:
