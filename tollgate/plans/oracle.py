@@ -102,13 +102,13 @@ def score_value(n: str) -> str:
 
 
 # Validated rows: raw cells, normalised cells, per-field messages, is_valid.
-def validated_ctes(raw_sql: str) -> str:
-    return VALIDATED_TEMPLATE.replace("@RAW@", raw_sql)
+def validated_ctes(raw_sql: str, extra: str = "") -> str:
+    return VALIDATED_TEMPLATE.replace("@RAW@", raw_sql).replace("@EXTRA@", extra)
 
 
 VALIDATED_TEMPLATE = f"""raw AS (@RAW@),
 n AS (
-  SELECT line_number,
+  SELECT line_number@EXTRA@,
     coalesce(name, '') AS name_raw, coalesce(email, '') AS email_raw, coalesce(enrollment_date, '') AS date_raw,
     coalesce(course_id, '') AS course_raw, coalesce(score, '') AS score_raw,
     {collapse("coalesce(name, '')")} AS name_norm,
@@ -137,9 +137,10 @@ VIOLATIONS = """viol AS (
   UNION ALL SELECT line_number, 5, 'score', score_raw, score_error, 'INVALID_SCORE' FROM val WHERE score_error IS NOT NULL)"""
 
 
-def outcome_ctes(batch_size: int = 1000) -> str:
+def outcome_ctes(batch_size: int = 1000, raw_sql: str | None = None) -> str:
     """Batch numbers by an ordered window sum, first occurrence and status."""
-    return f"""{VALIDATED},
+    validated = VALIDATED if raw_sql is None else validated_ctes(raw_sql)
+    return f"""{validated},
 {VIOLATIONS},
 bat AS (
   SELECT *, row_number() OVER (ORDER BY line_number) AS row_ordinal,
@@ -168,9 +169,35 @@ rej AS (
   SELECT batch_no, 1, line_number, 2, 'email', email_norm, dup_message, 'DUPLICATE_STUDENT' FROM oc2 WHERE status IN ('existing', 'file'))"""
 
 
-def with_outcome(select: str, batch_size: int = 1000) -> str:
-    return f"WITH {outcome_ctes(batch_size)}\n{select}"
+def with_outcome(select: str, batch_size: int = 1000, raw_sql: str | None = None) -> str:
+    return f"WITH {outcome_ctes(batch_size, raw_sql)}\n{select}"
 
 
 def with_validated(select: str) -> str:
     return f"WITH {VALIDATED},\n{VIOLATIONS}\n{select}"
+
+
+def files_outcome_ctes(raw_sql: str, batch_size: int = 1000) -> str:
+    """Outcome over several files imported in file order: flush key (file_seq, batch_no)."""
+    return f"""{validated_ctes(raw_sql, ", file_seq")},
+{VIOLATIONS},
+bat AS (
+  SELECT *, sum(CASE WHEN is_valid THEN 1 ELSE 0 END) OVER (PARTITION BY file_seq ORDER BY line_number
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS valid_through
+  FROM val),
+bat2 AS (
+  SELECT *, CAST(floor((valid_through - CASE WHEN is_valid THEN 1 ELSE 0 END) / {batch_size}) AS BIGINT) AS batch_no,
+    CAST(file_seq AS BIGINT) * 10000000000 + line_number AS ord FROM bat),
+reg AS (SELECT DISTINCT email FROM ({REGISTERED})),
+firsts AS (
+  SELECT email_norm, min(ord) AS first_ord, arg_min(batch_no, ord) AS first_batch, arg_min(file_seq, ord) AS first_file
+  FROM bat2 WHERE is_valid GROUP BY email_norm),
+oc2 AS (
+  SELECT b.*,
+    CASE WHEN NOT b.is_valid THEN 'invalid'
+         WHEN r.email IS NOT NULL THEN 'existing'
+         WHEN b.ord = f.first_ord THEN 'unique'
+         WHEN b.file_seq = f.first_file AND b.batch_no = f.first_batch THEN 'file'
+         ELSE 'existing' END AS status
+  FROM bat2 b LEFT JOIN firsts f ON b.is_valid AND b.email_norm = f.email_norm
+  LEFT JOIN reg r ON b.is_valid AND b.email_norm = r.email)"""

@@ -63,3 +63,73 @@ def import_rows(
     out = outcome(raw, registered, batch_size, spec, partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
     rej = rejections(out, partition_cols)
     return ImportRun(out, rej, import_summary(out), error_sample(rej, partition_cols))
+
+
+# ---- whole-file import: scan -> outcome -> report -> append -> result ------------------
+
+@dataclass
+class ImportResult:
+    total_processed: int
+    total_imported: int
+    total_errors: int
+    errors: list            # first 100 violations in report order
+    duration_ms: int
+    rows_per_second: int
+    error_report_path: str | None
+    aborted: bool = False
+
+
+def import_csv(
+    spark,
+    paths,
+    target: str,
+    batch_size: int = DEFAULT_BATCH_SIZE,
+    max_row_bytes: int = 64 * 1024,
+    report_dir: str | None = None,
+    run_ts=None,
+) -> ImportResult:
+    """Import CSV file(s) into the Parquet target at ``target`` (created when absent).
+
+    Several files are imported in path order as consecutive jobs: the flush key
+    is ``(file_seq, batch_no)`` and a key first seen in an earlier file counts
+    as already registered.  Nothing is written unless header and size checks
+    pass; the driver receives counters and the 100-row sample only.
+    """
+    import datetime as dt
+    import time
+
+    from tollgate.session import path_exists
+    from tollgate.sinks.csv_text import write_report
+    from tollgate.sinks.table import append_new, create_target, registered_keys
+    from tollgate.sources.csv_scan import REQUIRED_COLUMNS, project_columns, read_lines, scan_lines
+
+    if not isinstance(batch_size, int) or isinstance(batch_size, bool) or not 1 <= batch_size <= 10_000:
+        raise ValueError("batch size must be an integer between 1 and 10000")
+    started = time.monotonic()
+    run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
+    if not path_exists(spark, target):
+        create_target(spark, target)
+    scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes)
+    raw = project_columns(scan, REQUIRED_COLUMNS).where(~F.col("is_blank"))
+    run = import_rows(raw, registered_keys(spark, target), batch_size, STUDENTS, ["file_seq"])
+    counts = run.summary.collect()[0]
+    report = None
+    if counts["total_errors"] > 0 and report_dir:
+        report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
+    accepted = run.outcome.where(F.col("status") == "unique").select(
+        "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
+    appended = append_new(accepted, target, run_ts, file_seq="file_seq")
+    sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
+    run.release()
+    scan.release()
+    duration = int(round((time.monotonic() - started) * 1000))
+    processed = int(counts["total_processed"])
+    return ImportResult(
+        total_processed=processed,
+        total_imported=appended.inserted,
+        total_errors=int(counts["total_errors"]) + appended.skipped,
+        errors=sample,
+        duration_ms=duration,
+        rows_per_second=int((processed * 1000 + duration // 2) // duration) if duration > 0 else processed,
+        error_report_path=report,
+    )
