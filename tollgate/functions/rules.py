@@ -135,8 +135,24 @@ def score_text(value: Column) -> Column:
 
 # ---- rule lists (D1-D6) ------------------------------------------------------
 
+_LENGTH: list[Column] = []
+
+
+class known_length:
+    """Within this block, rules reuse an already computed length column of the field."""
+
+    def __init__(self, col: Column):
+        self.col = col
+
+    def __enter__(self):
+        _LENGTH.append(self.col)
+
+    def __exit__(self, *exc):
+        _LENGTH.pop()
+
+
 def _len(c: Column) -> Column:
-    return utf16_length(c)
+    return _LENGTH[-1] if _LENGTH else utf16_length(c)
 
 
 ID_RULES = (

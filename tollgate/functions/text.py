@@ -37,8 +37,12 @@ def collapse_ws(c: Column) -> Column:
 
 
 def utf16_length(c: Column) -> Column:
-    """Length in UTF-16 code units, as JavaScript's ``.length`` counts (emoji = 2)."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint")
+    """Length in UTF-16 code units, as JavaScript's ``.length`` counts (emoji = 2).
+
+    ASCII text (bytes == characters) skips the transcoding.
+    """
+    n = F.length(c).cast("bigint")
+    return F.when(F.octet_length(c) == n, n).otherwise((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint"))
 
 
 def is_blank(c: Column) -> Column:

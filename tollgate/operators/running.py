@@ -4,12 +4,12 @@ The reference's loops carry counters from row to row (valid rows seen so far,
 open-quote state, ...).  A window ``ORDER BY line`` without ``PARTITION BY``
 would pull the whole input into one task, so the sum is built in three levels:
 
-* rows are grouped into buckets of 2^16 consecutive order values (level 1);
-* level-1 buckets into buckets of 2^16 level-1 buckets (level 2, at most
-  N / 2^32 rows: a few hundred even for 10^12 rows);
-* exclusive prefix sums flow down: level 2 (tiny window), level 1 (window per
-  level-2 bucket, <= 65,536 rows each), rows (window per level-1 bucket,
-  <= 65,536 rows each).
+* rows are grouped into buckets of 2^12 consecutive order values (level 1);
+* level-1 buckets into buckets of 2^12 level-1 buckets (level 2, at most
+  N / 2^24 rows: about 60,000 even for 10^12 rows);
+* exclusive prefix sums flow down: level 2 (one small window), level 1 (window
+  per level-2 bucket, <= 4,096 rows each), rows (window per level-1 bucket,
+  <= 4,096 rows each, so many buckets keep every core busy).
 
 Buckets depend on the order values only, never on the partition layout, so the
 result is repeatable and survives task retries.  Bucket tables are joined back
@@ -24,7 +24,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 16
+BUCKET_BITS = 12
 
 
 def running_sums(
@@ -43,7 +43,9 @@ def running_sums(
     vals = list(values)
     b1 = F.shiftright(F.col(order_col), BUCKET_BITS)
 
-    rows = df.withColumn("_b1", b1)
+    # one shuffle of the rows by (partition, bucket): the bucket aggregate, the
+    # join back and the per-bucket window all read this same exchange
+    rows = df.withColumn("_b1", b1).repartition(*parts, "_b1")
     t1 = rows.groupBy(*parts, "_b1").agg(*[F.sum(v).alias(v) for v in vals])
     t1 = t1.withColumn("_b2", F.shiftright(F.col("_b1"), BUCKET_BITS))
     t2 = t1.groupBy(*parts, "_b2").agg(*[F.sum(v).alias(v) for v in vals])

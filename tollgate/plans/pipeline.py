@@ -29,10 +29,23 @@ def outcome(
     spec: DataSpec = STUDENTS,
     partition_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Every raw row with ``violations``, normalised values, ``batch_no`` and ``status``."""
+    """Every raw row with ``violations``, normalised values, ``batch_no`` and ``status``.
+
+    The batched frame feeds four branches (valid / invalid split, per-key
+    aggregate, join back), so it is persisted once (memory, spilling to disk;
+    lost blocks are recomputed from lineage).  ``release(out)`` frees it.
+    """
     validated = validate(raw, spec)
-    batched = assign_batches(validated, batch_size, partition_cols=partition_cols)
-    return classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols)
+    batched = assign_batches(validated, batch_size, partition_cols=partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols)
+    out._tollgate_cached = [batched]  # type: ignore[attr-defined]
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Unpersist the intermediate frames an ``outcome`` plan holds."""
+    for cached in getattr(df, "_tollgate_cached", []):
+        cached.unpersist()
 
 
 def accepted_rows(out: DataFrame, spec: DataSpec = STUDENTS) -> DataFrame:
@@ -51,6 +64,7 @@ class ImportRun:
 
     def release(self) -> None:
         self.outcome.unpersist()
+        release(self.outcome)
 
 
 def import_rows(
@@ -60,7 +74,9 @@ def import_rows(
     spec: DataSpec = STUDENTS,
     partition_cols: Sequence[str] = (),
 ) -> ImportRun:
-    out = outcome(raw, registered, batch_size, spec, partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    planned = outcome(raw, registered, batch_size, spec, partition_cols)
+    out = planned.persist(StorageLevel.MEMORY_AND_DISK)
+    out._tollgate_cached = getattr(planned, "_tollgate_cached", [])  # type: ignore[attr-defined]
     rej = rejections(out, partition_cols)
     return ImportRun(out, rej, import_summary(out), error_sample(rej, partition_cols))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions import rules as R
+from tollgate.functions.text import utf16_length
 
 VIOLATION_TYPE = "array<struct<field_ordinal:int,field:string,value:string,message:string,code:string>>"
 
@@ -72,7 +73,10 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
         raw = _raw(f.source)
         out = out.withColumn(f"{f.name}_norm", f.normalise(raw))
     for f in spec.fields:
-        out = out.withColumn(f"{f.name}_error", R.first_failure(f.rules, _raw(f.source), F.col(f"{f.name}_norm")))
+        out = out.withColumn(f"{f.name}_len", utf16_length(F.col(f"{f.name}_norm")))
+    for f in spec.fields:
+        with R.known_length(F.col(f"{f.name}_len")):
+            out = out.withColumn(f"{f.name}_error", R.first_failure(f.rules, _raw(f.source), F.col(f"{f.name}_norm")))
     items = []
     for i, f in enumerate(spec.fields):
         items.append(

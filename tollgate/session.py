@@ -29,6 +29,7 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )
