@@ -19,9 +19,17 @@ def test_running_sums_match_loop(spark):
         assert got[o] == acc[p]
 
 
-def test_batches_and_duplicate_reason_match_loop(spark):
+import pytest
+
+from tollgate.operators import skew
+
+
+@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 20])
+def test_batches_and_duplicate_reason_match_loop(spark, monkeypatch, hot_rows):
+    """With hot_rows=20 the heavy emails (one holds a third of the rows) take the map-side path."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rnd = random.Random(11)
-    emails = [f"e{rnd.randint(0, 300)}" for _ in range(3000)]
+    emails = [("hot" if rnd.random() < 0.33 else f"e{rnd.randint(0, 300)}") for _ in range(3000)]
     valid = [rnd.random() > 0.2 for _ in range(3000)]
     registered = {f"e{i}" for i in range(0, 300, 17)}
     batch = 50

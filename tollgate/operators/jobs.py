@@ -10,8 +10,8 @@ the state is an aggregation.  Per job, ordered by ``(ts, event_id)``:
 * every other start / complete / fail is an illegal move and changes nothing.
 
 That is three rounds of per-job ``min`` aggregations (partial aggregation before
-the shuffle, so a job holding a third of all events costs no single task more
-than its share) joined back on the job key, never a per-job window.
+the shuffle) joined back on the job key with ``hot_split_join`` (a job holding a
+third of all events joins map-side), never a per-job window.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.operators.skew import hot_keys, hot_split_join
+
 # Job statuses, messages and limits of the reference.
 PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "failed"
 MAX_JOBS = 1000
@@ -51,26 +53,28 @@ def replay(events: DataFrame) -> DataFrame:
 
     ``events`` columns: job_id, ts, event_id, kind (create/start/complete/fail/other), plus payload.
     """
+    # every job id of the log has a row in each per-job table, so inner joins keep all events;
+    # a job holding a third of the events joins map-side (see operators.skew)
+    hot = hot_keys(events.groupBy("job_id").agg(F.count("*").alias("_n")), "job_id")  # same set for all three joins
     created = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == CREATE, _pos())).alias("created"))
-    e1 = events.join(created, "job_id", "left")
+    e1 = hot_split_join(events, created, "job_id", hot)
     r2 = e1.groupBy("job_id").agg(
         _first_after(START, "created").alias("first_start"),
         _first_after(FAIL, "created").alias("first_fail"),
     )
-    e2 = e1.join(r2, "job_id", "left").withColumn(
+    e2 = hot_split_join(e1, r2, "job_id", hot).withColumn(
         "start_pos",
         F.when(F.col("first_start").isNotNull() & (F.col("first_fail").isNull() | (F.col("first_start") < F.col("first_fail"))),
                F.col("first_start")),
     )
     r3 = e2.groupBy("job_id").agg(
-        F.first("start_pos", ignorenulls=True).alias("_sp"),
         F.min(F.when(F.col("start_pos").isNotNull() & F.col("kind").isin(COMPLETE, FAIL) & (_pos() > F.col("start_pos")),
                      F.struct(_pos().alias("p"), F.col("kind").alias("k")))).alias("_end_after_start"),
     )
-    e3 = e2.join(r3, "job_id", "left")
+    e3 = hot_split_join(e2, r3, "job_id", hot)
     end = F.when(F.col("start_pos").isNotNull(), F.col("_end_after_start")).otherwise(
         F.when(F.col("first_fail").isNotNull(), F.struct(F.col("first_fail").alias("p"), F.lit(FAIL).alias("k"))))
-    e3 = e3.withColumn("end", end).drop("_sp", "_end_after_start")
+    e3 = e3.withColumn("end", end).drop("_end_after_start")
     p = _pos()
     state_before = (
         F.when(F.col("created").isNull() | (p < F.col("created")), F.lit(None).cast("string"))

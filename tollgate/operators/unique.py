@@ -13,8 +13,9 @@ sequentially that is a loop; in closed form:
   (G4).
 
 Skew: per-email facts are computed with ``groupBy(email)`` -- partial
-aggregation collapses a hot email map-side -- and joined back on email; AQE's
-skew-join handling splits an oversized hot-email partition of the row side.
+aggregation collapses a hot email map-side -- and joined back on email with
+``hot_split_join``: rows of the few heaviest emails join a bounded broadcast
+table without shuffling, all others take a normal shuffle join.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.rules import MSG
 from tollgate.operators.running import running_sums
+from pyspark import StorageLevel
+
+from tollgate.operators.skew import hot_keys, hot_split_join
 
 STATUS_INVALID = "invalid"
 STATUS_UNIQUE = "unique"
@@ -72,10 +76,11 @@ def classify(
     reg = registered.select(F.col("email").alias(key_col)).distinct().withColumn("_registered", F.lit(True))
     firsts = (
         valid.groupBy(key_col)
-        .agg(F.min(F.struct(*parts, "line_number", "batch_no")).alias("_first"))
+        .agg(F.min(F.struct(*parts, "line_number", "batch_no")).alias("_first"), F.count("*").alias("_n"))
         .join(reg, on=key_col, how="left")
+        .persist(StorageLevel.MEMORY_AND_DISK)  # one narrow row per key: read for hot keys and the join
     )
-    joined = valid.join(firsts, on=key_col, how="inner")
+    joined = hot_split_join(valid, firsts, key_col, hot_keys(firsts, key_col)).drop("_n")
 
     first = F.col("_first")
     is_first = F.col("line_number") == first["line_number"]
@@ -92,14 +97,17 @@ def classify(
     valid_out = joined.withColumn("status", status).drop("_first", "_registered")
     invalid_out = invalid.withColumn("status", F.lit(STATUS_INVALID))
     out = valid_out.unionByName(invalid_out)
-    return out.withColumn(
+    out = out.withColumn(
         "dup_message",
         F.when(F.col("status") == STATUS_EXISTING, F.lit(MSG["dup_existing"]))
         .when(F.col("status") == STATUS_FILE, F.lit(MSG["dup_file"])),
     )
+    out._tollgate_cached = [firsts]  # type: ignore[attr-defined]
+    return out
 
 
 def first_wins(valid: DataFrame, key_col: str = "email_value") -> DataFrame:
     """G3 alone: valid rows that are the first occurrence of their key (line order)."""
-    firsts = valid.groupBy(key_col).agg(F.min("line_number").alias("_first_line"))
-    return valid.join(firsts, on=key_col).where(F.col("line_number") == F.col("_first_line")).drop("_first_line")
+    firsts = valid.groupBy(key_col).agg(F.min("line_number").alias("_first_line"), F.count("*").alias("_n"))
+    joined = hot_split_join(valid, firsts, key_col, hot_keys(firsts, key_col))
+    return joined.where(F.col("line_number") == F.col("_first_line")).drop("_first_line", "_n")

@@ -38,7 +38,7 @@ def outcome(
     validated = validate(raw, spec)
     batched = assign_batches(validated, batch_size, partition_cols=partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
     out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols)
-    out._tollgate_cached = [batched]  # type: ignore[attr-defined]
+    out._tollgate_cached = [batched, *getattr(out, "_tollgate_cached", [])]  # type: ignore[attr-defined]
     return out
 
 
@@ -134,7 +134,7 @@ def import_csv(
         report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
     accepted = run.outcome.where(F.col("status") == "unique").select(
         "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
-    appended = append_new(accepted, target, run_ts, file_seq="file_seq")
+    appended = append_new(accepted, target, run_ts, file_seq="file_seq", offered=int(counts["total_imported"]))
     sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
     run.release()
     scan.release()

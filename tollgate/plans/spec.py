@@ -91,8 +91,11 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
                 ),
             )
         )
-    out = out.withColumn("violations", F.array_compact(F.array(*items)))
-    out = out.withColumn("is_valid", F.size("violations") == 0)
+    # concat of conditional one-element arrays: unlike array_compact / filter (higher-order
+    # functions, interpreted), concat and CASE keep the projection inside whole-stage codegen
+    empty = F.expr(f"cast(array() as {VIOLATION_TYPE})")
+    out = out.withColumn("violations", F.concat(*[F.when(it.isNotNull(), F.array(it)).otherwise(empty) for it in items]))
+    out = out.withColumn("is_valid", F.coalesce(*[F.col(f"{f.name}_error") for f in spec.fields]).isNull())
     for f in spec.fields:
         out = out.withColumn(f"{f.name}_value", F.when(F.col(f"{f.name}_error").isNull(), f.typed(F.col(f"{f.name}_norm"))))
     return out

@@ -68,20 +68,23 @@ class AppendResult:
     skipped: int    # keys that appeared in the target meanwhile (B2)
 
 
-def append_new(accepted: DataFrame, path: str, run_ts: dt.datetime, file_seq: str | None = None) -> AppendResult:
-    """B1/B2: append rows whose email is not in the target *now*; count both sides."""
+def append_new(accepted: DataFrame, path: str, run_ts: dt.datetime, file_seq: str | None = None,
+               offered: int | None = None) -> AppendResult:
+    """B1/B2: append rows whose email is not in the target *now*; count both sides.
+
+    ``offered`` (the unique-row count) is counted here unless the caller already knows it.
+    """
     spark = accepted.sparkSession
-    staged = accepted.persist(StorageLevel.MEMORY_AND_DISK)
     fresh = registered_keys(spark, path)
-    new = staged.join(fresh, on="email", how="left_anti")
+    new = accepted.join(fresh, on="email", how="left_anti")
     stored = to_stored(new, run_ts, file_seq).persist(StorageLevel.MEMORY_AND_DISK)
-    offered = staged.count()
+    if offered is None:
+        offered = accepted.count()
     inserted = stored.count()
     if inserted:
         # clustered by id: files come out in insert order, like sequential keys in a B-tree
         stored.sortWithinPartitions("id").write.mode("append").parquet(path)
     stored.unpersist()
-    staged.unpersist()
     return AppendResult(offered, inserted, offered - inserted)
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import JS_WS
 from tollgate.operators.running import running_sums
+from tollgate.sources.fixtures import spread
 
 # Required student columns (in reporting order), size limits and
 # messages of the reference reader.
@@ -230,7 +231,9 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     map_schema = "file_seq int, " + ", ".join(f"_i_{c} int" for c in columns)
     mapping = spark.createDataFrame(mapping_rows, map_schema)
 
-    data = scan.records.where(F.col("line_number") > 1)
+    # numbering is done, so rows may move: spread an under-split input over all cores
+    # before the per-row parse and rules (a no-op when the scan already has enough splits)
+    data = spread(scan.records.where(F.col("line_number") > 1))
     parsed = data.withColumn(
         "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
     )
