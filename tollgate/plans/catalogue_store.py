@@ -45,7 +45,7 @@ def seeded_target(spark: SparkSession, sf_dir: str) -> str:
 
 def imported_target(spark: SparkSession, sf_dir: str) -> tuple[str, TB.AppendResult]:
     path = seeded_target(spark, sf_dir)
-    out = outcome(raw_students(spark, sf_dir), TB.registered_keys(spark, path), BATCH)
+    out = outcome(raw_students(spark, sf_dir), TB.snapshot_keys(spark, path), BATCH)
     res = TB.append_new(accepted_rows(out), path, RUN_TS)
     return path, res
 
@@ -104,7 +104,7 @@ _CONCURRENT = "SELECT concat('user.', CAST(c_custkey AS VARCHAR), '@school.edu')
 def skipped_at_write(spark, sf_dir):
     """B2: a second writer stores other customers between the snapshot and the append."""
     path = seeded_target(spark, sf_dir)
-    out = outcome(raw_students(spark, sf_dir), TB.registered_keys(spark, path), BATCH)
+    out = outcome(raw_students(spark, sf_dir), TB.snapshot_keys(spark, path), BATCH)
     accepted = accepted_rows(out)
     c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 == 5)
     rival = c.select(

@@ -68,13 +68,13 @@ def report_path(spark, sf_dir):
     from tollgate.operators.report import rejections
     from tollgate.plans.pipeline import outcome
     from tollgate.sinks.csv_text import write_report
-    from tollgate.sinks.table import registered_keys
+    from tollgate.sinks.table import snapshot_keys
     from tollgate.sources import csv_scan as S
 
     report_dir = scratch_path(spark, "reports")
     target = seeded_target(spark, sf_dir)
     raw = S.scan_csv(spark, students_csv(spark, sf_dir))
-    rej = rejections(outcome(raw, registered_keys(spark, target), 1000, partition_cols=["file_seq"]), ["file_seq"])
+    rej = rejections(outcome(raw, snapshot_keys(spark, target), 1000, partition_cols=["file_seq"]), ["file_seq"])
     rows = []
     for attempt in range(2):
         path = write_report(rej, report_dir, RUN_TS, ["file_seq"])

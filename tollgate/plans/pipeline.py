@@ -116,7 +116,7 @@ def import_csv(
 
     from tollgate.session import path_exists
     from tollgate.sinks.csv_text import write_report
-    from tollgate.sinks.table import append_new, create_target, registered_keys
+    from tollgate.sinks.table import append_new, create_target, snapshot_keys
     from tollgate.sources.csv_scan import REQUIRED_COLUMNS, project_columns, read_lines, scan_lines
 
     if not isinstance(batch_size, int) or isinstance(batch_size, bool) or not 1 <= batch_size <= 10_000:
@@ -127,15 +127,15 @@ def import_csv(
         create_target(spark, target)
     scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes)
     raw = project_columns(scan, REQUIRED_COLUMNS).where(~F.col("is_blank"))
-    run = import_rows(raw, registered_keys(spark, target), batch_size, STUDENTS, ["file_seq"])
+    run = import_rows(raw, snapshot_keys(spark, target), batch_size, STUDENTS, ["file_seq"])
     counts = run.summary.collect()[0]
+    sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
     report = None
     if counts["total_errors"] > 0 and report_dir:
         report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
     accepted = run.outcome.where(F.col("status") == "unique").select(
         "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
     appended = append_new(accepted, target, run_ts, file_seq="file_seq", offered=int(counts["total_imported"]))
-    sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
     run.release()
     scan.release()
     duration = int(round((time.monotonic() - started) * 1000))

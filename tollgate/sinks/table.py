@@ -46,6 +46,17 @@ def registered_keys(spark: SparkSession, path: str) -> DataFrame:
     return read_target(spark, path).select("email")
 
 
+def snapshot_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The registered keys as of now, cut from the target's lineage.
+
+    Spark re-caches every cached plan that reads a path when that path is
+    written, so a plan reading the target lazily would see rows appended later
+    (by this run or a concurrent writer).  A reliable checkpoint (under
+    ``spark.checkpoint.dir``) freezes the key set at run start.
+    """
+    return registered_keys(spark, path).distinct().checkpoint(eager=True)
+
+
 def to_stored(rows: DataFrame, run_ts: dt.datetime, file_seq: str | None = None) -> DataFrame:
     """Typed target rows with a uuid7 id per row and the run's created_at."""
     run_ms = F.lit(int(run_ts.timestamp() * 1000)).cast("bigint")
