@@ -15,23 +15,22 @@ not expose ordinals, so the scan is built from the text source:
    ``operators.running``), record ids are a running count of record starts and
    lines are grouped per record -- after a size check, so an unterminated
    quote can never gather a file into one task.
-4. The header record of each file (one small row per file) is normalised on
-   the driver: BOM stripped, trimmed, lower-cased.  Cells are parsed with
+4. The header record of each file is split into cells and normalised in Spark
+   (BOM stripped, trimmed, lower-cased): one row per header cell.  Missing
+   required columns come back as at most one row; cells are parsed with
    ``from_csv`` into positional columns and picked per file by header index.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 from dataclasses import dataclass
-from typing import Iterable, Sequence
+from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import JS_WS
+from tollgate.functions.text import JS_WS, js_trim
 from tollgate.operators.running import running_sums
 from tollgate.sources.fixtures import spread
 
@@ -43,11 +42,6 @@ MIN_MAX_ROW_BYTES = 256
 ROW_TOO_LARGE = "Row exceeds the maximum size"
 HEADER_MISSING = "CSV header is missing required columns: "
 
-# the same JavaScript whitespace set as functions.text.JS_WS, for driver-side header names
-_JS_WS_CHARS = "".join(
-    chr(c) for c in [*range(0x9, 0xE), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
-                     0x202F, 0x205F, 0x3000, 0xFEFF]
-)
 _CELL_BLANK = rf'(?:{JS_WS}*|"{JS_WS}*")'
 BLANK_RECORD = rf"^{_CELL_BLANK}(?:,{_CELL_BLANK})*\z"
 
@@ -64,17 +58,15 @@ class RowTooLargeError(ValueError):
         super().__init__(ROW_TOO_LARGE)
 
 
-def normalize_header(name: str) -> str:
-    """A3: strip a BOM, trim (JavaScript whitespace), lowercase."""
-    if name.startswith("\ufeff"):
-        name = name[1:]
-    return name.strip(_JS_WS_CHARS).lower()
+# a comma outside double quotes (header lines are split on these)
+COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
 
 
-def missing_columns(headers: Iterable[str], required: Sequence[str] = REQUIRED_COLUMNS) -> list[str]:
-    """A4: required columns absent from the normalised header, in required order."""
-    have = set(headers)
-    return [c for c in required if c not in have]
+def normalize_header(c: Column) -> Column:
+    """A3: unquote a quoted cell, strip a BOM, trim (JavaScript whitespace), lowercase."""
+    unquoted = F.when(c.rlike(r'^".*"\z'), F.replace(F.regexp_extract(c, r'^"(.*)"\z', 1), F.lit('""'), F.lit('"'))) \
+        .otherwise(c)
+    return F.lower(js_trim(F.regexp_replace(unquoted, "^\ufeff", "")))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -95,13 +87,13 @@ def _quotes(c: Column) -> Column:
 @dataclass
 class CsvScan:
     records: DataFrame          # file_seq, file_path, line_number, record, record_bytes
-    headers: dict[int, list[str]]  # file_seq -> normalised header names
-    files: dict[int, str]       # file_seq -> path
+    header: DataFrame           # file_seq, position, header (normalised), one row per header cell
     multiline: bool
     blocks: DataFrame | None = None  # persisted split table the numbering joins to
 
     def release(self) -> None:
         self.records.unpersist()
+        self.header.unpersist()
         if self.blocks is not None:
             self.blocks.unpersist()
 
@@ -167,11 +159,6 @@ def assemble_records(numbered: DataFrame, multiline: bool, max_row_bytes: int |
     )
 
 
-def _parse_header(text: str) -> list[str]:
-    row = next(csv.reader(io.StringIO(text)), [])
-    return [normalize_header(h) for h in row]
-
-
 def scan_lines(
     lines: DataFrame,
     required: Sequence[str] = REQUIRED_COLUMNS,
@@ -190,27 +177,26 @@ def scan_lines(
     if multiline:
         # slow path: record 1 may span lines; the assembled frame is reused below
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
-        head_rows = [
-            (r["file_seq"], r["file_path"], r["record"])
-            for r in records.where(F.col("line_number") == 1).select("file_seq", "file_path", "record").collect()
-        ]
+        head = records.where(F.col("line_number") == 1).select("file_seq", F.col("record").alias("_text"))
     else:
-        # the first line of each file came out of the block pass: no extra scan
-        head_rows = [
-            (r["file_seq"], r["file_path"], r["first_line"])
-            for r in blocks.where(F.col("block_start") == 0).select("file_seq", "file_path", "first_line").collect()
-        ]
-    headers = {seq: _parse_header(text) for seq, _, text in head_rows}
-    files = {seq: path for seq, path, _ in head_rows}
+        # the first line of each file came out of the split pass: no extra scan
+        head = blocks.where(F.col("block_start") == 0).select("file_seq", F.col("first_line").alias("_text"))
+    # one row per (file, header cell): small, computed in Spark, never gathered on the driver
+    header = head.select("file_seq", F.posexplode(F.split("_text", COMMA_OUTSIDE_QUOTES)).alias("position", "_raw")) \
+        .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     if check_header:
-        for seq in sorted(headers):
-            miss = missing_columns(headers[seq], required)
-            if miss:
-                raise InvalidCsvHeaderError(miss)
+        wanted = F.array(*[F.lit(c) for c in required])
+        bad = (
+            header.groupBy("file_seq").agg(F.array_except(wanted, F.collect_set("header")).alias("missing"))
+            .where(F.size("missing") > 0).orderBy("file_seq").limit(1).collect()
+        )
+        if bad:
+            raise InvalidCsvHeaderError(bad[0]["missing"])
     if check_size and max_row_bytes is not None and not multiline and (flags["big"] or 0) > max_row_bytes:
         too_big = records.where(F.col("record_bytes") > max_row_bytes).select("line_number").limit(20).collect()
         raise RowTooLargeError([r[0] for r in too_big])
-    return CsvScan(records, headers, files, multiline, blocks)
+    return CsvScan(records, header, multiline, blocks)
 
 
 def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
@@ -221,15 +207,13 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     records give NULL for missing cells, extra cells are ignored.  Blank records
     are flagged (``is_blank``) -- they keep their number but are not processed.
     """
-    width = max([len(h) for h in scan.headers.values()] + [1])
+    # the widest header fixes the positional schema (one number reaches the driver)
+    width = int(scan.header.agg(F.max("position")).collect()[0][0] or 0) + 1
     schema = ", ".join(f"_c{i} string" for i in range(width))
-    mapping_rows = []
-    for seq, hdr in scan.headers.items():
-        pos = {name: i for i, name in enumerate(hdr)}  # later duplicates overwrite earlier
-        mapping_rows.append((seq, *[pos.get(c) for c in columns]))
-    spark = scan.records.sparkSession
-    map_schema = "file_seq int, " + ", ".join(f"_i_{c} int" for c in columns)
-    mapping = spark.createDataFrame(mapping_rows, map_schema)
+    # per file, the position of each wanted column; max() makes the last duplicate win
+    mapping = scan.header.groupBy("file_seq").agg(
+        *[F.max(F.when(F.col("header") == c, F.col("position"))).alias(f"_i_{c}") for c in columns]
+    )
 
     # numbering is done, so rows may move: spread an under-split input over all cores
     # before the per-row parse and rules (a no-op when the scan already has enough splits)
@@ -237,8 +221,8 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     parsed = data.withColumn(
         "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
     )
-    # mapping has one row per input file: a bounded, broadcast-safe table
-    parsed = parsed.join(F.broadcast(mapping), "file_seq", "left")
+    # mapping has one row per input file; AQE broadcasts it when it is small
+    parsed = parsed.join(mapping, "file_seq", "left")
     cells = F.array(*[F.col(f"_cells._c{i}") for i in range(width)])
     out = parsed.select(
         "file_seq",
