@@ -63,3 +63,14 @@ def test_batches_and_duplicate_reason_match_loop(spark, monkeypatch, hot_rows):
             expected[line] = "invalid"
     flush()
     assert {k: v[1] for k, v in out.items()} == expected
+
+
+def test_order_inversions_match_loop(spark):
+    from tollgate.operators.inversions import order_inversions
+
+    rnd = random.Random(5)
+    orders = sorted(rnd.sample(range(200000), 12000))  # gaps in the insert order
+    keys = [rnd.randint(0, 50) if rnd.random() < 0.3 else i for i in range(12000)]
+    df = spark.createDataFrame(list(zip(orders, keys)), "o long, k long")
+    got = order_inversions(df, "o", {"inv": "k"}).collect()[0]["inv"]
+    assert got == sum(1 for a, b in zip(keys, keys[1:]) if b < a)
