@@ -169,7 +169,7 @@ def _file_seq(files_col):
 def stream_ingest(spark, sf_dir):
     """A13 + J3: one file per micro-batch (maxFilesPerTrigger = 1); the ledger per file."""
     run, *_ = _stream(spark, sf_dir, max_files_per_trigger=1)
-    return run.ledger.select(_file_seq(F.col("files")).alias("file_seq"), "processed", "imported", "errors")
+    return run.ledger.select(_file_seq(F.col("first_file")).alias("file_seq"), "processed", "imported", "errors")
 
 
 @register(
@@ -180,7 +180,7 @@ def stream_rate_limit(spark, sf_dir):
     run, *_ = _stream(spark, sf_dir, max_files_per_trigger=1)
     return run.ledger.agg(
         F.count("*").cast("bigint").alias("micro_batches"),
-        F.max(F.size(F.split("files", ","))).cast("bigint").alias("max_files_per_batch"),
+        F.max("n_files").cast("bigint").alias("max_files_per_batch"),
     )
 
 
