@@ -29,6 +29,7 @@ from tollgate.functions.rules import MSG
 from tollgate.operators.running import running_sums
 from pyspark import StorageLevel
 
+from tollgate.operators import skew
 from tollgate.operators.skew import hot_keys, hot_split_join
 
 STATUS_INVALID = "invalid"
@@ -62,9 +63,13 @@ def classify(
     registered: DataFrame,
     key_col: str = "email_value",
     partition_cols: Sequence[str] = (),
+    row_bound: int | None = None,
 ) -> DataFrame:
     """Add ``status`` in (invalid, unique, existing, file) and ``dup_message``.
 
+    ``row_bound``: an upper bound on the input rows, when known (e.g. lines read);
+    at or below the hot-key threshold no key can be hot and the probe is skipped.
+
     ``registered`` has one column ``email`` (normalised keys stored before the run).
     ``partition_cols`` (e.g. ``file_seq``) make the flush key ``(file_seq, batch_no)``:
     a key first seen in an earlier file counts as already registered.
@@ -80,7 +85,8 @@ def classify(
         .join(reg, on=key_col, how="left")
         .persist(StorageLevel.MEMORY_AND_DISK)  # one narrow row per key: read for hot keys and the join
     )
-    joined = hot_split_join(valid, firsts, key_col, hot_keys(firsts, key_col)).drop("_n")
+    hot = [] if row_bound is not None and row_bound <= skew.HOT_ROWS else hot_keys(firsts, key_col)
+    joined = hot_split_join(valid, firsts, key_col, hot).drop("_n")
 
     first = F.col("_first")
     is_first = F.col("line_number") == first["line_number"]

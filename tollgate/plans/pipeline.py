@@ -28,6 +28,7 @@ def outcome(
     batch_size: int = DEFAULT_BATCH_SIZE,
     spec: DataSpec = STUDENTS,
     partition_cols: Sequence[str] = (),
+    row_bound: int | None = None,
 ) -> DataFrame:
     """Every raw row with ``violations``, normalised values, ``batch_no`` and ``status``.
 
@@ -37,7 +38,7 @@ def outcome(
     """
     validated = validate(raw, spec)
     batched = assign_batches(validated, batch_size, partition_cols=partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols)
+    out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols, row_bound=row_bound)
     out._tollgate_cached = [batched, *getattr(out, "_tollgate_cached", [])]  # type: ignore[attr-defined]
     return out
 
@@ -73,8 +74,9 @@ def import_rows(
     batch_size: int = DEFAULT_BATCH_SIZE,
     spec: DataSpec = STUDENTS,
     partition_cols: Sequence[str] = (),
+    row_bound: int | None = None,
 ) -> ImportRun:
-    planned = outcome(raw, registered, batch_size, spec, partition_cols)
+    planned = outcome(raw, registered, batch_size, spec, partition_cols, row_bound)
     out = planned.persist(StorageLevel.MEMORY_AND_DISK)
     out._tollgate_cached = getattr(planned, "_tollgate_cached", [])  # type: ignore[attr-defined]
     rej = rejections(out, partition_cols)
@@ -127,7 +129,7 @@ def import_csv(
         create_target(spark, target)
     scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes)
     raw = project_columns(scan, REQUIRED_COLUMNS).where(~F.col("is_blank"))
-    run = import_rows(raw, snapshot_keys(spark, target), batch_size, STUDENTS, ["file_seq"])
+    run = import_rows(raw, snapshot_keys(spark, target), batch_size, STUDENTS, ["file_seq"], row_bound=scan.lines)
     counts = run.summary.collect()[0]
     sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
     report = None

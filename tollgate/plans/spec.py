@@ -68,15 +68,15 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
     student specs use id=0, name=1, ..., score=5.
     """
     base = ordinal_base if ordinal_base is not None else (1 if spec.fields[0].name != "id" else 0)
-    out = df
-    for f in spec.fields:
-        raw = _raw(f.source)
-        out = out.withColumn(f"{f.name}_norm", f.normalise(raw))
-    for f in spec.fields:
-        out = out.withColumn(f"{f.name}_len", utf16_length(F.col(f"{f.name}_norm")))
+    # four projections in total (normalise, lengths, messages, outputs): a long chain of
+    # withColumn calls would re-analyse the growing plan once per column on the driver
+    out = df.select("*", *[f.normalise(_raw(f.source)).alias(f"{f.name}_norm") for f in spec.fields])
+    out = out.select("*", *[utf16_length(F.col(f"{f.name}_norm")).alias(f"{f.name}_len") for f in spec.fields])
+    errors = []
     for f in spec.fields:
         with R.known_length(F.col(f"{f.name}_len")):
-            out = out.withColumn(f"{f.name}_error", R.first_failure(f.rules, _raw(f.source), F.col(f"{f.name}_norm")))
+            errors.append(R.first_failure(f.rules, _raw(f.source), F.col(f"{f.name}_norm")).alias(f"{f.name}_error"))
+    out = out.select("*", *errors)
     items = []
     for i, f in enumerate(spec.fields):
         items.append(
@@ -94,11 +94,13 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
     # concat of conditional one-element arrays: unlike array_compact / filter (higher-order
     # functions, interpreted), concat and CASE keep the projection inside whole-stage codegen
     empty = F.expr(f"cast(array() as {VIOLATION_TYPE})")
-    out = out.withColumn("violations", F.concat(*[F.when(it.isNotNull(), F.array(it)).otherwise(empty) for it in items]))
-    out = out.withColumn("is_valid", F.coalesce(*[F.col(f"{f.name}_error") for f in spec.fields]).isNull())
-    for f in spec.fields:
-        out = out.withColumn(f"{f.name}_value", F.when(F.col(f"{f.name}_error").isNull(), f.typed(F.col(f"{f.name}_norm"))))
-    return out
+    return out.select(
+        "*",
+        F.concat(*[F.when(it.isNotNull(), F.array(it)).otherwise(empty) for it in items]).alias("violations"),
+        F.coalesce(*[F.col(f"{f.name}_error") for f in spec.fields]).isNull().alias("is_valid"),
+        *[F.when(F.col(f"{f.name}_error").isNull(), f.typed(F.col(f"{f.name}_norm"))).alias(f"{f.name}_value")
+          for f in spec.fields],
+    )
 
 
 def violation_message(violations: Column) -> Column:

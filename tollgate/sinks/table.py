@@ -51,10 +51,15 @@ def snapshot_keys(spark: SparkSession, path: str) -> DataFrame:
 
     Spark re-caches every cached plan that reads a path when that path is
     written, so a plan reading the target lazily would see rows appended later
-    (by this run or a concurrent writer).  A reliable checkpoint (under
-    ``spark.checkpoint.dir``) freezes the key set at run start.
+    (by this run or a concurrent writer).  The key set is written once as a
+    Parquet table under ``spark.checkpoint.dir`` (shared, survives executor
+    loss) and read back: that freezes it at run start.
     """
-    return registered_keys(spark, path).distinct().checkpoint(eager=True)
+    from tollgate.session import scratch_path
+
+    snap = scratch_path(spark, "registered-keys")
+    registered_keys(spark, path).distinct().write.parquet(snap)
+    return spark.read.parquet(snap)
 
 
 def to_stored(rows: DataFrame, run_ts: dt.datetime, file_seq: str | None = None) -> DataFrame:

@@ -90,6 +90,8 @@ class CsvScan:
     header: DataFrame           # file_seq, position, header (normalised), one row per header cell
     multiline: bool
     blocks: DataFrame | None = None  # persisted split table the numbering joins to
+    width: int = 1                   # cells in the widest header
+    lines: int = 0                   # physical lines read (an upper bound on records)
 
     def release(self) -> None:
         self.records.unpersist()
@@ -170,7 +172,8 @@ def scan_lines(
     if max_row_bytes is not None and max_row_bytes < MIN_MAX_ROW_BYTES:
         raise ValueError(f"max_row_bytes must be at least {MIN_MAX_ROW_BYTES}")
     numbered, blocks = number_lines(lines)
-    flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big")).collect()[0]
+    flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big"),
+                       F.sum("_n").alias("lines")).collect()[0]
     multiline = bool(flags["odd"] or 0)
     records = assemble_records(numbered, multiline, max_row_bytes if check_size else None)
     records = records.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
@@ -185,18 +188,21 @@ def scan_lines(
     header = head.select("file_seq", F.posexplode(F.split("_text", COMMA_OUTSIDE_QUOTES)).alias("position", "_raw")) \
         .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    if check_header:
-        wanted = F.array(*[F.lit(c) for c in required])
-        bad = (
-            header.groupBy("file_seq").agg(F.array_except(wanted, F.collect_set("header")).alias("missing"))
-            .where(F.size("missing") > 0).orderBy("file_seq").limit(1).collect()
-        )
-        if bad:
-            raise InvalidCsvHeaderError(bad[0]["missing"])
+    # one row back: the widest header and the first file (if any) missing required columns
+    wanted = F.array(*[F.lit(c) for c in required])
+    per_file = header.groupBy("file_seq").agg(
+        F.max("position").alias("_w"), F.array_except(wanted, F.collect_set("header")).alias("_missing"))
+    info = per_file.agg(
+        F.max("_w").alias("width"),
+        F.min_by(F.col("_missing"), F.when(F.size("_missing") > 0, F.col("file_seq"))).alias("missing"),
+    ).collect()[0]
+    width = int(info["width"] or 0) + 1
+    if check_header and info["missing"]:
+        raise InvalidCsvHeaderError(info["missing"])
     if check_size and max_row_bytes is not None and not multiline and (flags["big"] or 0) > max_row_bytes:
         too_big = records.where(F.col("record_bytes") > max_row_bytes).select("line_number").limit(20).collect()
         raise RowTooLargeError([r[0] for r in too_big])
-    return CsvScan(records, header, multiline, blocks)
+    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0))
 
 
 def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
@@ -207,8 +213,7 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     records give NULL for missing cells, extra cells are ignored.  Blank records
     are flagged (``is_blank``) -- they keep their number but are not processed.
     """
-    # the widest header fixes the positional schema (one number reaches the driver)
-    width = int(scan.header.agg(F.max("position")).collect()[0][0] or 0) + 1
+    width = scan.width  # the widest header fixes the positional schema
     schema = ", ".join(f"_c{i} string" for i in range(width))
     # per file, the position of each wanted column; max() makes the last duplicate win
     mapping = scan.header.groupBy("file_seq").agg(
