@@ -74,3 +74,14 @@ def test_order_inversions_match_loop(spark):
     df = spark.createDataFrame(list(zip(orders, keys)), "o long, k long")
     got = order_inversions(df, "o", {"inv": "k"}).collect()[0]["inv"]
     assert got == sum(1 for a, b in zip(keys, keys[1:]) if b < a)
+
+
+def test_two_level_running_sums_with_bound(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 3)) for i in range(50000)]
+    df = spark.createDataFrame(rows, "o long, v long")
+    got = {r["o"]: r["v_through"] for r in running_sums(df, "o", ["v"], max_order=50000).collect()}
+    acc = 0
+    for o, v in rows:
+        acc += v
+        assert got[o] == acc

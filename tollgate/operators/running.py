@@ -33,11 +33,14 @@ def running_sums(
     values: Sequence[str],
     partition_cols: Sequence[str] = (),
     suffix: str = "_through",
+    max_order: int | None = None,
 ) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows with order <= this row's (per partition).
 
     ``order_col`` must be a non-negative long, unique within ``partition_cols``.
     ``values`` are numeric columns (booleans must be cast by the caller).
+    ``max_order``: a known upper bound on ``order_col``; below 2^24 the level-1
+    table has at most 4,096 rows per partition key and level 2 is skipped.
     """
     parts = list(partition_cols)
     vals = list(values)
@@ -47,6 +50,10 @@ def running_sums(
     # join back and the per-bucket window all read this same exchange
     rows = df.withColumn("_b1", b1).repartition(*parts, "_b1")
     t1 = rows.groupBy(*parts, "_b1").agg(*[F.sum(v).alias(v) for v in vals])
+    if max_order is not None and max_order < (1 << (2 * BUCKET_BITS)):
+        w1 = Window.partitionBy(*parts).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
+        t1 = t1.select(*parts, "_b1", *[F.coalesce(F.sum(v).over(w1), F.lit(0)).alias(f"_o1_{v}") for v in vals])
+        return _rows_level(rows, t1, order_col, parts, vals, suffix)
     t1 = t1.withColumn("_b2", F.shiftright(F.col("_b1"), BUCKET_BITS))
     t2 = t1.groupBy(*parts, "_b2").agg(*[F.sum(v).alias(v) for v in vals])
 
@@ -62,6 +69,10 @@ def running_sums(
         *[(F.col(f"_o2_{v}") + F.coalesce(F.sum(v).over(w1), F.lit(0))).alias(f"_o1_{v}") for v in vals],
     )
 
+    return _rows_level(rows, t1, order_col, parts, vals, suffix)
+
+
+def _rows_level(rows: DataFrame, t1: DataFrame, order_col: str, parts: list, vals: list, suffix: str) -> DataFrame:
     w0 = Window.partitionBy(*parts, "_b1").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(t1, on=[*parts, "_b1"], how="inner")
     for v in vals:

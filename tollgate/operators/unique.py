@@ -44,12 +44,13 @@ def assign_batches(
     order_col: str = "line_number",
     partition_cols: Sequence[str] = (),
     valid_col: str = "is_valid",
+    max_order: int | None = None,
 ) -> DataFrame:
     """Add ``row_ordinal`` (1-based processed count), ``valid_through``, ``batch_no``."""
     if not isinstance(batch_size, int) or isinstance(batch_size, bool) or not 1 <= batch_size <= 10_000:
         raise ValueError("batch size must be an integer between 1 and 10000")
     staged = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_valid", F.col(valid_col).cast("bigint"))
-    out = running_sums(staged, order_col, ["_one", "_valid"], partition_cols)
+    out = running_sums(staged, order_col, ["_one", "_valid"], partition_cols, max_order=max_order)
     out = (
         out.withColumnRenamed("_one_through", "row_ordinal")
         .withColumnRenamed("_valid_through", "valid_through")

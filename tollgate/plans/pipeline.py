@@ -37,7 +37,9 @@ def outcome(
     lost blocks are recomputed from lineage).  ``release(out)`` frees it.
     """
     validated = validate(raw, spec)
-    batched = assign_batches(validated, batch_size, partition_cols=partition_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    # line numbers never exceed the lines read, so a known row bound also bounds the order column
+    batched = assign_batches(validated, batch_size, partition_cols=partition_cols,
+                             max_order=row_bound).persist(StorageLevel.MEMORY_AND_DISK)
     out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols, row_bound=row_bound)
     out._tollgate_cached = [batched, *getattr(out, "_tollgate_cached", [])]  # type: ignore[attr-defined]
     return out
