@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tollgate.operators.running import running_sums
+from tollgate.operators.summary import batch_sizes, progress_snapshots
 from tollgate.operators.unique import assign_batches, classify
 
 
@@ -36,21 +37,34 @@ def test_batches_and_duplicate_reason_match_loop(spark, monkeypatch, hot_rows):
     df = spark.createDataFrame([(i + 2, e, v) for i, (e, v) in enumerate(zip(emails, valid))],
                                "line_number long, email_value string, is_valid boolean")
     reg = spark.createDataFrame([(e,) for e in registered], "email string")
-    out = {r["line_number"]: (r["batch_no"], r["status"]) for r in classify(assign_batches(df, batch), reg).collect()}
+    classified = classify(assign_batches(df, batch), reg)
+    out = {r["line_number"]: (r["batch_no"], r["status"]) for r in classified.collect()}
+    snaps = {r["processed"]: (r["imported"], r["errors"]) for r in progress_snapshots(classified, batch, 250).collect()}
+    per_batch = {r["batch_no"]: r["inserted"] for r in batch_sizes(classified).collect()}
     # sequential replay of the reference's loop
     stored, pending, expected, n_valid = set(registered), [], {}, 0
+    imported = errors = 0
+    exp_snaps, exp_batches = {}, {}
+
     def flush():
+        nonlocal imported, errors
         seen = set()
         for line, e in pending:
             if e in stored:
                 expected[line] = "existing"
+                errors += 1
             elif e in seen:
                 expected[line] = "file"
+                errors += 1
             else:
                 seen.add(e)
                 expected[line] = "unique"
+        if pending:
+            exp_batches[(n_valid - 1) // batch] = len(seen)
+        imported += len(seen)
         stored.update(seen)
         pending.clear()
+
     for i, (e, v) in enumerate(zip(emails, valid)):
         line = i + 2
         assert out[line][0] == n_valid // batch
@@ -61,8 +75,13 @@ def test_batches_and_duplicate_reason_match_loop(spark, monkeypatch, hot_rows):
                 flush()
         else:
             expected[line] = "invalid"
+            errors += 1
+        if (i + 1) % 250 == 0:
+            exp_snaps[i + 1] = (imported, errors)
     flush()
     assert {k: v[1] for k, v in out.items()} == expected
+    assert snaps == exp_snaps
+    assert per_batch == exp_batches
 
 
 def test_order_inversions_match_loop(spark):
