@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions.rules import CODES
@@ -64,23 +64,26 @@ def warned_rows(outcome: DataFrame, partition_cols: Sequence[str] = (), n: int =
     Output: ``warn_seq`` (1..n, n+1 for the notice), ``line_number``, ``detail``.
     """
     parts = list(partition_cols)
+    keys = [*parts, "batch_no", "is_duplicate", "line_number"]
     rejected = outcome.where(F.col("status") != "unique").select(
         *parts,
         "batch_no",
         F.when(F.col("status") == STATUS_INVALID, 0).otherwise(1).alias("is_duplicate"),
         "line_number",
+        "status",
+        "violations",
+        "dup_message",
+    )
+    # top-k first (TakeOrderedAndProject), then the text of the <= n rows kept
+    top = rejected.orderBy(*keys).limit(n)
+    numbered = top.select(
+        F.row_number().over(Window.orderBy(*keys)).cast("bigint").alias("warn_seq"),
+        "line_number",
         F.when(
             F.col("status") == STATUS_INVALID,
             F.array_join(F.transform("violations", lambda v: F.concat(v["field"], F.lit(": "), v["message"])), "; "),
         ).otherwise(F.concat(F.lit("email: "), F.col("dup_message"))).alias("detail"),
     )
-    top = rejected.orderBy(*parts, "batch_no", "is_duplicate", "line_number").limit(n)
-    # the n rows are already bounded; numbering them needs no distributed window
-    from pyspark.sql import Window
-
-    numbered = top.withColumn(
-        "warn_seq", F.row_number().over(Window.orderBy(*parts, "batch_no", "is_duplicate", "line_number")).cast("bigint")
-    ).select("warn_seq", "line_number", "detail")
     notice = (
         numbered.agg(F.count("*").alias("c"))
         .where(F.col("c") == n)

@@ -129,6 +129,6 @@ def constraint_audit(rows: DataFrame) -> DataFrame:
         checks.append(F.when(F.col(c).isNull(), F.lit(f"not_null_{c}")))
     for c, n in COLUMN_LIMITS.items():
         checks.append(F.when(F.length(c) > n, F.lit(f"length_{c}")))
-    per_row = rows.select(F.col("id").alias("key"), F.explode(F.array_compact(F.array(*checks))).alias("constraint")).select(
-        "constraint", "key", F.lit(1).cast("bigint").alias("rows"))
+    per_row = rows.select(F.col("id").alias("key"), F.explode(F.array(*checks)).alias("constraint")) \
+        .where(F.col("constraint").isNotNull()).select("constraint", "key", F.lit(1).cast("bigint").alias("rows"))
     return dup_id.unionByName(dup_email).unionByName(per_row)
