@@ -48,9 +48,15 @@ def row_counter(line_number: Column, file_seq: Column | None = None) -> Column:
     return F.shiftleft(file_seq.cast("bigint"), 32).bitwiseOR(base)
 
 
+def uuid7_millis(uid: Column) -> Column:
+    """The first 48 bits: Unix epoch milliseconds."""
+    return F.conv(F.substring(F.replace(uid, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("bigint")
+
+
 def uuid7_timestamp(uid: Column) -> Column:
-    """The first 48 bits as a timestamp (epoch milliseconds)."""
-    return F.timestamp_millis(F.conv(F.substring(F.replace(uid, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("bigint"))
+    """The embedded time as a UTC wall-clock ``timestamp_ntz`` (independent of the session zone)."""
+    secs = (uuid7_millis(uid) / F.lit(1000)).cast("decimal(18,3)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=secs)
 
 
 def uuid7_version(uid: Column) -> Column:

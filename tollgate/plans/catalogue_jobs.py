@@ -169,8 +169,8 @@ def rate_round(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     agg = e.groupBy(F.col("user_id").alias("job_id")).agg(
         F.count("*").cast("bigint").alias("rows"),
-        F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000)
-        .cast("bigint").alias("duration_ms"),
+        # wall-clock difference of the log's timestamps, no session-zone conversion
+        F.floor(F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000).cast("bigint").alias("duration_ms"),
         (F.sum("value") / 10.0).alias("_mb"),
     )
     return agg.select("job_id", "rows", "duration_ms", rate(F.col("rows"), F.col("duration_ms")).alias("rows_per_second"),

@@ -203,7 +203,7 @@ def uuid7_q(spark, sf_dir):
     O.with_validated(f"SELECT line_number, make_timestamp({RUN_MS}::BIGINT * 1000) AS id_ts FROM val WHERE is_valid"),
 )
 def uuid7_timestamp_q(spark, sf_dir):
-    return _ids(spark, sf_dir).select("line_number", uuid7_timestamp(F.col("id")).cast("timestamp_ntz").alias("id_ts"))
+    return _ids(spark, sf_dir).select("line_number", uuid7_timestamp(F.col("id")).alias("id_ts"))
 
 
 @register(
