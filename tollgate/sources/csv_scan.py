@@ -92,6 +92,7 @@ class CsvScan:
     blocks: DataFrame | None = None  # persisted split table the numbering joins to
     width: int = 1                   # cells in the widest header
     lines: int = 0                   # physical lines read (an upper bound on records)
+    quoted: bool = True              # some line holds a double quote
 
     def release(self) -> None:
         self.records.unpersist()
@@ -109,6 +110,7 @@ def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum((F.col("quotes") % 2 == 1).cast("int")).cast("bigint").alias("odd_lines"),
         F.max(F.octet_length("value")).cast("bigint").alias("max_bytes"),
         F.min_by("value", "_m").alias("first_line"),
+        F.max("quotes").alias("max_quotes"),
     )
     files = blocks.select("file_path").distinct()
     files = files.withColumn("file_seq", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("int"))
@@ -175,7 +177,7 @@ def scan_lines(
         raise ValueError(f"max_row_bytes must be at least {MIN_MAX_ROW_BYTES}")
     numbered, blocks = number_lines(lines)
     flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big"),
-                       F.sum("_n").alias("lines")).collect()[0]
+                       F.sum("_n").alias("lines"), F.max("max_quotes").alias("quotes")).collect()[0]
     multiline = bool(flags["odd"] or 0)
     records = assemble_records(numbered, multiline, max_row_bytes if check_size else None)
     records = records.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
@@ -204,7 +206,7 @@ def scan_lines(
     if check_size and max_row_bytes is not None and not multiline and (flags["big"] or 0) > max_row_bytes:
         too_big = records.where(F.col("record_bytes") > max_row_bytes).select("line_number").limit(20).collect()
         raise RowTooLargeError([r[0] for r in too_big])
-    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0))
+    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0), bool(flags["quotes"] or 0))
 
 
 def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
@@ -225,23 +227,36 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     # numbering is done, so rows may move: spread an under-split input over all cores
     # before the per-row parse and rules (a no-op when the scan already has enough splits)
     data = spread(scan.records.where(F.col("line_number") > 1))
-    parsed = data.withColumn(
-        "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
-    )
+    if scan.quoted:
+        parsed = data.withColumn(
+            "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
+        )
+        cells = F.array(*[F.col(f"_cells._c{i}") for i in range(width)])
+    else:
+        # no double quote anywhere in the input: every comma separates cells, a plain split parses it
+        parsed = data.withColumn("_cells", F.split(F.col("record"), ",", -1))
+        cells = F.col("_cells")
     # mapping has one row of six integers per input file: bounded by the file count, broadcast
     parsed = parsed.join(F.broadcast(mapping), "file_seq", "left")
-    cells = F.array(*[F.col(f"_cells._c{i}") for i in range(width)])
     out = parsed.select(
         "file_seq",
         "file_path",
         "line_number",
         "record_bytes",
         F.col("record").rlike(BLANK_RECORD).alias("is_blank"),
-        *[F.element_at(cells, F.col(f"_i_{c}") + 1).alias(c) for c in columns],
+        *[_cell(cells, F.col(f"_i_{c}") + 1, scan.quoted).alias(c) for c in columns],
     )
     return out
 
 
+def _cell(cells: Column, pos: Column, quoted: bool) -> Column:
+    """Cell at 1-based ``pos``; a short record gives NULL, an empty cell '' becomes NULL like from_csv."""
+    if quoted:
+        return F.element_at(cells, pos)
+    v = F.try_element_at(cells, pos)
+    return F.when(v != "", v)
+
+
 def scan_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
