@@ -89,3 +89,19 @@ def test_violation_order_and_raw_value(spark):
 def test_csv_escape(spark, text, expected):
     got = spark.createDataFrame([(text,)], "t string").select(csv_escape(F.col("t"))).collect()[0][0]
     assert got == expected
+
+
+def test_hard_semantics(spark):
+    """Traps listed in SURVEY 7.5: Unicode lowercasing, end anchors, JS whitespace, score edge forms."""
+    got = _errors(spark, "email", ["\u212Aate@school.edu", "a@b.io\n", "\u00a0a@b.io\ufeff", "a@b.io\u0085"])
+    assert [r[0] for r in got] == [None, None, None, R.MSG["email_pattern"]]
+    assert got[0][2] == "kate@school.edu"
+    assert got[1][2] == "a@b.io"      # LF is JavaScript whitespace: trimmed
+    assert got[2][2] == "a@b.io"      # NBSP and BOM too, U+0085 is not
+    got = _errors(spark, "score", ["5.", "-0", "+0.5"])
+    assert [r[0] for r in got] == [None, None, None]
+    assert [r[1] for r in got] == [5.0, 0.0, 0.5]
+    got = _errors(spark, "name", ["Ana\nSouza", "Ana\u0085Souza", "😀😀"])
+    assert got[0][0] is None and got[0][2] == "Ana Souza"
+    assert got[1][0] == R.MSG["name_chars"]
+    assert got[2][0] == R.MSG["name_chars"]  # two emoji: 4 UTF-16 units, but no letters
