@@ -18,6 +18,10 @@ JS_WS = (
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
 JS_TRIM_PATTERN = rf"^{JS_WS}+|{JS_WS}+\z"
+# the same set as plain characters, for btrim / translate (no regex engine per row)
+_WS_RANGES = [(0x9, 0xD), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+              (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+JS_WS_CHARS = "".join(chr(c) for lo, hi in _WS_RANGES for c in range(lo, hi + 1))
 
 # Error-report escaping.  A cell is quoted when it holds a double
 # quote, comma, CR or LF; text starting with = + - @ TAB CR that is not a plain
@@ -28,12 +32,18 @@ PLAIN_NUMBER = r"^[+-]?\d+(\.\d+)?\z"
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, JS_TRIM_PATTERN, "")
+    """``String.prototype.trim``: ``btrim`` with the whitespace set, a codegen string scan."""
+    return F.btrim(c, F.lit(JS_WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
-    """Trim, then collapse every whitespace run to one space."""
-    return F.regexp_replace(js_trim(c), rf"{JS_WS}+", " ")
+    """Trim, then collapse every whitespace run to one space.
+
+    Every whitespace character becomes a space (``translate``); only text that then holds
+    two spaces in a row needs the regex.
+    """
+    spaced = F.translate(js_trim(c), JS_WS_CHARS, " " * len(JS_WS_CHARS))
+    return F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
 
 
 def utf16_length(c: Column) -> Column:

@@ -70,13 +70,33 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
     base = ordinal_base if ordinal_base is not None else (1 if spec.fields[0].name != "id" else 0)
     # four projections in total (normalise, lengths, messages, outputs): a long chain of
     # withColumn calls would re-analyse the growing plan once per column on the driver
-    out = df.select("*", *[f.normalise(_raw(f.source)).alias(f"{f.name}_norm") for f in spec.fields])
-    out = out.select("*", *[utf16_length(F.col(f"{f.name}_norm")).alias(f"{f.name}_len") for f in spec.fields])
+    out = df
+    for step in _projections(spec, base):
+        out = out.select("*", *step)
+    return out
+
+
+# The projections are unresolved expressions over column names only, so one set serves every
+# DataFrame a spec validates: built once per (spec, ordinal base, JVM) instead of per call.
+_PROJECTIONS: dict[tuple, list[list[Column]]] = {}
+
+
+def _projections(spec: DataSpec, base: int) -> list[list[Column]]:
+    from pyspark import SparkContext
+
+    key = (spec, base, id(SparkContext._gateway))
+    if key not in _PROJECTIONS:
+        _PROJECTIONS[key] = _build_projections(spec, base)
+    return _PROJECTIONS[key]
+
+
+def _build_projections(spec: DataSpec, base: int) -> list[list[Column]]:
+    norms = [f.normalise(_raw(f.source)).alias(f"{f.name}_norm") for f in spec.fields]
+    lengths = [utf16_length(F.col(f"{f.name}_norm")).alias(f"{f.name}_len") for f in spec.fields]
     errors = []
     for f in spec.fields:
         with R.known_length(F.col(f"{f.name}_len")):
             errors.append(R.first_failure(f.rules, _raw(f.source), F.col(f"{f.name}_norm")).alias(f"{f.name}_error"))
-    out = out.select("*", *errors)
     items = []
     for i, f in enumerate(spec.fields):
         items.append(
@@ -94,13 +114,13 @@ def validate(df: DataFrame, spec: DataSpec, ordinal_base: int | None = None) ->
     # concat of conditional one-element arrays: unlike array_compact / filter (higher-order
     # functions, interpreted), concat and CASE keep the projection inside whole-stage codegen
     empty = F.expr(f"cast(array() as {VIOLATION_TYPE})")
-    return out.select(
-        "*",
+    outputs = [
         F.concat(*[F.when(it.isNotNull(), F.array(it)).otherwise(empty) for it in items]).alias("violations"),
         F.coalesce(*[F.col(f"{f.name}_error") for f in spec.fields]).isNull().alias("is_valid"),
         *[F.when(F.col(f"{f.name}_error").isNull(), f.typed(F.col(f"{f.name}_norm"))).alias(f"{f.name}_value")
           for f in spec.fields],
-    )
+    ]
+    return [norms, lengths, errors, outputs]
 
 
 def violation_message(violations: Column) -> Column:
