@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ def running_sums(
     partition_cols: Sequence[str] = (),
     suffix: str = "_through",
     max_order: int | None = None,
+    persist: bool = False,
 ) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows with order <= this row's (per partition).
 
@@ -41,6 +43,12 @@ def running_sums(
     ``values`` are numeric columns (booleans must be cast by the caller).
     ``max_order``: a known upper bound on ``order_col``; below 2^24 the level-1
     table has at most 4,096 rows per partition key and level 2 is skipped.
+    ``persist``: cache the shuffled rows (memory, spilling to disk) when ``df`` is costly to
+    recompute.  The bucket tables read only a few columns, so column pruning makes their
+    exchange differ from the rows' one and each branch would recompute ``df`` from its source;
+    the cache is read by every branch instead and keeps the ``(partition, bucket)``
+    partitioning for the join back and the window.  The returned frame lists it in
+    ``_tollgate_cached`` for the caller to unpersist.
     """
     parts = list(partition_cols)
     vals = list(values)
@@ -49,6 +57,15 @@ def running_sums(
     # one shuffle of the rows by (partition, bucket): the bucket aggregate, the
     # join back and the per-bucket window all read this same exchange
     rows = df.withColumn("_b1", b1).repartition(*parts, "_b1")
+    if persist:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        out = _running(rows, parts, vals, order_col, suffix, max_order)
+        out._tollgate_cached = [rows]  # type: ignore[attr-defined]
+        return out
+    return _running(rows, parts, vals, order_col, suffix, max_order)
+
+
+def _running(rows: DataFrame, parts: list, vals: list, order_col: str, suffix: str, max_order: int | None) -> DataFrame:
     t1 = rows.groupBy(*parts, "_b1").agg(*[F.sum(v).alias(v) for v in vals])
     if max_order is not None and max_order < (1 << (2 * BUCKET_BITS)):
         w1 = Window.partitionBy(*parts).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)

@@ -50,13 +50,17 @@ def assign_batches(
     if not isinstance(batch_size, int) or isinstance(batch_size, bool) or not 1 <= batch_size <= 10_000:
         raise ValueError("batch size must be an integer between 1 and 10000")
     staged = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_valid", F.col(valid_col).cast("bigint"))
-    out = running_sums(staged, order_col, ["_one", "_valid"], partition_cols, max_order=max_order)
+    # the input is a validated frame (every rule per row): shuffle it once, cached, for all branches
+    summed = running_sums(staged, order_col, ["_one", "_valid"], partition_cols, max_order=max_order, persist=True)
     out = (
-        out.withColumnRenamed("_one_through", "row_ordinal")
+        summed
+        .withColumnRenamed("_one_through", "row_ordinal")
         .withColumnRenamed("_valid_through", "valid_through")
         .withColumn("batch_no", F.floor((F.col("valid_through") - F.col("_valid")) / F.lit(batch_size)).cast("bigint"))
     )
-    return out.drop("_one", "_valid")
+    out = out.drop("_one", "_valid")
+    out._tollgate_cached = list(getattr(summed, "_tollgate_cached", []))  # type: ignore[attr-defined]
+    return out
 
 
 def classify(

@@ -36,12 +36,17 @@ def outcome(
     aggregate, join back), so it is persisted once (memory, spilling to disk;
     lost blocks are recomputed from lineage).  ``release(out)`` frees it.
     """
-    validated = validate(raw, spec)
+    # the rule intermediates (normalised text, lengths, first messages) are folded into
+    # ``violations`` / ``is_valid`` / ``<f>_value``: drop them before the rows are shuffled and
+    # cached (neither an exchange under a cache nor the cache itself prunes columns)
+    validated = validate(raw, spec).drop(
+        *[f"{f.name}_{part}" for f in spec.fields for part in ("norm", "len", "error")])
     # line numbers never exceed the lines read, so a known row bound also bounds the order column
-    batched = assign_batches(validated, batch_size, partition_cols=partition_cols,
-                             max_order=row_bound).persist(StorageLevel.MEMORY_AND_DISK)
+    batched = assign_batches(validated, batch_size, partition_cols=partition_cols, max_order=row_bound)
+    shuffled = getattr(batched, "_tollgate_cached", [])
+    batched = batched.persist(StorageLevel.MEMORY_AND_DISK)
     out = classify(batched, registered, key_col=f"{spec.key}_value", partition_cols=partition_cols, row_bound=row_bound)
-    out._tollgate_cached = [batched, *getattr(out, "_tollgate_cached", [])]  # type: ignore[attr-defined]
+    out._tollgate_cached = [batched, *shuffled, *getattr(out, "_tollgate_cached", [])]  # type: ignore[attr-defined]
     return out
 
 
