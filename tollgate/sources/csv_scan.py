@@ -23,7 +23,7 @@ not expose ordinals, so the scan is built from the text source:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -95,12 +95,15 @@ class CsvScan:
     width: int = 1                   # cells in the widest header
     lines: int = 0                   # physical lines read (an upper bound on records)
     quoted: bool = True              # some line holds a double quote
+    cached: list = field(default_factory=list)  # shuffled lines of the multi-line running sums
 
     def release(self) -> None:
         self.records.unpersist()
         self.header.unpersist()
         if self.blocks is not None:
             self.blocks.unpersist()
+        for c in self.cached:
+            c.unpersist()
 
 
 def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,17 +144,26 @@ def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered, blocks
 
 
-def assemble_records(numbered: DataFrame, multiline: bool, max_row_bytes: int | None = None) -> DataFrame:
-    """A2: records with their record number (header = 1) and raw text."""
+def assemble_records(
+    numbered: DataFrame, multiline: bool, max_row_bytes: int | None = None, max_lines: int | None = None
+) -> DataFrame:
+    """A2: records with their record number (header = 1) and raw text.
+
+    ``max_lines`` (lines read) bounds the line numbers.  On the multi-line path both running
+    sums persist their shuffled lines, so the text is scanned once rather than once per
+    branch; the caches are listed in ``_tollgate_cached`` of the result.
+    """
     if not multiline:
         return numbered.select(
             "file_seq", "file_path", F.col("phys_line").alias("line_number"), F.col("value").alias("record")
         )
-    par = running_sums(numbered, "phys_line", ["quotes"], ["file_seq"])
+    par = running_sums(numbered, "phys_line", ["quotes"], ["file_seq"], max_order=max_lines, persist=True)
     starts = par.withColumn(
         "_start", (((F.col("quotes_through") - F.col("quotes")) % 2) == 0).cast("bigint")
     )
-    rec = running_sums(starts, "phys_line", ["_start"], ["file_seq"]).withColumnRenamed("_start_through", "line_number")
+    rec = running_sums(starts, "phys_line", ["_start"], ["file_seq"], max_order=max_lines, persist=True)
+    cached = [*getattr(par, "_tollgate_cached", []), *getattr(rec, "_tollgate_cached", [])]
+    rec = rec.withColumnRenamed("_start_through", "line_number")
     if max_row_bytes is not None:
         too_big = (
             rec.groupBy("file_seq", "line_number")
@@ -166,10 +178,12 @@ def assemble_records(numbered: DataFrame, multiline: bool, max_row_bytes: int |
     grouped = rec.groupBy("file_seq", "file_path", "line_number").agg(
         F.array_sort(F.collect_list(F.struct("phys_line", "value"))).alias("_parts")
     )
-    return grouped.select(
+    out = grouped.select(
         "file_seq", "file_path", "line_number",
         F.array_join(F.transform("_parts", lambda p: p["value"]), "\n").alias("record"),
     )
+    out._tollgate_cached = cached  # type: ignore[attr-defined]
+    return out
 
 
 def scan_lines(
@@ -186,8 +200,9 @@ def scan_lines(
     flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big"),
                        F.sum("_n").alias("lines"), F.max("max_quotes").alias("quotes")).collect()[0]
     multiline = bool(flags["odd"] or 0)
-    records = assemble_records(numbered, multiline, max_row_bytes if check_size else None)
-    records = records.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
+    assembled = assemble_records(numbered, multiline, max_row_bytes if check_size else None,
+                                 max_lines=int(flags["lines"] or 0))
+    records = assembled.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
     if multiline:
         # slow path: record 1 may span lines; the assembled frame is reused below
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
@@ -213,7 +228,8 @@ def scan_lines(
     if check_size and max_row_bytes is not None and not multiline and (flags["big"] or 0) > max_row_bytes:
         too_big = records.where(F.col("record_bytes") > max_row_bytes).select("line_number").limit(20).collect()
         raise RowTooLargeError([r[0] for r in too_big])
-    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0), bool(flags["quotes"] or 0))
+    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0), bool(flags["quotes"] or 0),
+                   list(getattr(assembled, "_tollgate_cached", [])))
 
 
 def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
