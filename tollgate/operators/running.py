@@ -54,8 +54,9 @@ def running_sums(
     vals = list(values)
     b1 = F.shiftright(F.col(order_col), BUCKET_BITS)
 
-    # one shuffle of the rows by (partition, bucket): the bucket aggregate, the
-    # join back and the per-bucket window all read this same exchange
+    # one shuffle of the rows by (partition, bucket); with ``persist`` the bucket aggregate,
+    # the join back and the per-bucket window all read it (without, column pruning gives
+    # the bucket aggregate an exchange of its own)
     rows = df.withColumn("_b1", b1).repartition(*parts, "_b1")
     if persist:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
