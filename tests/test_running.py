@@ -104,3 +104,21 @@ def test_two_level_running_sums_with_bound(spark):
     for o, v in rows:
         acc += v
         assert got[o] == acc
+
+
+@pytest.mark.parametrize("bound", [None, 30000])
+def test_persisted_running_sums_match_loop_and_release(spark, bound):
+    """``persist=True``: same sums on both level paths, and the cached shuffle is handed back."""
+    rnd = random.Random(11)
+    rows = [(i * 2 + rnd.randint(0, 1), rnd.randint(0, 4), rnd.randint(0, 2)) for i in range(15000)]
+    df = spark.createDataFrame(rows, "o long, v long, p int")
+    out = running_sums(df, "o", ["v"], ["p"], max_order=bound, persist=True)
+    cached = out._tollgate_cached
+    assert len(cached) == 1 and cached[0].is_cached
+    got = {r["o"]: r["v_through"] for r in out.collect()}
+    acc = {}
+    for o, v, p in sorted(rows):
+        acc[p] = acc.get(p, 0) + v
+        assert got[o] == acc[p]
+    cached[0].unpersist()
+    assert not cached[0].is_cached
