@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import packing, secrets, tokens
+from tollgate.llm import decontaminate, packing, secrets, tokens
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op3_best_fit_packing(spark, sf_dir):
 @register("op8_secret_scan")
 def op8_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@register("op10_benchmark_decontamination", decontaminate.ORACLE)
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
