@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, packing, secrets, simhash, tokens
+from tollgate.llm import decontaminate, packing, pii, secrets, simhash, tokens
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op10_benchmark_decontamination(spark, sf_dir):
 @register("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_information_theoretic_pii")
+def op1_information_theoretic_pii(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
