@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, packing, pii, secrets, simhash, tokens
+from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, tokens
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,14 @@ def op4_simhash_near_dedup(spark, sf_dir):
 @register("op1_information_theoretic_pii")
 def op1_information_theoretic_pii(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op2_vector_bin_sharding")
+def op2_vector_bin_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+@register("op9_pruned_graph_neighbours")
+def op9_pruned_graph_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
