@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, tokens
+from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, tokens, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op2_vector_bin_sharding(spark, sf_dir):
 def op9_pruned_graph_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

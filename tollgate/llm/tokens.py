@@ -40,11 +40,15 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BLANK = re.compile(f"[{WHITE}]*")
 PARTS = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])")
-SIMPLE = re.compile(r" ?[A-Za-z]+\Z")
+# A chunk that is one piece: letters of the Latin blocks, after a space or not.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+# The vocabulary's byte alphabet: printable bytes stand for themselves, the others for U+0100 onwards.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 #: Contractions of three characters: cut after two, they are two pieces.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
-MEMO = 1 << 18          # chunks and token pairs remembered per worker
+MEMO = 1 << 19          # chunks remembered per worker, and as many older ones
 GROUP = 1 << 22         # characters whose new chunks are learnt together
 MEMO_CHARS = 48         # longer chunks are taken as a whole
 
@@ -73,6 +77,7 @@ class PrefixCounter:
         self.prev, self.count_at, self.last_at = "", [0], [""]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def spine(self, token: str, right: bool) -> list[tuple[str, int]]:
         """The parts that stand at one end of a token while merges build it, each with the rank
@@ -98,7 +103,7 @@ class PrefixCounter:
         """
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= 4 * MEMO:
+            if len(self.pairs) >= 2 * MEMO:
                 self.pairs.clear()
             if not a:
                 known = len(b) == 1 or b in self.split and self.may_follow(*self.split[b][:2]) is False
@@ -130,7 +135,8 @@ class PrefixCounter:
         del count[k + 1 :], last[k + 1 :]
         self.prev = s[:k]
         for i in range(k + 1, len(s) + 1):
-            for start in range(max(0, i - longest.get(s[i - 1], 1)), i):
+            first = i - 1 - len(last[i - 1])  # most often the last token goes on or a new one starts
+            for start in (first, i - 1, *range(max(0, i - longest.get(s[i - 1], 1)), i - 1)):
                 t = s[start:i]
                 if t in vocab:
                     ok = pairs.get((last[start], t))
@@ -145,23 +151,40 @@ class PrefixCounter:
 
     def pieces(self, chunk: str) -> list[tuple[str, int, int]]:
         """(piece in the byte alphabet, start, end) of a chunk, as the library splits it."""
-        if SIMPLE.match(chunk):
-            return [(chunk.replace(" ", "Ġ"), 0, len(chunk))]
+        if WORD.match(chunk):
+            if chunk.isascii():
+                return [(chunk.replace(" ", "Ġ"), 0, len(chunk))]
+            return [(chunk.encode().decode("latin-1").translate(ALPHABET), 0, len(chunk))]
         return [(p, a, b) for p, (a, b) in self.pre.pre_tokenize_str(chunk)]
 
     def learn(self, chunks: set[str]) -> None:
         """Count the chunks that are not remembered, in the order of their pieces."""
-        if len(self.totals) + len(chunks) > MEMO:
-            self.totals.clear()
-        parts: dict[str, list[str]] = {}  # a letter and ASCII punctuation are never in one piece
-        for c in chunks:
-            if c not in self.totals:
-                parts[c] = PARTS.split(c) if len(c) <= MEMO_CHARS else [c]
-        wanted = {p for ps in parts.values() for p in ps if p not in self.totals}
-        split = {p: [x for x, _, _ in self.pieces(p)] for p in wanted}
-        found = {x: self.piece(x)[-1] for x in sorted({x for xs in split.values() for x in xs})}
-        self.totals.update((p, sum(map(found.__getitem__, xs))) for p, xs in split.items())
-        self.totals.update([(c, sum(map(self.totals.__getitem__, ps))) for c, ps in parts.items()])
+        if len(self.totals) > MEMO:  # what is in use comes back from the older half
+            self.older, self.totals = self.totals, {}
+        totals, older = self.totals, self.older
+        parts: list[tuple[str, list[str]]] = []  # a letter and ASCII punctuation are never in one piece
+        wanted: set[str] = set()
+        for c in chunks.difference(totals):
+            n = older.get(c)
+            if n is not None:
+                totals[c] = n
+                continue
+            ps = PARTS.split(c) if len(c) <= MEMO_CHARS else [c]
+            if len(ps) > 1:
+                parts.append((c, ps))
+            wanted.update(ps)
+        split: dict[str, list[tuple[str, int, int]]] = {}
+        for p in wanted.difference(totals):
+            n = older.get(p)
+            if n is None:
+                split[p] = self.pieces(p)
+            else:
+                totals[p] = n
+        found = {x: self.piece(x)[-1] for x in sorted({x for xs in split.values() for x, _, _ in xs})}
+        for p, xs in split.items():
+            totals[p] = found[xs[0][0]] if len(xs) == 1 else sum([found[x] for x, _, _ in xs])
+        for c, ps in parts:
+            totals[c] = sum([totals[p] for p in ps])
 
     def chunk_total(self, chunk: str) -> int:
         n = self.totals.get(chunk)
