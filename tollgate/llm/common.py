@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -83,3 +84,9 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of plans that are gone: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, tokens, toxicity
+from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, substrings, tokens, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op9_pruned_graph_neighbours(spark, sf_dir):
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op6_repeated_strings")
+def op6_repeated_strings(spark, sf_dir):
+    return substrings.report(table(spark, sf_dir, "documents"))
