@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.session import ensure_checkpoint_dir
@@ -74,9 +74,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(text: str = "text") -> F.Column:
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def row_key(text: Column | None = None) -> Column:
     """Tells apart rows that share a doc_id but not their text."""
-    return F.xxhash64(F.col(text), F.col(text).isNull())
+    text = F.col("text") if text is None else text
+    return F.xxhash64(text, text.isNull())
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -139,7 +139,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns kept."""
     bad = written(contamination(docs, benchmark, **options).where("contaminated").select("doc_id", "key"), "contaminated")
     bad = bad.select(F.col("doc_id").alias("_bad_doc"), F.col("key").alias("_bad_key"))
-    same = docs["doc_id"].eqNullSafe(bad["_bad_doc"]) & (row_key() == bad["_bad_key"])
+    same = docs["doc_id"].eqNullSafe(bad["_bad_doc"]) & (row_key(docs["text"]) == bad["_bad_key"])
     return docs.join(bad, same, "left_anti")
 
 

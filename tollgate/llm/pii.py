@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import bound_batches, column, map_batches, row_key, texts, written
+from tollgate.llm.common import bound_batches, column, fresh, map_batches, row_key, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 8               # words on either side of a value that count as being with it
@@ -240,20 +240,23 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, all other columns as they were."""
     base = written(find_base(docs), "base")
     known = disclosing(docs, base)
-    keyed = docs.withColumn("_row_key", row_key())
-    terms = term_spans(*known) if known else base.limit(0).select("doc_id", "key").withColumn("terms", F.lit(None).cast("array<struct<a:long,b:long,action:string>>"))
-    terms = terms.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("terms").alias("_terms"))
-    both = keyed.join(terms, keyed["doc_id"].eqNullSafe(terms["_doc"]) & (keyed["_row_key"] == terms["_key"]), "left")
-    both = both.select(*docs.columns, "_terms")
+    name = fresh("terms", docs)
+    if known:
+        terms = term_spans(*known)
+    else:
+        terms = base.limit(0).select("doc_id", "key").withColumn("terms", F.lit(None).cast("array<struct<a:long,b:long,action:string>>"))
+    terms = terms.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("terms").alias(name))
+    same = docs["doc_id"].eqNullSafe(terms["_doc"]) & (row_key(docs["text"]) == terms["_key"])
+    both = docs.join(terms, same, "left").select(*(docs[c] for c in docs.columns), terms[name])
     bound_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
         new = []
-        for t, extra in zip(column(batch, "text").to_pylist(), column(batch, "_terms").to_pylist()):
+        for t, extra in zip(column(batch, "text").to_pylist(), column(batch, name).to_pylist()):
             spans = [(a, b, k) for k, a, b in base_spans(t or "")] + [(s["a"], s["b"], s["action"]) for s in extra or []]
             new.append(sanitise_text(t, spans) if spans else t)
         at = batch.schema.get_field_index("text")
         kept = batch.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
-        yield kept.drop_columns(["_terms"])
+        yield kept.drop_columns([name])
 
     return map_batches(both, run, docs.schema)

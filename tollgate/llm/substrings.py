@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import bound_batches, byte_texts, column, free, map_batches, remove, scratch, written
+from tollgate.llm.common import bound_batches, byte_texts, column, free, fresh, map_batches, remove, scratch, written
 
 LENGTH = 200            # bytes of a string
 GRAM = 50               # bytes of an anchor
@@ -126,8 +126,8 @@ def chunks(batch: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield close()
 
 
-def _place_key() -> Column:
-    return F.hash(F.col("text"), F.col("text").isNull())
+def _place_key(text: Column) -> Column:
+    return F.hash(text, text.isNull())
 
 
 def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -163,7 +163,7 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             )
 
     return map_batches(
-        docs.select("doc_id", _place_key().alias("key"), "text"), run,
+        docs.select("doc_id", _place_key(F.col("text")).alias("key"), "text"), run,
         "h long, ctx long, doc_id long, key int, s1 int, s2 int, e1 int, n int",
     )
 
@@ -308,7 +308,7 @@ def fetch(docs: DataFrame, pool: DataFrame, length: int) -> DataFrame:
     asked = pool.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.key").alias("_key")).agg(
         F.collect_list(F.struct("h", "ctx", "crowded", "rep.s1", "rep.e1")).alias("asked")
     )
-    d = docs.select("doc_id", _place_key().alias("key"), "text")
+    d = docs.select("doc_id", _place_key(F.col("text")).alias("key"), "text")
     d = d.join(asked, d["doc_id"].eqNullSafe(asked["_doc"]) & (d["key"] == asked["_key"])).select("text", "asked")
 
     def run(batch: pa.RecordBatch):
@@ -374,19 +374,22 @@ def cut(text: bytes, found: list[dict] | None, length: int) -> tuple[bytes, int]
     return b"".join(out) + text[at:], spans
 
 
-def _with_runs(docs: DataFrame, length: int, options: dict) -> DataFrame:
-    found = repeated_runs(docs, length, **options).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("runs").alias("_runs"))
+def _with_runs(docs: DataFrame, length: int, options: dict) -> tuple[DataFrame, str]:
+    """``docs`` and the name of the added column with their runs."""
+    name = fresh("runs", docs)
+    found = repeated_runs(docs, length, **options).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("runs").alias(name))
     free(docs.sparkSession)
-    d = docs.withColumn("_place", _place_key())
-    return d.join(found, d["doc_id"].eqNullSafe(found["_doc"]) & (d["_place"] == found["_key"]), "left").select(*docs.columns, "_runs")
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (_place_key(docs["text"]) == found["_key"])
+    return docs.join(found, same, "left").select(*(docs[c] for c in docs.columns), found[name]), name
 
 
 def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    both, name = _with_runs(docs.select("doc_id", "text"), length, options)
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for t, found in zip(byte_texts(batch), column(batch, "_runs").to_pylist()):
+        for t, found in zip(byte_texts(batch), column(batch, name).to_pylist()):
             left, spans = cut(t, found, length)
             rows.append((len(t), len(t) - len(left), spans, hashlib.sha256(left).hexdigest()))
         cols = list(zip(*rows))
@@ -395,18 +398,18 @@ def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    both = _with_runs(docs.select("doc_id", "text"), length, options)
     return map_batches(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` without repeated strings; a character cut in two becomes a replacement character."""
+    both, name = _with_runs(docs, length, options)
 
     def run(batch: pa.RecordBatch):
         at = batch.schema.get_field_index("text")
-        old, found = byte_texts(batch), column(batch, "_runs").to_pylist()
+        old, found = byte_texts(batch), column(batch, name).to_pylist()
         was = column(batch, "text").to_pylist()
         new = [cut(t, r, length)[0].decode(errors="replace") if r else w for t, r, w in zip(old, found, was)]
-        yield batch.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type)).drop_columns(["_runs"])
+        yield batch.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type)).drop_columns([name])
 
-    return map_batches(_with_runs(docs, length, options), run, docs.schema)
+    return map_batches(both, run, docs.schema)
