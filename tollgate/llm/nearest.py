@@ -137,7 +137,7 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     points = points.withColumn("shard", F.pmod(F.xxhash64("vector"), shards).cast("int"))
     bound_batches(vectors.sparkSession)
 
-    def graph(key, t: pa.Table) -> pa.Table:
+    def graph(key, t):
         dim = key[0].as_py()
         edges, start = build(unit(_matrix(t.column("vector"), dim)))
         n = t.num_rows
@@ -159,12 +159,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block
     q = q.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).distinct()
     q = written(q.withColumn("dim", F.size("vector")), "queries")
     blocks = max(1, math.ceil(q.count() / block))
-    shards = index.select("dim", "shard").distinct()
+    shards = written(index.select("dim", "shard").distinct(), "graphs")
     asked = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(shards, "dim")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     bound_batches(index.sparkSession)
 
-    def answer(key, points: pa.Table, questions: pa.Table) -> pa.Table:
+    def answer(key, points, questions):
         out: list[tuple[int, int, float]] = []
         if points.num_rows and questions.num_rows:
             dim = key[0].as_py()
