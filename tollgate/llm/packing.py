@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tollgate.llm.common import bound_batches, byte_texts, column, map_batches, written
 
 CAPACITY = 2048
 BLOCK = 1 << 16         # pieces packed together
-MEMO = 1 << 18          # chunks remembered per worker
+MEMO = 1 << 19          # chunks remembered per worker, and as many older ones
 MEMO_BYTES = 48         # longer chunks are not split and not kept
 GROUP = 1 << 22         # bytes whose new chunks are encoded together
 PASSES = 24             # rounds of the local search
@@ -55,14 +56,27 @@ class ChunkIds:
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        memo = self.memo
-        if len(memo) + len(chunks) > MEMO:
-            memo.clear()
+        if len(self.memo) > MEMO:  # what is in use comes back from the older half
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         whole = lambda c: len(c) > MEMO_BYTES or b"<|" in c  # noqa: E731  a special string stays in one
-        parts = {c: [c] if whole(c) else PARTS.split(c) for c in chunks if c not in memo}
-        wanted = [p for p in dict.fromkeys(itertools.chain.from_iterable(parts.values())) if p not in memo]
+        parts: dict[bytes, list[bytes]] = {}
+        for c in chunks.difference(memo):
+            known = older.get(c)
+            if known is None:
+                parts[c] = [c] if whole(c) else PARTS.split(c)
+            else:
+                memo[c] = known
+        wanted = []
+        for p in set(itertools.chain.from_iterable(parts.values())).difference(memo):
+            known = older.get(p)
+            if known is None:
+                wanted.append(p)
+            else:
+                memo[p] = known
         if wanted:
             e = self.tok.encode([w.decode() for w in wanted], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
@@ -201,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     """The pieces with sequence_id and offset.  ``pieces`` should be cheap to read twice."""
     bound_batches(pieces.sparkSession)
     parts = max(1, round(pieces.count() / block))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches([b for b in batches if b.num_rows] or [])

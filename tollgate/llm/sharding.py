@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tollgate.llm.common import bound_batches, written
@@ -95,12 +96,10 @@ def assign(items: DataFrame, n_shards: int) -> DataFrame:
     large = items.where(is_large).orderBy(*DIMENSIONS, "g", "part").collect()  # at most 3 * n_shards / LARGE
     sizes = np.array([[r[d] for d in DIMENSIONS] for r in large], float).reshape(-1, len(DIMENSIONS)) / cap
     shards = place(sizes, residual)
-    placed = spark.createDataFrame(
-        [(*(r[c] for c in items.columns), int(s)) for r, s in zip(large, shards)], items.schema.add("shard", "int")
-    )
+    schema = T.StructType([*items.schema.fields, T.StructField("shard", T.IntegerType())])
+    placed = spark.createDataFrame([(*(r[c] for c in items.columns), int(s)) for r, s in zip(large, shards)], schema)
     rest_n, rest = sums["n"] - len(large), np.maximum(n_shards - sizes.sum(axis=0), 1e-12)
     blocks = max(1, round(rest_n / BLOCK))
-    schema = items.schema.add("shard", "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
