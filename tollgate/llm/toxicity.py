@@ -182,13 +182,37 @@ def backward(p: dict, state, dlogit: np.ndarray, idx: np.ndarray, rows: int):
     return g, backward_direction(kf, ds[:, :, :HIDDEN], p["Uf"], idx, rows, g["Uf"]), backward_direction(kb, ds[:, :, HIDDEN:], p["Ub"], idx, rows, g["Ub"])
 
 
+def all_gates(p: dict, buckets: np.ndarray, ends: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Gate inputs of many words, some at a time."""
+    out = [np.zeros((len(ends), 3 * HIDDEN), np.float32) for _ in range(2)]
+    for k in range(0, len(ends), step):
+        at = ends[k - 1] if k else 0
+        part = ends[k : k + step]
+        for whole, some in zip(out, gates(p, inputs(p["E"], buckets[at : part[-1]], part - at))):
+            whole[k : k + step] = some
+    return out[0], out[1]
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    n = ends - starts
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Sample:
     """Tokenised texts: words by number, their buckets, and the windows of each text."""
 
     def __init__(self, batch: list[str]):
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int64) for t in batch]
-        self.buckets, self.ends = word_buckets(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        names, parts, at = list(number), [], 0
+        self.ends = np.zeros(len(names), np.int64)
+        for k in range(0, len(names), 20_000):
+            buckets, ends = word_buckets(names[k : k + 20_000])
+            parts.append(buckets.astype(np.uint16))
+            self.ends[k : k + 20_000] = at + ends
+            at += len(buckets)
+        self.buckets = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
         self.spans = [windows(len(d)) for d in self.docs]
 
     def stack(self, pick: list[tuple[int, int, int]]):
@@ -236,12 +260,7 @@ def train(batch: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     starts = np.concatenate([[0], sample.ends[:-1]])
-    counts = np.maximum(sample.ends - starts - 1, 1).astype(np.float32)
-    owner = np.repeat(np.arange(len(sample.ends)), sample.ends - starts)
-    first = np.zeros(len(sample.buckets), bool)
-    first[starts] = True
-    weight = np.where(first, 1, 1 / counts[owner]).astype(np.float32)
-    words_of = [np.arange(a, b) for a, b in zip(starts, sample.ends)]
+    share_of = (1 / np.maximum(sample.ends - starts - 1, 1)).astype(np.float32)  # weight of a word's n-gram
     step = 0
     for epoch in range(epochs):
         limit = 3 if epoch < 2 else 10**9  # texts with few windows first: their label is about them
@@ -254,13 +273,13 @@ def train(batch: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
             if at % (BATCH * 16) == 0:  # the most toxic windows, by the model as it is now
                 if at == 0:
                     rng.shuffle(pool)
-                gf, gb = gates(p, inputs(p["E"], sample.buckets, sample.ends))
+                gf, gb = all_gates(p, sample.buckets, sample.ends)
                 picks = worst_windows(p, sample, gf, gb, pool[at : at + BATCH * 16].tolist())
             part = picks[at % (BATCH * 16) : at % (BATCH * 16) + BATCH]
             idx, length, order = sample.stack(part)
             used, local = np.unique(idx, return_inverse=True)
             idx = local.reshape(idx.shape)
-            rows = np.concatenate([words_of[w] for w in used])
+            rows = ranges(starts[used], sample.ends[used])
             ends = np.cumsum(sample.ends[used] - starts[used])
             x = inputs(p["E"], sample.buckets[rows], ends)
             gf, gb = gates(p, x)
@@ -272,7 +291,9 @@ def train(batch: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
             dx = dgf @ p["Wf"].T + dgb @ p["Wb"].T
             local_owner = np.repeat(np.arange(len(used)), sample.ends[used] - starts[used])
             touched, at_bucket = np.unique(sample.buckets[rows], return_inverse=True)
-            de = dx[local_owner] * weight[rows][:, None]
+            weight = share_of[used][local_owner]
+            weight[ends - (sample.ends[used] - starts[used])] = 1  # the word's own embedding
+            de = dx[local_owner] * weight[:, None]
             ge = np.stack([np.bincount(at_bucket, weights=de[:, c], minlength=len(touched)) for c in range(DIM)], axis=1)
             step += 1
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
