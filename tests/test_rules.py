@@ -7,26 +7,21 @@ from tollgate.functions import rules as R
 from tollgate.functions.text import csv_escape
 from tollgate.plans.spec import STUDENTS, validate
 
-EMAIL_OK = ["student@school.com", "first.last@university.edu.br", "user+tag@sub.domain.io", "o'brien@example.org",
-            "  John.DOE@Example.COM "]
-EMAIL_BAD = ["plainaddress", "missing-at.example.com", "user@", "@example.com", "user@example", "user@@example.com",
-             "user name@example.com", ".user@example.com", "user..name@example.com", "user@-example.com"]
-NAME_OK = ["Ana", "José da Silva", "Shaquille O'Neal", "Mary-Jane Watson", "Zoë Ångström", "Li", "a" * 100]
-NAME_BAD = {"": R.MSG["name_required"], "   ": R.MSG["name_required"], "A": R.MSG["name_min"],
-            "a" * 101: R.MSG["name_max"], "John_Doe": R.MSG["name_chars"], "R2D2": R.MSG["name_chars"],
-            "Robert; DROP TABLE": R.MSG["name_chars"], "--": R.MSG["name_chars"]}
-SCORE_OK = {"0": 0.0, "100": 100.0, "85.5": 85.5, "99.99": 99.99, "100.00": 100.0, " 72.25 ": 72.25, "85.50": 85.5,
-            ".5": 0.5, "+42": 42.0, "50.0000000001": 50.0}
-SCORE_BAD = {"-0.01": R.MSG["score_range"], "100.01": R.MSG["score_range"], "-5": R.MSG["score_range"],
-             "150": R.MSG["score_range"], "85.555": R.MSG["score_decimals"], "72.123": R.MSG["score_decimals"],
-             "0.001": R.MSG["score_decimals"], "abc": R.MSG["score_number"], "12,5": R.MSG["score_number"],
-             "1e2": R.MSG["score_number"], "85.5.1": R.MSG["score_number"], "NaN": R.MSG["score_number"],
-             "": R.MSG["score_required"], "9" * 400: R.MSG["score_range"]}
-DATE_BAD = {"": R.MSG["date_required"], "2024/03/15": R.MSG["date_format"], "not-a-date": R.MSG["date_format"],
-            "2024-02-30": R.MSG["date_calendar"], "2023-13-01": R.MSG["date_calendar"], "1899-12-31": R.MSG["date_year"],
-            "2101-01-01": R.MSG["date_year"], "0000-13-45": R.MSG["date_year"], "1900-02-29": R.MSG["date_calendar"]}
-COURSE_BAD = {"x" * 37: R.MSG["course_max"], "course 101": R.MSG["course_chars"], "course;drop": R.MSG["course_chars"],
-              "": R.MSG["course_required"]}
+EMAIL_OK = ["q.ort@lab-7.net", "x@y.zz", "m_k%t@a.b.c.example", "d'arc+77@orte.museum", "\t Q.Ort@LAB-7.NET\n", "k" * 64 + "@tal.ch",
+            "w@" + ".".join(["abcdefghi"] * 24) + ".example"]
+EMAIL_BAD = ["nothing", "two words@tal.ch", "@tal.ch", "berg@", "berg@tal", "berg@@tal.ch", "berg@tal..ch", "be..rg@tal.ch", "berg.@tal.ch",
+             "berg@tal.ch-", "berg@-tal.ch", "b,e@tal.ch"]
+NAME_OK = ["Yo", "Ünal Öztürk", "Nuala D'Arcy-Quinn", "Þóra", "n" * 100, "  Iris\u00a0 Holm "]
+NAME_BAD = {"": R.MSG["name_required"], "\t\n": R.MSG["name_required"], "Z": R.MSG["name_min"], "n" * 101: R.MSG["name_max"],
+            "Iris & Holm": R.MSG["name_chars"], "4711": R.MSG["name_chars"], "Holm!": R.MSG["name_chars"], "''": R.MSG["name_chars"]}
+SCORE_OK = {"7": 7.0, "00": 0.0, "100.0": 100.0, "+9.1": 9.1, ".25": 0.25, "\t33.30 ": 33.3, "61.40": 61.4, "99.999999999999": 100.0}
+SCORE_BAD = {"-1": R.MSG["score_range"], "100.5": R.MSG["score_range"], "1234": R.MSG["score_range"], "8" * 330: R.MSG["score_range"],
+             "3.141": R.MSG["score_decimals"], "0.0049": R.MSG["score_decimals"], "ten": R.MSG["score_number"], "7,5": R.MSG["score_number"],
+             "4e1": R.MSG["score_number"], "1.2.3": R.MSG["score_number"], "Infinity": R.MSG["score_number"], "": R.MSG["score_required"]}
+DATE_BAD = {"": R.MSG["date_required"], "2021.04.05": R.MSG["date_format"], "5 May 2021": R.MSG["date_format"],
+            "2021-02-29": R.MSG["date_calendar"], "2022-00-10": R.MSG["date_calendar"], "2022-06-31": R.MSG["date_calendar"],
+            "1850-07-07": R.MSG["date_year"], "2300-07-07": R.MSG["date_year"], "0001-99-99": R.MSG["date_year"], "2100-02-29": R.MSG["date_calendar"]}
+COURSE_BAD = {"k" * 37: R.MSG["course_max"], "bio 7": R.MSG["course_chars"], "bio/7": R.MSG["course_chars"], "": R.MSG["course_required"]}
 
 
 def _errors(spark, field, values):
@@ -45,8 +40,8 @@ def _errors(spark, field, values):
 def test_email(spark):
     ok = _errors(spark, "email", EMAIL_OK)
     assert [r[0] for r in ok] == [None] * len(EMAIL_OK)
-    assert ok[-1][2] == "john.doe@example.com"
-    bad = _errors(spark, "email", EMAIL_BAD + ["", "a" * 251 + "@b.io", "a" * 65 + "@b.io"])
+    assert ok[4][2] == "q.ort@lab-7.net"
+    bad = _errors(spark, "email", EMAIL_BAD + ["", "a" * 250 + "@tal.ch", "a" * 65 + "@tal.ch"])
     assert [r[0] for r in bad] == [R.MSG["email_pattern"]] * len(EMAIL_BAD) + [
         R.MSG["email_required"], R.MSG["email_max"], R.MSG["email_local"]]
 

@@ -40,12 +40,14 @@ def uuid7(run_ms: Column, counter: Column, *key: Column) -> Column:
     )
 
 
-def row_counter(line_number: Column, file_seq: Column | None = None) -> Column:
-    """40-bit counter from input position: up to 256 files x 2^32 lines per run."""
-    base = line_number.cast("bigint")
-    if file_seq is None:
-        return base
-    return F.shiftleft(file_seq.cast("bigint"), 32).bitwiseOR(base)
+MAX_COUNTER = (1 << 40) - 1
+COUNTER_RANGE = "Row position beyond the 40-bit counter of an id"
+
+
+def row_counter(ordinal: Column) -> Column:
+    """40-bit counter from a row's position in the whole input; beyond its range the job fails."""
+    n = ordinal.cast("bigint")
+    return F.when((n >= 0) & (n <= MAX_COUNTER), n).otherwise(F.raise_error(F.lit(COUNTER_RANGE)).cast("bigint"))
 
 
 def uuid7_millis(uid: Column) -> Column:

@@ -7,6 +7,7 @@ the state is an aggregation.  Per job, ordered by ``(ts, event_id)``:
 * the first ``start`` is legal unless a ``fail`` came first;
 * after a legal start the first ``complete`` or ``fail`` finishes the job;
   without a legal start the first ``fail`` finishes it;
+* a completion whose report is inconsistent (``report_error``) ends the job as failed with that text;
 * every other start / complete / fail is an illegal move and changes nothing.
 
 That is three rounds of per-job ``min`` aggregations (partial aggregation before
@@ -16,6 +17,8 @@ third of all events joins map-side), never a per-job window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +51,16 @@ def _first_after(kind: str, after: str) -> Column:
     return F.min(F.when((F.col("kind") == kind) & (_pos() > F.col(after)), _pos()))
 
 
+def _end_kind() -> Column:
+    """How a legal end leaves the job: a completion with a broken report fails it."""
+    return F.when((F.col("kind") == COMPLETE) & F.col("report_error").isNotNull(), F.lit(FAIL)).otherwise(F.col("kind"))
+
+
 def replay(events: DataFrame) -> DataFrame:
     """Per event: ``state_before``, ``legal``, ``message``; per job facts are joined on.
 
-    ``events`` columns: job_id, ts, event_id, kind (create/start/complete/fail/other), plus payload.
+    ``events`` columns: job_id, ts, event_id, kind (create/start/complete/fail/other), report_error
+    (of a completion, NULL if its report holds), plus payload.
     """
     # every job id of the log has a row in each per-job table, so inner joins keep all events;
     # a job holding a third of the events joins map-side (see operators.skew)
@@ -69,7 +78,7 @@ def replay(events: DataFrame) -> DataFrame:
     )
     r3 = e2.groupBy("job_id").agg(
         F.min(F.when(F.col("start_pos").isNotNull() & F.col("kind").isin(COMPLETE, FAIL) & (_pos() > F.col("start_pos")),
-                     F.struct(_pos().alias("p"), F.col("kind").alias("k")))).alias("_end_after_start"),
+                     F.struct(_pos().alias("p"), _end_kind().alias("k")))).alias("_end_after_start"),
     )
     e3 = hot_split_join(e2, r3, "job_id", hot)
     end = F.when(F.col("start_pos").isNotNull(), F.col("_end_after_start")).otherwise(
@@ -93,23 +102,33 @@ def replay(events: DataFrame) -> DataFrame:
         .withColumn("message", message)
 
 
-def job_status(replayed: DataFrame) -> DataFrame:
-    """K2: one row per job id seen in the log: status and timestamps, or not-found."""
-    return replayed.groupBy("job_id").agg(
+def job_status(replayed: DataFrame, requested: DataFrame | None = None, result: Sequence[str] = ()) -> DataFrame:
+    """K2: one row per job id: status, timestamps, error and, of completed jobs, the ``result`` columns.
+
+    ``requested`` (job_id) are the ids asked for; those without a job are reported as not found.
+    Without it every id of the log is.
+    """
+    ends = F.col("legal") & F.col("kind").isin(COMPLETE, FAIL)
+    jobs = replayed.groupBy("job_id").agg(
         F.first("created", ignorenulls=True).alias("_created"),
         F.first("start_pos", ignorenulls=True).alias("_start"),
         F.first("end", ignorenulls=True).alias("_end"),
-        F.max_by(F.when(F.col("legal") & (F.col("kind") == FAIL), F.col("reason")),
-                 F.when(F.col("legal") & (F.col("kind") == FAIL), _pos())).alias("_reason"),
-    ).select(
+        F.max(F.when(ends, F.struct(F.coalesce("report_error", F.when(F.col("kind") == FAIL, F.col("reason"))).alias("error"),
+                                    *result))).alias("_last"),
+    )
+    if requested is not None:
+        jobs = requested.select("job_id").distinct().join(jobs, "job_id", "left")
+    failed = F.col("_end.k") == FAIL
+    return jobs.select(
         "job_id",
         F.when(F.col("_created").isNull(), F.lit(None).cast("string"))
-        .when(F.col("_end").isNotNull(), F.when(F.col("_end.k") == FAIL, FAILED).otherwise(COMPLETED))
+        .when(F.col("_end").isNotNull(), F.when(failed, FAILED).otherwise(COMPLETED))
         .when(F.col("_start").isNotNull(), PROCESSING).otherwise(PENDING).alias("status"),
         F.col("_created.ts").alias("created_at"),
         F.col("_start.ts").alias("started_at"),
         F.col("_end.p.ts").alias("finished_at"),
-        F.when(F.col("_created").isNull(), not_found(F.col("job_id"))).otherwise(F.col("_reason")).alias("error"),
+        F.when(F.col("_created").isNull(), not_found(F.col("job_id"))).when(failed, F.col("_last.error")).alias("error"),
+        *[F.when(~failed, F.col(f"_last.{c}")).alias(c) for c in result],
     )
 
 

@@ -27,11 +27,36 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit("other")
     for ev, k in KIND.items():
         kind = F.when(F.col("event_type") == ev, F.lit(k)).otherwise(kind)
+    counts = _report_counts(F.col("value"), F.col("event_id"))
+    broken = F.when(kind == JB.COMPLETE, JB.report_check(*counts))
     return e.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), "value",
-                    F.col("props").alias("reason"))
+                    F.col("props").alias("reason"), broken.alias("report_error"),
+                    *[c.alias(n) for n, c in zip(RESULT, counts)])
 
 
-_LEDGER = """ev AS (
+RESULT = ("total_processed", "total_imported", "total_errors")
+
+
+def _report_counts(value: F.Column, event_id: F.Column) -> list[F.Column]:
+    """The report of a completion: processed = value, imported = floor(value), errors = event_id % 3."""
+    return [value, F.floor(value).cast("double"), (event_id % 3).cast("double")]
+
+
+def _report_sql(value: str, event_id: str) -> tuple[str, str, str]:
+    return value, f"CAST(floor({value}) AS DOUBLE)", f"CAST({event_id} % 3 AS DOUBLE)"
+
+
+_CHECK_SQL = """CASE WHEN {p} < 0 OR {p} <> floor({p}) OR {i} < 0 OR {i} <> floor({i}) OR {e} < 0 OR {e} <> floor({e})
+  THEN 'Import report is inconsistent: row counts must be non-negative integers'
+  WHEN {i} + {e} > {p} THEN 'Import report is inconsistent: imported + errors cannot exceed the processed rows' END"""
+
+
+def _check_sql(value: str, event_id: str) -> str:
+    p, i, e = _report_sql(value, event_id)
+    return _CHECK_SQL.format(p=p, i=i, e=e)
+
+
+_LEDGER = f"""ev AS (
   SELECT user_id AS job_id, event_id, ts, value, props AS reason,
     CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'other' END AS kind,
     row_number() OVER (ORDER BY ts, event_id) AS pos
@@ -46,7 +71,8 @@ e2 AS (SELECT e1.*, r2.first_start, r2.first_fail,
 r3 AS (SELECT job_id, min(CASE WHEN start_pos IS NOT NULL AND kind IN ('complete', 'fail') AND pos > start_pos THEN pos END) AS end_after
        FROM e2 GROUP BY job_id),
 e3 AS (SELECT e2.*, CASE WHEN start_pos IS NOT NULL THEN r3.end_after ELSE first_fail END AS end_pos FROM e2 JOIN r3 USING (job_id)),
-e4 AS (SELECT e3.*, x.kind AS end_kind FROM e3 LEFT JOIN ev x ON x.pos = e3.end_pos),
+e4 AS (SELECT e3.*, CASE WHEN x.kind = 'complete' AND ({_check_sql('x.value', 'x.event_id')}) IS NOT NULL THEN 'fail' ELSE x.kind END AS end_kind,
+  CASE WHEN x.kind = 'complete' THEN {_check_sql('x.value', 'x.event_id')} ELSE x.reason END AS end_error FROM e3 LEFT JOIN ev x ON x.pos = e3.end_pos),
 st AS (SELECT *,
   CASE WHEN created IS NULL OR pos < created THEN NULL
        WHEN end_pos IS NOT NULL AND pos > end_pos THEN CASE WHEN end_kind = 'fail' THEN 'failed' ELSE 'completed' END
@@ -71,39 +97,27 @@ def job_transitions(spark, sf_dir):
     return r.where(F.col("kind") != "other").select("event_id", "job_id", "kind", "state_before", "legal", "message")
 
 
+_RESULT_SQL = ", ".join(f"CASE WHEN end_kind = 'complete' THEN {x} END AS {n}" for n, x in zip(RESULT, _report_sql("d.value", "d.event_id")))
 _STATUS_SQL = f"""WITH {_LEDGER},
 jobs AS (SELECT job_id, any_value(created) AS created, any_value(start_pos) AS start_pos, any_value(end_pos) AS end_pos,
-                any_value(end_kind) AS end_kind FROM st GROUP BY job_id)
-SELECT j.job_id,
+                any_value(end_kind) AS end_kind, any_value(end_error) AS end_error FROM st GROUP BY job_id),
+asked AS (SELECT c_custkey AS job_id FROM customer UNION SELECT user_id FROM events)
+SELECT asked.job_id,
   CASE WHEN created IS NULL THEN NULL WHEN end_pos IS NOT NULL THEN CASE WHEN end_kind = 'fail' THEN 'failed' ELSE 'completed' END
        WHEN start_pos IS NOT NULL THEN 'processing' ELSE 'pending' END AS status,
   a.ts AS created_at, b.ts AS started_at, d.ts AS finished_at,
-  CASE WHEN created IS NULL THEN 'Import job ' || CAST(j.job_id AS VARCHAR) || ' was not found'
-       WHEN end_kind = 'fail' THEN d.reason END AS error
-FROM jobs j LEFT JOIN ev a ON a.pos = j.created LEFT JOIN ev b ON b.pos = j.start_pos LEFT JOIN ev d ON d.pos = j.end_pos"""
+  CASE WHEN created IS NULL THEN 'Import job ' || CAST(asked.job_id AS VARCHAR) || ' was not found'
+       WHEN end_kind = 'fail' THEN end_error END AS error, {_RESULT_SQL}
+FROM asked LEFT JOIN jobs j ON j.job_id = asked.job_id LEFT JOIN ev a ON a.pos = j.created LEFT JOIN ev b ON b.pos = j.start_pos
+LEFT JOIN ev d ON d.pos = j.end_pos"""
 
 
 @register("job_status", _STATUS_SQL)
 def job_status(spark, sf_dir):
-    return JB.job_status(JB.replay(job_log(spark, sf_dir)))
-
-
-def _report_cols(value: str, event_id: str) -> tuple[str, str, str]:
-    return value, f"floor({value})", f"({event_id} % 3)"
-
-
-_CHECK_SQL = """CASE WHEN {p} < 0 OR {p} <> floor({p}) OR {i} < 0 OR {i} <> floor({i}) OR {e} < 0 OR {e} <> floor({e})
-  THEN 'Import report is inconsistent: row counts must be non-negative integers'
-  WHEN {i} + {e} > {p} THEN 'Import report is inconsistent: imported + errors cannot exceed the processed rows' END"""
-
-
-def _check_sql(value: str, event_id: str) -> str:
-    p, i, e = _report_cols(value, event_id)
-    return _CHECK_SQL.format(p=p, i=i, e=e)
-
-
-def _report_check(value: F.Column, event_id: F.Column) -> F.Column:
-    return JB.report_check(value, F.floor(value).cast("double"), (event_id % 3).cast("double"))
+    """Asked for: every job of the log and every customer key, most of which never had a job."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"))
+    log = job_log(spark, sf_dir)
+    return JB.job_status(JB.replay(log), asked.union(log.select("job_id")), RESULT)
 
 
 @register(
@@ -113,22 +127,21 @@ def _report_check(value: F.Column, event_id: F.Column) -> F.Column:
 def report_invariants(spark, sf_dir):
     """F4 over one report per completion event: processed = value, imported = floor(value), errors = event_id % 3."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
-    return e.select("event_id", _report_check(F.col("value"), F.col("event_id")).alias("message"))
+    return e.select("event_id", JB.report_check(*_report_counts(F.col("value"), F.col("event_id"))).alias("message"))
 
 
 @register(
     "job_report_check",
     f"""WITH {_LEDGER},
-ends AS (SELECT DISTINCT job_id, end_pos FROM st WHERE end_kind = 'complete')
-SELECT n.job_id, CASE WHEN msg IS NULL THEN 'completed' ELSE 'failed' END AS status, msg AS error
-FROM (SELECT ends.job_id, {_check_sql('x.value', 'x.event_id')} AS msg FROM ends JOIN ev x ON x.pos = ends.end_pos) n""",
+ends AS (SELECT DISTINCT st.job_id, end_kind, end_error FROM st JOIN ev x ON x.pos = st.end_pos WHERE x.kind = 'complete')
+SELECT job_id, CASE WHEN end_kind = 'fail' THEN 'failed' ELSE 'completed' END AS status, end_error AS error FROM ends""",
 )
 def job_report_check(spark, sf_dir):
-    """K3: a completion whose report breaks F4 ends the job failed with that text."""
+    """K3: a completion whose report breaks F4 ends the job failed with that text; the job's own status says the same."""
     r = JB.replay(job_log(spark, sf_dir))
     done = r.where(F.col("legal") & (F.col("kind") == JB.COMPLETE))
-    msg = _report_check(F.col("value"), F.col("event_id"))
-    return done.select("job_id", F.when(msg.isNull(), JB.COMPLETED).otherwise(JB.FAILED).alias("status"), msg.alias("error"))
+    status = F.when(F.col("end.k") == JB.FAIL, JB.FAILED).otherwise(JB.COMPLETED)
+    return done.select("job_id", status.alias("status"), F.col("report_error").alias("error"))
 
 
 @register(

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollgate.functions import rules as R
 from tollgate.functions.ids import row_counter, uuid7, uuid7_timestamp, uuid7_version
 from tollgate.functions.slug import slug
 from tollgate.operators.inversions import order_inversions
@@ -23,6 +24,7 @@ from tollgate.plans.spec import STUDENTS, validate
 from tollgate.session import scratch_path
 from tollgate.sinks import jdbc as J
 from tollgate.sinks import table as TB
+from tollgate.sources import generate as G
 from tollgate.sources.fixtures import raw_students, registered_students, table
 from tollgate.sources.generate import apply_corruption, generate_students
 
@@ -31,10 +33,10 @@ RUN_MS = int(RUN_TS.timestamp() * 1000)
 SEED_TS = dt.datetime(2025, 12, 31, tzinfo=dt.timezone.utc)
 
 
-def seeded_target(spark: SparkSession, sf_dir: str) -> str:
+def seeded_target(spark: SparkSession, sf_dir: str, every: int = 10) -> str:
     path = scratch_path(spark, "students-target")
     TB.create_target(spark, path)
-    reg = registered_students(spark, sf_dir).select(
+    reg = registered_students(spark, sf_dir, every).select(
         *[F.col(c) for c in ["id", "name", "email", "enrollment_date", "course_id"]],
         F.col("score").cast("decimal(5,2)").alias("score"),
         F.lit(SEED_TS).cast("timestamp").alias("created_at"),
@@ -54,10 +56,10 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select("name", "email", "enrollment_date", "course_id", F.col("score").cast("double").alias("score"))
 
 
-_REG_STUDENTS = """SELECT concat('00000000-0000-7000-8000-', lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS id, c_name AS name,
+_ALL_STUDENTS = """SELECT concat('00000000-0000-7000-8000-', lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS id, c_name AS name,
   concat('user.', CAST(c_custkey AS VARCHAR), '@school.edu') AS email, DATE '2024-02-01' AS enrollment_date,
   concat('COURSE-', CAST(c_custkey % 50 AS VARCHAR)) AS course_id, CAST(((floor(c_acctbal) % 101) + 101) % 101 AS DOUBLE) AS score
-FROM customer WHERE c_custkey % 10 = 0"""
+FROM customer"""
 
 _UNIQUE_ROWS = O.with_outcome(
     f"SELECT name_norm AS name, email_norm AS email, CAST(date_norm AS DATE) AS enrollment_date, course_norm AS course_id, "
@@ -65,15 +67,15 @@ _UNIQUE_ROWS = O.with_outcome(
 )
 
 
-@register("students_schema", f"SELECT id, name, email, enrollment_date, course_id, score FROM ({_REG_STUDENTS})")
+@register("students_schema", f"SELECT id, name, email, enrollment_date, course_id, score FROM ({_ALL_STUDENTS})")
 def students_schema(spark, sf_dir):
-    t = TB.read_target(spark, seeded_target(spark, sf_dir))
+    t = TB.read_target(spark, seeded_target(spark, sf_dir, every=1))
     return t.select("id", "name", "email", "enrollment_date", "course_id", F.col("score").cast("double").alias("score"))
 
 
-@register("registered_keys_scan", O.REGISTERED)
+@register("registered_keys_scan", f"SELECT email FROM ({_ALL_STUDENTS})")
 def registered_keys_scan(spark, sf_dir):
-    return TB.registered_keys(spark, seeded_target(spark, sf_dir))
+    return TB.registered_keys(spark, seeded_target(spark, sf_dir, every=1))
 
 
 @register("append_new_students", _UNIQUE_ROWS)
@@ -133,20 +135,36 @@ def readback_audit(spark, sf_dir):
     return TB.readback_audit(TB.read_target(spark, path))
 
 
+_LIMIT_CASES = " UNION ALL ".join(
+    f"SELECT 'length_{c}', id, 1 FROM bad WHERE length({c}) > {n}" for c, n in TB.COLUMN_LIMITS.items())
+
+
 @register(
     "constraint_audit",
     O.with_validated(
         "SELECT 'unique_email' AS constraint, email_norm AS key, CAST(count(*) AS BIGINT) AS rows FROM val WHERE is_valid "
-        "GROUP BY email_norm HAVING count(*) > 1"
+        "GROUP BY email_norm HAVING count(*) > 1 UNION ALL SELECT * FROM (WITH bad AS (SELECT 'page-' || CAST(page_id % 1000 AS VARCHAR) AS id, "
+        "html AS name, CASE WHEN page_id % 3 > 0 THEN url END AS email, CASE WHEN page_id % 5 > 0 THEN 'C1' END AS course_id FROM pages) "
+        "SELECT 'primary_key_id', id, count(*) FROM bad GROUP BY id HAVING count(*) > 1 "
+        "UNION ALL SELECT 'unique_email', email, count(*) FROM bad GROUP BY email HAVING count(*) > 1 "
+        "UNION ALL SELECT 'not_null_email', id, 1 FROM bad WHERE email IS NULL "
+        "UNION ALL SELECT 'not_null_course_id', id, 1 FROM bad WHERE course_id IS NULL "
+        f"UNION ALL {_LIMIT_CASES})"
     ),
 )
 def constraint_audit(spark, sf_dir):
-    """K5 over the valid candidates as they would be stored without first-wins."""
+    """K5 over the valid candidates as they would be stored without first-wins, and over pages taken for
+    students (long names, missing cells, repeated ids), so that every kind of check fires."""
     v = validate(raw_students(spark, sf_dir), STUDENTS).where(F.col("is_valid"))
     rows = TB.to_stored(
         v.select("line_number", *[F.col(f"{f}_value").alias(f) for f in STUDENTS.field_names()]), RUN_TS
     )
-    return TB.constraint_audit(rows)
+    k = F.col("page_id")
+    bad = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), (k % 1000).cast("string")).alias("id"), F.col("html").alias("name"),
+        F.when(k % 3 > 0, F.col("url")).alias("email"), F.lit("2024-02-01").cast("date").alias("enrollment_date"),
+        F.when(k % 5 > 0, F.lit("C1")).alias("course_id"), F.lit(50).cast("decimal(5,2)").alias("score"))
+    return TB.constraint_audit(rows).unionByName(TB.constraint_audit(bad))
 
 
 # ---- JDBC -----------------------------------------------------------------------
@@ -164,11 +182,11 @@ def jdbc_write(spark, sf_dir):
     return _typed(back.join(seed.select("email"), "email", "left_anti"))
 
 
-@register("jdbc_read", f"SELECT id, name, email, enrollment_date, course_id, score FROM ({_REG_STUDENTS})")
+@register("jdbc_read", f"SELECT id, name, email, enrollment_date, course_id, score FROM ({_ALL_STUDENTS})")
 def jdbc_read(spark, sf_dir):
     url = J.derby_memory_url(f"tollgate_{uuid.uuid4().hex[:10]}")
     c = table(spark, sf_dir, "customer")
-    seed = registered_students(spark, sf_dir).join(
+    seed = registered_students(spark, sf_dir, every=1).join(
         c.select(F.concat(F.lit("user."), F.col("c_custkey").cast("string"), F.lit("@school.edu")).alias("email"),
                  F.col("c_custkey").alias("seq")), "email")
     J.write_table(seed.withColumn("score", F.col("score").cast("decimal(5,2)")), url, "registered", mode="overwrite")
@@ -229,10 +247,27 @@ def slug_q(spark, sf_dir):
 
 # ---- generator ------------------------------------------------------------------
 
-@register("generate_students")
+# the first message that each corruption leads to (11, a repeated email, is no violation of a row)
+_KIND_MESSAGE = {0: "email_pattern", 1: "email_required", 2: "score_range", 3: "score_range", 4: "score_decimals", 5: "score_number",
+                 6: "name_chars", 7: "name_min", 8: "date_calendar", 9: "date_format", 10: "course_required"}
+
+
+@register("generate_students", "SELECT o_orderkey AS row_index, true AS cells_in_range, true AS message_as_expected FROM orders")
 def generate_students_q(spark, sf_dir):
-    """One generated student per order (seed 42, 5 % corrupted); rows-only check."""
-    return generate_students(table(spark, sf_dir, "orders"), "o_orderkey", seed=42, error_rate=0.05)
+    """One generated student per order (seed 42, 5 % corrupted), each held against what the generator promises."""
+    rows = generate_students(table(spark, sf_dir, "orders"), "o_orderkey", seed=42, error_rate=0.05)
+    domains = "|".join(d.replace(".", "[.]") for d in G.EMAIL_DOMAINS)
+    shape = F.col("email").rlike(f"^[a-z]+[.][a-z]+[.][0-9]+@({domains})$")
+    own = F.element_at(F.split(F.substring_index("email", "@", 1), "[.]"), -1) == F.col("row_index").cast("string")
+    ranges = (F.col("enrollment_date").between(G.DATE_FROM, G.DATE_TO) & F.expr("try_cast(score AS double)").between(0, 100)
+              & F.col("course_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$"))
+    v = validate(rows.withColumn("line_number", F.col("row_index")), STUDENTS)
+    first = F.coalesce(*[F.col(f"{f}_error") for f in STUDENTS.field_names()])
+    expected = F.lit(None).cast("string")
+    for k, name in _KIND_MESSAGE.items():
+        expected = F.when(F.col("corruption") == k, F.lit(R.MSG[name])).otherwise(expected)
+    return v.select("row_index", (F.col("corruption").isNotNull() | (shape & own & ranges)).alias("cells_in_range"),
+                    first.eqNullSafe(expected).alias("message_as_expected"))
 
 
 _CORRUPT_BASE = """SELECT o_orderkey AS k, o_orderkey + 2 AS line_number, 'Ana Souza' AS name,
@@ -242,13 +277,16 @@ _CORRUPT_BASE = """SELECT o_orderkey AS k, o_orderkey + 2 AS line_number, 'Ana S
   CASE WHEN o_orderkey - 1 - (o_orderkey % 1000) >= 0 THEN concat('student.', CAST(o_orderkey - 1 - (o_orderkey % 1000) AS VARCHAR), '@school.edu') ELSE 'dup@school.edu' END AS dup_email
 FROM orders"""
 
+def _cases(values: dict[int, str]) -> str:
+    return " ".join(f"WHEN k % 12 = {k} THEN '{v}'" for k, v in values.items())
+
+
 _CORRUPT_RAW = f"""SELECT line_number, k % 12 AS corruption,
-  CASE WHEN k % 12 = 6 THEN 'J0hn Sm1th' WHEN k % 12 = 7 THEN 'A' ELSE name END AS name,
+  CASE {_cases(G.CORRUPT_NAME)} ELSE name END AS name,
   CASE WHEN k % 12 = 0 THEN replace(email, '@', '.at.') WHEN k % 12 = 1 THEN '' WHEN k % 12 = 11 THEN dup_email ELSE email END AS email,
-  CASE WHEN k % 12 = 8 THEN '2024-13-45' WHEN k % 12 = 9 THEN '15/03/2024' ELSE enrollment_date END AS enrollment_date,
+  CASE {_cases(G.CORRUPT_DATE)} ELSE enrollment_date END AS enrollment_date,
   CASE WHEN k % 12 = 10 THEN '' ELSE course_id END AS course_id,
-  CASE WHEN k % 12 = 0 THEN '75.00' WHEN k % 12 = 2 THEN '104.50' WHEN k % 12 = 3 THEN '-3' WHEN k % 12 = 4 THEN '85.555'
-       WHEN k % 12 = 5 THEN 'N/A' ELSE score END AS score
+  CASE {_cases(G.CORRUPT_SCORE)} ELSE score END AS score
 FROM ({_CORRUPT_BASE})"""
 
 

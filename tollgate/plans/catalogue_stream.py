@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tollgate.functions import rules as R
 from tollgate.plans import oracle as O
 from tollgate.plans.catalogue import register
 from tollgate.plans.catalogue_io import ROWS_PER_FILE, _CELLS, _FILE_RAW, students_csv
@@ -200,24 +201,55 @@ def stream_idempotent(spark, sf_dir):
 
 @register(
     "stream_stop",
-    _STREAM + "SELECT CAST(1 AS BIGINT) AS committed, CAST(count(DISTINCT file_seq) - 1 AS BIGINT) AS aborted, "
-    "CAST(sum(CASE WHEN status = 'unique' AND file_seq = 0 THEN 1 ELSE 0 END) AS BIGINT) AS imported FROM oc2",
+    _STREAM + "SELECT CAST(1 AS BIGINT) AS committed_before_stop, count(DISTINCT file_seq) > 1 AS aborted, "
+    "CAST(sum(CASE WHEN status = 'unique' AND file_seq = 0 THEN 1 ELSE 0 END) AS BIGINT) AS imported_before_stop, "
+    "CAST(count(DISTINCT file_seq) AS BIGINT) AS committed, CAST(count(*) AS BIGINT) AS processed, "
+    "CAST(sum(CASE WHEN status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS imported FROM oc2",
 )
 def stream_stop(spark, sf_dir):
-    """Abort after the first micro-batch; later batches are recorded as aborted, nothing else is written."""
-    run, *_ = _stream(spark, sf_dir, max_files_per_trigger=1, abort_after=1)
-    return run.ledger.agg(
-        F.sum(F.when(F.col("status") == "committed", 1).otherwise(0)).cast("bigint").alias("committed"),
-        F.sum(F.when(F.col("status") == "aborted", 1).otherwise(0)).cast("bigint").alias("aborted"),
-        F.sum("imported").cast("bigint").alias("imported"),
+    """Abort after the first micro-batch; a restart from the same checkpoint takes up all that is left."""
+    inbox, _ = make_inbox(spark, sf_dir)
+    target, ckpt, ledger = seeded_target(spark, sf_dir), scratch_path(spark, "ckpt"), scratch_path(spark, "ledger")
+    run_ts = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    sums = [F.count("*").alias("n"), F.sum("processed").alias("processed"), F.sum("imported").alias("imported")]
+    first = stream_import(spark, inbox, target, ckpt, ledger, max_files_per_trigger=1, abort_after=1, run_ts=run_ts)
+    before = first.ledger.where("status = 'committed'").agg(*sums).first()
+    rest = stream_import(spark, inbox, target, ckpt, ledger, max_files_per_trigger=1, run_ts=run_ts)
+    after = rest.ledger.where("status = 'committed'").agg(*sums).first()
+    return spark.createDataFrame(
+        [(before["n"], first.aborted, before["imported"], after["n"], after["processed"], after["imported"])],
+        "committed_before_stop bigint, aborted boolean, imported_before_stop bigint, committed bigint, processed bigint, imported bigint",
     )
 
 
 @register(
     "stream_failure",
-    f"SELECT 'Import failed after ' || CAST(count(*) AS VARCHAR) || ' rows: CSV header is missing required columns: name, enrollment_date, course_id' AS message FROM ({O.RAW_STUDENTS})",
+    f"SELECT 'Import failed after ' || CAST(count(*) AS VARCHAR) || ' rows: CSV header is missing required columns: name, enrollment_date, course_id' AS message, "
+    f"CAST(count(*) AS BIGINT) AS committed_rows, CAST(1 AS BIGINT) AS failed_files FROM ({O.RAW_STUDENTS})",
 )
 def stream_failure(spark, sf_dir):
-    """A file with a bad header fails its micro-batch; earlier batches stay committed."""
-    run, *_ = _stream(spark, sf_dir, max_files_per_trigger=1, bad_header_last=True)
-    return spark.createDataFrame([(run.failure,)], "message string")
+    """A file with a bad header fails alone, in a micro-batch with all the others; their rows are committed."""
+    run, *_ = _stream(spark, sf_dir, bad_header_last=True)
+    done = run.ledger.agg(F.sum("processed").cast("bigint").alias("committed_rows"),
+                          F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).cast("bigint").alias("failed_files"))
+    return done.select(F.lit(run.failure).alias("message"), "committed_rows", "failed_files")
+
+
+_FIELDS = [("name", "name"), ("email", "email"), ("enrollment_date", "date"), ("course_id", "course"), ("score", "score")]
+_REPORTED = " UNION ALL ".join(
+    [f"SELECT file_seq, line_number, '{field}' AS field, {col}_raw AS value, {col}_error AS message FROM oc2 WHERE {col}_error IS NOT NULL"
+     for field, col in _FIELDS]
+    + [f"SELECT file_seq, line_number, 'email', email_norm, CASE WHEN status = 'existing' THEN {O.q(R.MSG['dup_existing'])} "
+       f"ELSE {O.q(R.MSG['dup_file'])} END FROM oc2 WHERE status IN ('existing', 'file')"])
+
+
+@register(
+    "stream_report",
+    _STREAM + f", rej AS ({_REPORTED}) SELECT DISTINCT file_seq, 'line_number,field,value,error_message' AS line FROM rej UNION ALL "
+    f"SELECT file_seq, CAST(line_number AS VARCHAR) || ',' || {_esc('field')} || ',' || {_esc('value')} || ',' || {_esc('message')} FROM rej",
+)
+def stream_report(spark, sf_dir):
+    """B3 in streaming: a report folder per file, read back."""
+    report_dir = scratch_path(spark, "stream-reports")
+    _stream(spark, sf_dir, report_dir=report_dir)
+    return spark.read.text(report_dir).select(F.col("file").cast("int").alias("file_seq"), F.col("value").alias("line"))

@@ -90,6 +90,13 @@ def import_rows(
     return ImportRun(out, rej, import_summary(out), error_sample(rej, partition_cols))
 
 
+def candidate_keys(raw: DataFrame) -> DataFrame:
+    """The normalised emails of the raw rows: the only keys that an import asks the target for."""
+    from tollgate.functions.rules import norm_email
+
+    return raw.select(norm_email(F.coalesce("email", F.lit(""))).alias("email"))
+
+
 # ---- whole-file import: scan -> outcome -> report -> append -> result ------------------
 
 @dataclass
@@ -136,23 +143,29 @@ def import_csv(
         create_target(spark, target)
     scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes)
     raw = project_columns(scan, REQUIRED_COLUMNS).where(~F.col("is_blank"))
-    run = import_rows(raw, snapshot_keys(spark, target), batch_size, STUDENTS, ["file_seq"], row_bound=scan.lines)
-    counts = run.summary.collect()[0]
-    sample = [r.asDict() for r in run.sample.select("line_number", "field", "value", "message").collect()]
-    report = None
-    if counts["total_errors"] > 0 and report_dir:
-        report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
-    accepted = run.outcome.where(F.col("status") == "unique").select(
-        "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
-    appended = append_new(accepted, target, run_ts, file_seq="file_seq", offered=int(counts["total_imported"]))
-    run.release()
-    scan.release()
+    run = None
+    try:
+        keys = snapshot_keys(spark, target, candidate_keys(raw))
+        run = import_rows(raw, keys, batch_size, STUDENTS, ["file_seq"], row_bound=scan.lines)
+        counts = run.summary.collect()[0]
+        sample = [r.asDict() for r in run.sample.select("file_seq", "line_number", "field", "value", "message").collect()]
+        report = None
+        if (counts["total_errors"] or 0) > 0 and report_dir:
+            report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
+        accepted = run.outcome.where(F.col("status") == "unique").select(
+            "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
+        appended = append_new(scan.with_ordinal(accepted), target, run_ts, "ordinal", int(counts["total_imported"] or 0),
+                              distinct_keys=True)
+    finally:
+        if run is not None:
+            run.release()
+        scan.release()
     duration = int(round((time.monotonic() - started) * 1000))
-    processed = int(counts["total_processed"])
+    processed = int(counts["total_processed"] or 0)
     return ImportResult(
         total_processed=processed,
         total_imported=appended.inserted,
-        total_errors=int(counts["total_errors"]) + appended.skipped,
+        total_errors=int(counts["total_errors"] or 0) + appended.skipped,
         errors=sample,
         duration_ms=duration,
         rows_per_second=int((processed * 1000 + duration // 2) // duration) if duration > 0 else processed,

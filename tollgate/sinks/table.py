@@ -46,9 +46,12 @@ def registered_keys(spark: SparkSession, path: str) -> DataFrame:
     return read_target(spark, path).select("email")
 
 
-def snapshot_keys(spark: SparkSession, path: str) -> DataFrame:
+def snapshot_keys(spark: SparkSession, path: str, candidates: DataFrame | None = None) -> DataFrame:
     """The registered keys as of now, cut from the target's lineage.
 
+    With ``candidates`` (email) only those of them that are registered, so that what is shuffled
+    and written follows the batch and not the target.
+
     Spark re-caches every cached plan that reads a path when that path is
     written, so a plan reading the target lazily would see rows appended later
     (by this run or a concurrent writer).  The key set is written once as a
@@ -58,16 +61,24 @@ def snapshot_keys(spark: SparkSession, path: str) -> DataFrame:
     from tollgate.session import scratch_path
 
     snap = scratch_path(spark, "registered-keys")
-    registered_keys(spark, path).distinct().write.parquet(snap)
-    return spark.read.parquet(snap)
+    keys = registered_keys(spark, path)
+    if candidates is None:
+        keys = keys.distinct()
+    else:
+        keys = candidates.select("email").where(F.col("email").isNotNull()).distinct().join(keys, "email", "left_semi")
+    keys.write.parquet(snap)
+    return spark.read.schema("email string").parquet(snap)
+
 
+def to_stored(rows: DataFrame, run_ts: dt.datetime, ordinal: str = "line_number", tick: int = 0) -> DataFrame:
+    """Typed target rows with a uuid7 id per row and the run's created_at.
 
-def to_stored(rows: DataFrame, run_ts: dt.datetime, file_seq: str | None = None) -> DataFrame:
-    """Typed target rows with a uuid7 id per row and the run's created_at."""
-    run_ms = F.lit(int(run_ts.timestamp() * 1000)).cast("bigint")
-    counter = row_counter(F.col("line_number"), F.col(file_seq) if file_seq else None)
+    ``ordinal`` is the row's position in the whole input.  ``tick`` (the number of the micro-batch)
+    advances the id's milliseconds, so that ids of later micro-batches sort behind earlier ones.
+    """
+    run_ms = F.lit(int(run_ts.timestamp() * 1000) + tick).cast("bigint")
     return rows.select(
-        uuid7(run_ms, counter, F.col("email")).alias("id"),
+        uuid7(run_ms, row_counter(F.col(ordinal)), F.col("email")).alias("id"),
         "name",
         "email",
         F.col("enrollment_date").cast("date").alias("enrollment_date"),
@@ -84,23 +95,29 @@ class AppendResult:
     skipped: int    # keys that appeared in the target meanwhile (B2)
 
 
-def append_new(accepted: DataFrame, path: str, run_ts: dt.datetime, file_seq: str | None = None,
-               offered: int | None = None) -> AppendResult:
+def append_new(accepted: DataFrame, path: str, run_ts: dt.datetime, ordinal: str = "line_number",
+               offered: int | None = None, tick: int = 0, distinct_keys: bool = False) -> AppendResult:
     """B1/B2: append rows whose email is not in the target *now*; count both sides.
 
-    ``offered`` (the unique-row count) is counted here unless the caller already knows it.
+    Of several rows with one email the first by ``ordinal`` is inserted; ``distinct_keys`` says that
+    there are none.  ``offered`` (the row count) is counted here unless the caller already knows it.
     """
     spark = accepted.sparkSession
-    fresh = registered_keys(spark, path)
-    new = accepted.join(fresh, on="email", how="left_anti")
-    stored = to_stored(new, run_ts, file_seq).persist(StorageLevel.MEMORY_AND_DISK)
-    if offered is None:
-        offered = accepted.count()
-    inserted = stored.count()
-    if inserted:
-        # clustered by id: files come out in insert order, like sequential keys in a B-tree
-        stored.sortWithinPartitions("id").write.mode("append").parquet(path)
-    stored.unpersist()
+    first = accepted
+    if not distinct_keys:
+        row = F.struct(*[F.col(c) for c in accepted.columns])
+        first = accepted.groupBy("email").agg(F.min_by(row, F.col(ordinal)).alias("_row")).select("_row.*")
+    new = first.join(registered_keys(spark, path), on="email", how="left_anti")
+    stored = to_stored(new, run_ts, ordinal, tick).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if offered is None:
+            offered = accepted.count()
+        inserted = stored.count()
+        if inserted:
+            # clustered by id: files come out in insert order, like sequential keys in a B-tree
+            stored.sortWithinPartitions("id").write.mode("append").parquet(path)
+    finally:
+        stored.unpersist()
     return AppendResult(offered, inserted, offered - inserted)
 
 

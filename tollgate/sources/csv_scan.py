@@ -8,8 +8,8 @@ not expose ordinals, so the scan is built from the text source:
    a split, which holds the block's lines in file order).
 2. A block table (one row per split: min id, line count, quote-odd lines) is
    prefix-summed per file; ``line = id - min_id + lines_before_block + 1``.
-   The table has one row per input split, so its size is bounded by
-   input bytes / split size; AQE broadcasts it when it is small enough.
+   The table has one row per input split; the planner broadcasts it when it is
+   small enough.  A line that doesn't fit its split's offsets fails the job.
 3. Fast path: when no line has an odd number of quotes every line is a
    record.  Otherwise the open-quote parity is a running sum (bucketed, see
    ``operators.running``), record ids are a running count of record starts and
@@ -30,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import JS_WS, js_trim
+from tollgate.functions.text import JS_WS_CHARS, js_trim
 from tollgate.operators.running import running_sums
 from tollgate.sources.fixtures import spread
 
@@ -40,10 +40,10 @@ REQUIRED_COLUMNS = ("name", "email", "enrollment_date", "course_id", "score")
 DEFAULT_MAX_ROW_BYTES = 64 * 1024
 MIN_MAX_ROW_BYTES = 256
 ROW_TOO_LARGE = "Row exceeds the maximum size"
+REPORTED_LINES = 20  # oversized lines named by the error, the first ones
 HEADER_MISSING = "CSV header is missing required columns: "
 
-_CELL_BLANK = rf'(?:{JS_WS}*|"{JS_WS}*")'
-BLANK_RECORD = rf"^{_CELL_BLANK}(?:,{_CELL_BLANK})*\z"
+LAYOUT_CHANGED = "The input's splits changed between numbering and reading its lines"
 
 
 class InvalidCsvHeaderError(ValueError):
@@ -58,8 +58,26 @@ class RowTooLargeError(ValueError):
         super().__init__(ROW_TOO_LARGE)
 
 
-# a comma outside double quotes (header lines are split on these)
-COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
+def blank_record(record: Column) -> Column:
+    """A5: only empty cells (white space, quoted or not).  Linear string scans, no regex.
+
+    Most records hold something besides white space, commas and quotes, which one ``translate``
+    shows; only the others are looked at cell by cell.
+    """
+    bare = lambda c, more="": F.translate(c, JS_WS_CHARS + more, "")
+    empty_cell = lambda c: (bare(c) == "") | ((bare(c) == '""') & c.startswith('"') & c.endswith('"'))
+    return F.when(bare(record, ',"') != "", F.lit(False)).otherwise(F.forall(F.split(record, ","), empty_cell))
+
+
+def split_outside_quotes(line: Column) -> Column:
+    """The cells of a header line: split at commas outside double quotes, in one pass.
+
+    Between quotes the parts alternate outside / inside; commas of outside parts become a mark
+    that no text holds.
+    """
+    mark = "\x00\x01\x00"
+    parts = F.transform(F.split(line, '"'), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit(mark))).otherwise(p))
+    return F.split(F.array_join(parts, '"'), mark)
 
 
 def normalize_header(c: Column) -> Column:
@@ -70,18 +88,21 @@ def normalize_header(c: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Physical lines with their file and split; trailing CR removed."""
+    """Physical lines, as they are but for the line feed, with their file and split."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.option("lineSep", "\n").text(paths)
-    v = F.col("value")
-    # one trailing CR (CRLF files); a suffix test, not a regex per line
     return raw.select(
-        F.when(v.endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(v).alias("value"),
+        "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
 
 
+def without_cr(record: Column) -> Column:
+    """A record without the CR of its line end (CRLF files); a suffix test, not a regex per line."""
+    return F.when(record.endswith("\r"), F.substring(record, F.lit(1), F.length(record) - 1)).otherwise(record)
+
+
 def _quotes(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))).cast("bigint")
 
@@ -95,8 +116,31 @@ class CsvScan:
     width: int = 1                   # cells in the widest header
     lines: int = 0                   # physical lines read (an upper bound on records)
     quoted: bool = True              # some line holds a double quote
+    limit: int = DEFAULT_MAX_ROW_BYTES  # bytes of a record, which bound its cells
     cached: list = field(default_factory=list)  # shuffled lines of the multi-line running sums
 
+    def with_ordinal(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (file_seq, line_number) with their position over all files, ``ordinal``."""
+        per_file = self.blocks.groupBy("file_seq").agg(F.sum("_n").alias("_lines"))
+        w = Window.orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+        first = per_file.select("file_seq", F.coalesce(F.sum("_lines").over(w), F.lit(0)).alias("_first"))
+        return rows.join(first, "file_seq").withColumn("ordinal", F.col("_first") + F.col("line_number")).drop("_first")
+
+    def failures(self, required: Sequence[str], max_row_bytes: int | None) -> DataFrame:
+        """file_seq, file_path and reason of files that can't be imported; a row per bad file."""
+        wanted = F.array(*[F.lit(c) for c in required])
+        missing = self.header.groupBy("file_seq").agg(F.array_except(wanted, F.collect_set("header")).alias("_missing"))
+        if self.multiline:
+            size = self.records.groupBy("file_seq", "file_path").agg(F.max("record_bytes").alias("_big"))
+        else:
+            size = self.blocks.groupBy("file_seq", "file_path").agg(F.max("max_bytes").alias("_big"))
+        size = size.join(missing, "file_seq", "left")
+        too_big = F.col("_big") > (max_row_bytes if max_row_bytes is not None else 1 << 62)
+        lacks = F.size(F.coalesce("_missing", wanted)) > 0
+        reason = F.when(lacks, F.concat(F.lit(HEADER_MISSING), F.array_join(F.coalesce("_missing", wanted), ", "))) \
+            .when(too_big, F.lit(ROW_TOO_LARGE))
+        return size.select("file_seq", "file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
     def release(self) -> None:
         self.records.unpersist()
         self.header.unpersist()
@@ -113,8 +157,8 @@ def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("_m").alias("_m0"),
         F.count("*").cast("bigint").alias("_n"),
         F.sum((F.col("quotes") % 2 == 1).cast("int")).cast("bigint").alias("odd_lines"),
-        F.max(F.octet_length("value")).cast("bigint").alias("max_bytes"),
-        F.min_by("value", "_m").alias("first_line"),
+        F.max(F.octet_length(without_cr(F.col("value")))).cast("bigint").alias("max_bytes"),
+        F.min_by(without_cr(F.col("value")), "_m").alias("first_line"),
         F.max("quotes").alias("max_quotes"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     # the file list derives from the persisted split table: deriving it from ``lines`` would plan a
@@ -130,14 +174,16 @@ def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     blocks.count()  # materialise the offsets, then drop the raw split table they came from
     raw_blocks.unpersist()
-    # one row per input split (about 800,000 at 100 TB of 128 MB splits): broadcast it, because a
-    # shuffle join here would move every raw line just to attach its split's offset
-    numbered = lines.join(
-        F.broadcast(blocks.select("file_path", "block_start", "file_seq", "_m0", "_before")), ["file_path", "block_start"]
-    ).select(
+    # the lines are scanned again here: should that scan be split otherwise (executors joined, a
+    # setting changed), a line's split is missing or its offset is beyond the split's lines, and
+    # the job fails instead of losing lines.  The join is left to the planner: the split table is
+    # cached, so its size is known and a small one is broadcast.
+    offsets = blocks.select("file_path", "block_start", "file_seq", "_m0", "_n", "_before")
+    at = F.col("_m") - F.col("_m0")
+    numbered = lines.join(offsets, ["file_path", "block_start"], "left").select(
         "file_seq",
         "file_path",
-        (F.col("_m") - F.col("_m0") + F.col("_before") + 1).alias("phys_line"),
+        F.when((at >= 0) & (at < F.col("_n")), at + F.col("_before") + 1).otherwise(F.raise_error(F.lit(LAYOUT_CHANGED)).cast("bigint")).alias("phys_line"),
         "value",
         "quotes",
     )
@@ -145,18 +191,21 @@ def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assemble_records(
-    numbered: DataFrame, multiline: bool, max_row_bytes: int | None = None, max_lines: int | None = None
+    numbered: DataFrame, multiline: bool, max_row_bytes: int = DEFAULT_MAX_ROW_BYTES, max_lines: int | None = None,
+    raise_oversized: bool = True,
 ) -> DataFrame:
-    """A2: records with their record number (header = 1) and raw text.
+    """A2: records with their record number (header = 1), raw text and size in bytes.
 
-    ``max_lines`` (lines read) bounds the line numbers.  On the multi-line path both running
-    sums persist their shuffled lines, so the text is scanned once rather than once per
-    branch; the caches are listed in ``_tollgate_cached`` of the result.
+    A record's lines are gathered only after its size is known: one beyond ``max_row_bytes`` raises
+    or, without ``raise_oversized``, has a row without text.  ``max_lines`` (lines read) bounds the
+    line numbers.  On the multi-line path both running sums persist their shuffled lines, so the
+    text is scanned once rather than once per branch; the caches are listed in
+    ``_tollgate_cached`` of the result.
     """
+    size = F.octet_length("record").cast("bigint").alias("record_bytes")
     if not multiline:
-        return numbered.select(
-            "file_seq", "file_path", F.col("phys_line").alias("line_number"), F.col("value").alias("record")
-        )
+        record = without_cr(F.col("value")).alias("record")
+        return numbered.select("file_seq", "file_path", F.col("phys_line").alias("line_number"), record).select("*", size)
     par = running_sums(numbered, "phys_line", ["quotes"], ["file_seq"], max_order=max_lines, persist=True)
     starts = par.withColumn(
         "_start", (((F.col("quotes_through") - F.col("quotes")) % 2) == 0).cast("bigint")
@@ -164,24 +213,22 @@ def assemble_records(
     rec = running_sums(starts, "phys_line", ["_start"], ["file_seq"], max_order=max_lines, persist=True)
     cached = [*getattr(par, "_tollgate_cached", []), *getattr(rec, "_tollgate_cached", [])]
     rec = rec.withColumnRenamed("_start_through", "line_number")
-    if max_row_bytes is not None:
-        too_big = (
-            rec.groupBy("file_seq", "line_number")
-            .agg((F.sum(F.octet_length("value")) + F.count("*") - 1).alias("_bytes"))
-            .where(F.col("_bytes") > max_row_bytes)
-            .select("line_number")
-            .limit(20)
-            .collect()
-        )
-        if too_big:
-            raise RowTooLargeError([r[0] for r in too_big])
-    grouped = rec.groupBy("file_seq", "file_path", "line_number").agg(
+    key = ["file_seq", "file_path", "line_number"]
+    last_cr = F.max_by(F.col("value").endswith("\r").cast("int"), F.col("phys_line"))
+    too_big = rec.groupBy(*key).agg(
+        (F.sum(F.octet_length("value")) + F.count("*") - 1 - last_cr).cast("bigint").alias("record_bytes")
+    ).where(F.col("record_bytes") > max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(too_big)
+    if raise_oversized:
+        first = too_big.orderBy("file_seq", "line_number").limit(REPORTED_LINES).collect()
+        if first:
+            raise RowTooLargeError([r["line_number"] for r in first])
+    grouped = rec.join(too_big.select("file_seq", "line_number"), ["file_seq", "line_number"], "left_anti").groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("phys_line", "value"))).alias("_parts")
     )
-    out = grouped.select(
-        "file_seq", "file_path", "line_number",
-        F.array_join(F.transform("_parts", lambda p: p["value"]), "\n").alias("record"),
-    )
+    joined = without_cr(F.array_join(F.transform("_parts", lambda p: p["value"]), "\n")).alias("record")
+    out = grouped.select(*key, joined).select("*", size).unionByName(
+        too_big.select(*key, F.lit(None).cast("string").alias("record"), "record_bytes"))
     out._tollgate_cached = cached  # type: ignore[attr-defined]
     return out
 
@@ -189,7 +236,7 @@ def assemble_records(
 def scan_lines(
     lines: DataFrame,
     required: Sequence[str] = REQUIRED_COLUMNS,
-    max_row_bytes: int | None = DEFAULT_MAX_ROW_BYTES,
+    max_row_bytes: int | None = DEFAULT_MAX_ROW_BYTES,  # None: the default
     check_header: bool = True,
     check_size: bool = True,
 ) -> CsvScan:
@@ -200,9 +247,8 @@ def scan_lines(
     flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big"),
                        F.sum("_n").alias("lines"), F.max("max_quotes").alias("quotes")).collect()[0]
     multiline = bool(flags["odd"] or 0)
-    assembled = assemble_records(numbered, multiline, max_row_bytes if check_size else None,
-                                 max_lines=int(flags["lines"] or 0))
-    records = assembled.withColumn("record_bytes", F.octet_length("record").cast("bigint"))
+    limit = DEFAULT_MAX_ROW_BYTES if max_row_bytes is None else max_row_bytes
+    assembled = records = assemble_records(numbered, multiline, limit, max_lines=int(flags["lines"] or 0), raise_oversized=check_size)
     if multiline:
         # slow path: record 1 may span lines; the assembled frame is reused below
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
@@ -211,7 +257,7 @@ def scan_lines(
         # the first line of each file came out of the split pass: no extra scan
         head = blocks.where(F.col("block_start") == 0).select("file_seq", F.col("first_line").alias("_text"))
     # one row per (file, header cell): small, computed in Spark, never gathered on the driver
-    header = head.select("file_seq", F.posexplode(F.split("_text", COMMA_OUTSIDE_QUOTES)).alias("position", "_raw")) \
+    header = head.select("file_seq", F.posexplode(split_outside_quotes(F.col("_text"))).alias("position", "_raw")) \
         .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     # one row back: the widest header and the first file (if any) missing required columns
@@ -225,11 +271,12 @@ def scan_lines(
     width = int(info["width"] or 0) + 1
     if check_header and info["missing"]:
         raise InvalidCsvHeaderError(info["missing"])
-    if check_size and max_row_bytes is not None and not multiline and (flags["big"] or 0) > max_row_bytes:
-        too_big = records.where(F.col("record_bytes") > max_row_bytes).select("line_number").limit(20).collect()
+    if check_size and not multiline and (flags["big"] or 0) > limit:
+        over = records.where(F.col("record_bytes") > limit).orderBy("file_seq", "line_number")
+        too_big = over.select("line_number").limit(REPORTED_LINES).collect()
         raise RowTooLargeError([r[0] for r in too_big])
     return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0), bool(flags["quotes"] or 0),
-                   list(getattr(assembled, "_tollgate_cached", [])))
+                   limit, list(getattr(assembled, "_tollgate_cached", [])))
 
 
 def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
@@ -252,21 +299,22 @@ def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
     data = spread(scan.records.where(F.col("line_number") > 1))
     if scan.quoted:
         parsed = data.withColumn(
-            "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
+            "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE",
+                                                      "maxColumns": str(max(20_480, scan.limit + 2))})
         )
         cells = F.array(*[F.col(f"_cells._c{i}") for i in range(width)])
     else:
         # no double quote anywhere in the input: every comma separates cells, a plain split parses it
         parsed = data.withColumn("_cells", F.split(F.col("record"), ",", -1))
         cells = F.col("_cells")
-    # mapping has one row of six integers per input file: bounded by the file count, broadcast
-    parsed = parsed.join(F.broadcast(mapping), "file_seq", "left")
+    # one row of six integers per input file, from the cached header: the planner knows its size
+    parsed = parsed.join(mapping, "file_seq", "left")
     out = parsed.select(
         "file_seq",
         "file_path",
         "line_number",
         "record_bytes",
-        F.col("record").rlike(BLANK_RECORD).alias("is_blank"),
+        blank_record(F.col("record")).alias("is_blank"),
         *[_cell(cells, F.col(f"_i_{c}") + 1, scan.quoted).alias(c) for c in columns],
     )
     return out

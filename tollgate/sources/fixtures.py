@@ -77,11 +77,14 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def registered_students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same registered set as full target rows (students schema); names are ``c_name``."""
+def registered_students(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    """The same registered set as full target rows (students schema); names are ``c_name``.
+
+    ``every=1``: one row per customer.
+    """
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.where(k % 10 == 0).select(
+    return c.where(k % every == 0).select(
         F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(k.cast("string"), 12, "0")).alias("id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("user."), k.cast("string"), F.lit("@school.edu")).alias("email"),

@@ -82,21 +82,28 @@ def generate_students(index: DataFrame, index_col: str, seed: int = 42, error_ra
     return apply_corruption(base, F.col("corruption")).drop("_dup_email")
 
 
+# What a corrupted cell becomes, by corruption number (the email cases are built from the row).
+CORRUPT_SCORE = {0: "48.50", 2: "133.25", 3: "-17", 4: "61.377", 5: "twelve"}
+CORRUPT_NAME = {6: "Zo3 Quill", 7: "Q"}
+CORRUPT_DATE = {8: "2023-14-41", 9: "07.09.2022"}
+
+
+def _cells(kind: Column, values: dict[int, str], kept: Column) -> Column:
+    out = kept
+    for k, v in values.items():
+        out = F.when(kind == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def apply_corruption(rows: DataFrame, kind: Column) -> DataFrame:
     """The twelve corruptions, one per invalid row (``kind`` NULL keeps the row)."""
-    k = kind
-    name = F.when(k == 6, "J0hn Sm1th").when(k == 7, "A").otherwise(F.col("name"))
     email = (
-        F.when(k == 0, F.replace(F.col("email"), F.lit("@"), F.lit(".at.")))
-        .when(k == 1, F.lit(""))
-        .when(k == 11, F.col("_dup_email"))
+        F.when(kind == 0, F.replace(F.col("email"), F.lit("@"), F.lit(".at.")))
+        .when(kind == 1, F.lit(""))
+        .when(kind == 11, F.col("_dup_email"))
         .otherwise(F.col("email"))
     )
-    date = F.when(k == 8, "2024-13-45").when(k == 9, "15/03/2024").otherwise(F.col("enrollment_date"))
-    course = F.when(k == 10, F.lit("")).otherwise(F.col("course_id"))
-    score = (
-        F.when(k == 0, "75.00").when(k == 2, "104.50").when(k == 3, "-3").when(k == 4, "85.555")
-        .when(k == 5, "N/A").otherwise(F.col("score"))
-    )
-    return rows.withColumn("name", name).withColumn("email", email).withColumn("enrollment_date", date) \
-        .withColumn("course_id", course).withColumn("score", score)
+    course = F.when(kind == 10, F.lit("")).otherwise(F.col("course_id"))
+    return rows.withColumn("name", _cells(kind, CORRUPT_NAME, F.col("name"))).withColumn("email", email) \
+        .withColumn("enrollment_date", _cells(kind, CORRUPT_DATE, F.col("enrollment_date"))) \
+        .withColumn("course_id", course).withColumn("score", _cells(kind, CORRUPT_SCORE, F.col("score")))
