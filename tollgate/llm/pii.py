@@ -14,7 +14,8 @@ and t discloses the share PMI / IC of what there is to know about e.  Terms at o
 one text (which repeat their surroundings) prove nothing.
 
 1. One scan finds base spans and the words around them (a written, narrow table).
-2. Pairs with enough support are counted; their terms are candidates.
+2. Pairs with enough support are counted.  Terms near many values cannot disclose one of them (their
+   documents near values bound n_t from below); the terms of all other pairs are candidates.
 3. If there are candidates, a second scan finds them in all documents, in blocks of at most
    ``BLOCK`` terms that are handed to the tasks; it gives n_t and the spans.
 
@@ -30,10 +31,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm.common import bound_batches, column, fresh, map_batches, row_key, texts, written
@@ -171,13 +173,38 @@ def find_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
+def documents_with(found: DataFrame) -> DataFrame:
+    """term, n: how many rows of a batch hold each term, summed within the batch before any shuffle."""
+
+    def run(batch: pa.RecordBatch):
+        count: Counter = Counter()
+        for spans in column(batch, "found").to_pylist():
+            count.update({s["term"] for s in spans})
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+
+    return map_batches(found.select("found"), run, "term string, n long")
+
+
+def _share(n: int, holds: str) -> Column:
+    """PMI / IC of a pair with n_te and n_e, ``holds`` being the documents that hold the term."""
+    pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col(holds) * F.col("n_e")))
+    return pmi / F.log2(F.lit(float(n)) / F.col("n_e"))
+
+
 def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT):
     """(flagged, found): terms with their share and action, and where candidate terms stand; None if there are none."""
     near = base.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
     pairs = near.select("entity", "around", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("ways"))
-    pairs = written(pairs.where(F.col("ways") >= support), "pairs")
+    n = base.count()
+    n_e = near.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # documents in which a term is near any value: no more than those that hold it, so a share
+    # reckoned with them is an upper bound, and pairs below the threshold are settled here
+    close = base.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.flatten("near.terms"))).alias("term"))
+    m_t = close.groupBy("term").agg(F.count("*").alias("m_t"))
+    pairs = pairs.where(F.col("ways") >= support).join(n_e, "entity").where(F.col("n_e") < n).join(m_t, "term")
+    pairs = written(pairs.where(_share(n, "m_t") >= discloses), "pairs")
     terms = pairs.select("term").distinct()
     blocks = -(-terms.count() // BLOCK)
     if not blocks:
@@ -188,13 +215,8 @@ def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, s
         part = find_terms(docs, [r.term for r in block.collect()])  # bounded by about BLOCK
         found = part if found is None else found.unionByName(part)
     found = written(found, "terms")
-    n = base.count()
-    n_t = found.select(F.explode(F.array_distinct(F.transform("found", lambda s: s["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    scored = scored.where(F.col("n_e") < n).withColumn("share", pmi / ic).where(F.col("share") >= discloses)
+    n_t = documents_with(found).groupBy("term").agg(F.sum("n").alias("n_t"))
+    scored = pairs.join(n_t, "term").withColumn("share", _share(n, "n_t")).where(F.col("share") >= discloses)
     flagged = scored.groupBy("term").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= REMOVES, F.lit("remove")).otherwise(F.lit("generalise"))
     return written(flagged.withColumn("action", action), "flagged"), found
@@ -202,11 +224,34 @@ def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, s
 
 def term_spans(flagged: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, key and the sorted spans (a, b, action) of flagged terms; a row per text."""
-    one = found.select("doc_id", "key", F.explode("found").alias("s")).select("doc_id", "key", "s.*")
-    one = one.join(flagged, "term").select("doc_id", "key", F.struct("a", "b", "action").alias("s"))
+    blocks = max(1, -(-flagged.count() // BLOCK))
+    kept = None
+    for k in range(blocks):
+        block = flagged.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term", "action")
+        part = _only(found, {r.term: r.action for r in block.collect()})  # bounded by about BLOCK
+        kept = part if kept is None else kept.unionByName(part)
+    one = kept.select("doc_id", "key", F.explode("spans").alias("s"))
     return one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
 
+def _only(found: DataFrame, action: dict[str, str]) -> DataFrame:
+    """doc_id, key and the spans of terms that have an action, for rows with any."""
+
+    def run(batch: pa.RecordBatch):
+        rows = []
+        for k, all_spans in enumerate(column(batch, "found").to_pylist()):
+            spans = [{"a": s["a"], "b": s["b"], "action": action[s["term"]]} for s in all_spans if s["term"] in action]
+            if spans:
+                rows.append((k, spans))
+        at = pa.array([k for k, _ in rows], pa.int64())
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("action", pa.string())]))
+        yield pa.RecordBatch.from_arrays(
+            [column(batch, "doc_id").take(at), column(batch, "key").take(at), pa.array([s for _, s in rows], kind)], names=["doc_id", "key", "spans"]
+        )
+
+    return map_batches(found, run, "doc_id long, key long, spans array<struct<a:long,b:long,action:string>>")
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, the method's kind is ``term``)."""
     base = written(find_base(docs), "base")
