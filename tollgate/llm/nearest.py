@@ -134,6 +134,7 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     shards = F.lit(1)
     for dim, n in sizes.items():
         shards = F.when(F.col("dim") == dim, F.lit(max(1, round(n / shard)))).otherwise(shards)
+    graphs = sum(max(1, round(n / shard)) for n in sizes.values())
     points = points.withColumn("shard", F.pmod(F.xxhash64("vector"), shards).cast("int"))
     bound_batches(vectors.sparkSession)
 
@@ -150,6 +151,8 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
         )
 
     schema = "dim int, shard int, point int, ids array<long>, vector array<double>, edges array<int>, start int"
+    # a shard is much work on few bytes: by a given number, so that adaptive execution doesn't put them together
+    points = points.repartition(max(1, 2 * graphs), "dim", "shard")
     return written(points.groupBy("dim", "shard").applyInArrow(graph, schema), "index")
 
 
@@ -182,6 +185,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     keys = ("dim", "shard", "block")
+    tasks = max(1, 2 * blocks * shards.count())
+    held, asked = held.repartition(tasks, *keys), asked.repartition(tasks, *keys)
     near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
