@@ -101,3 +101,23 @@ def test_sanitise(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_personal_data(df).collect() == [] and pii.sanitise(df).collect() == []
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A name far from the address it always goes with, found on words and counts made here, not by the module."""
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"word{rng.randrange(90)}" for _ in range(n))
+    rows = [(k, f"Kestrel {line(20)} {' ' * 700} İzmir{'' if k else ' '} {line(20)} sent by roe@lab.example") for k in range(5)]
+    rows += [(10 + k, line(40)) for k in range(60)] + [(100, "Kestrel alone"), (101, "in İzmir")]
+    texts, words = [t for _, t in rows], lambda t: {w.lower() for w in re.findall(r"\w+", EMAIL.sub(" ", t))}
+    with_e = [t for t in texts if "@" in t]
+    want = set()
+    for w in set().union(*map(words, with_e)):
+        n_te, n_t = sum(w in words(t) for t in with_e), sum(w in words(t) for t in texts)
+        if n_te >= 3 and math.log2(len(rows) * n_te / (n_t * 5)) >= 0.8 * math.log2(len(rows) / 5):
+            want.add(w)
+    assert {"kestrel", "i̇zmir"} <= want and len(want) < 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: re.findall(r"term:(\d+):(\d+)", r.spans) for r in pii.find_personal_data(df).collect()}
+    for d, t in rows:
+        assert [t[int(a):int(b)].lower() for a, b in got[d]] == [w.lower() for w in re.findall(r"\w+", EMAIL.sub(" ", t)) if w.lower() in want], d

@@ -3,24 +3,24 @@
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; each
 distinct value is a *protected entity*.  A word can give an entity away even where the value
 itself is missing.  How strongly it does is estimated from the corpus: with N documents,
-n_e that hold entity e, n_t that hold term t, and n_te in which t stands within ``REACH``
-words of e,
+n_e that hold entity e, n_t that hold term t, and n_te that hold both, wherever they stand,
 
     PMI(t; e) = log2(N * n_te / (n_t * n_e)),   IC(e) = log2(N / n_e)
 
 and t discloses the share PMI / IC of what there is to know about e.  Terms at or beyond
 ``DISCLOSES`` are sanitised wherever they stand: generalised to their word class up to
-``REMOVES``, removed beyond.  A pair needs ``SUPPORT`` different surroundings, so that copies of
-one text (which repeat their surroundings) prove nothing.
+``REMOVES``, removed beyond.  A pair needs ``SUPPORT`` documents with different words, so that
+copies of one text prove nothing (copies that were edited count as different).
 
-1. One scan finds base spans and the words around them (a written, narrow table).
-2. Pairs with enough support are counted.  Terms near many values cannot disclose one of them (their
-   documents near values bound n_t from below); the terms of all other pairs are candidates.
-3. If there are candidates, a second scan finds them in all documents, in blocks of at most
-   ``BLOCK`` terms that are handed to the tasks; it gives n_t and the spans.
+1. One scan finds base spans and the distinct words of texts that have any (a written table).
+2. One scan counts n_t within batches, then by term.
+3. Entities in too few different documents are settled by their counts.  Pairs of all others are
+   counted within batches; a frequent term that could not disclose an entity even if it stood in
+   all its documents (n_t is known) makes no pair.
+4. One scan finds the disclosing terms in all documents.
 
-Counts are aggregated by (entity, term), partially before they are shuffled; nothing else about
-an entity is gathered, however frequent it is.
+Counts are aggregated by (entity, term), within batches before they are shuffled; nothing else
+about an entity is gathered, however frequent it is.
 
 Edge cases: a null text is empty; rows that share doc_id and text get the same result each; a
 null doc_id is kept; equal values of a document count once; an empty table gives an empty one;
@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 import xxhash
@@ -41,11 +42,12 @@ from pyspark.sql import functions as F
 from tollgate.llm.common import bound_batches, column, fresh, map_batches, row_key, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 8               # words on either side of a value that count as being with it
-SUPPORT = 3             # different surroundings that a pair needs
+SUPPORT = 3             # documents with different words that a pair needs
 DISCLOSES = 0.8         # share of an entity's information from which a term is sanitised
 REMOVES = 0.95          # share from which it is removed
-BLOCK = 1 << 19         # candidate terms that a task holds
+BLOCK = 1 << 19         # disclosing terms that a task holds
+COMMON = 1 << 16        # most frequent terms whose counts a task holds
+PAIRS = 1 << 18         # pairs that a task counts before it passes them on
 
 # The same matches as the published patterns, found in linear time: what stands before an "@"
 # is read backwards, and a number starts only where a run of digits starts.
@@ -100,31 +102,39 @@ def show(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, int, list[str]]]:
-    """(entity, hash of its surroundings, terms near it) for each distinct value of a text."""
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct values of a text, with their kind."""
+    return list(dict.fromkeys(f"{k}:{text[a:b].lower() if k in ('email', 'ip') else _DIGITS.sub('', text[a:b])}" for k, a, b in spans))
+
+
+def terms_beside(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct words of a text outside its values, numbers left out, sorted."""
     covered = sorted((a, b) for _, a, b in spans)
-    near: dict[str, set[str]] = {}
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind in ("email", "ip") else _DIGITS.sub("", text[a:b])
-        terms = near.setdefault(f"{kind}:{value}", set())
-        # enough characters for the words that count; a longer word simply isn't reached whole
-        before = list(_WORD.finditer(text, max(0, a - 64 * reach), a))[-reach:]
-        after = []
-        for m in _WORD.finditer(text, b, min(len(text), b + 64 * reach)):
-            after.append(m)
-            if len(after) == reach:
-                break
-        for m in (*before, *after):
-            if not any(x < m.end() and m.start() < y for x, y in covered) and not m[0].isdigit():
-                terms.add(m[0].lower())
-    return [(e, xxhash.xxh64_intdigest(" ".join(sorted(t)), 0) >> 1, sorted(t)) for e, t in near.items()]
+    found, k, end = set(), 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(covered) and covered[k][0] < m.end():
+            end = max(end, covered[k][1])
+            k += 1
+        if m.start() >= end and not m[0].isdigit():
+            found.add(m[0].lower())
+    return sorted(found)
+
+
+def words_hash(terms: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(terms), 0) >> 1
+
+
+def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[str]]]:
+    """(entity, hash of its surroundings, terms with it) for each distinct value of a text."""
+    terms = terms_beside(text, spans)
+    return [(e, words_hash(terms), terms) for e in entities(text, spans)]
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, near."""
+    """Per row: doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, entities, around, words."""
 
     def run(batch: pa.RecordBatch):
-        counts, sha, shown, near = [[] for _ in KINDS], [], [], []
+        counts, sha, shown, held, around, beside = [[] for _ in KINDS], [], [], [], [], []
         for t in texts(batch):
             spans = base_spans(t)
             s = show(spans)
@@ -132,36 +142,83 @@ def find_base(docs: DataFrame) -> DataFrame:
                 counts[k].append(sum(x[0] == kind for x in spans))
             sha.append(hashlib.sha256(s.encode()).hexdigest())
             shown.append(s)
-            near.append([{"entity": e, "around": h, "terms": w} for e, h, w in surroundings(t, spans)] if spans else [])
-        kind = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int64()), ("terms", pa.list_(pa.string()))]))
+            held.append(entities(t, spans))
+            beside.append(terms_beside(t, spans) if spans else [])
+            around.append(words_hash(beside[-1]))
+        many = pa.list_(pa.string())
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id").cast(pa.int64()), column(batch, "key"), *(pa.array(c, pa.int64()) for c in counts),
-             pa.array(sha), pa.array(shown), pa.array(near, kind)],
-            names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
+             pa.array(sha), pa.array(shown), pa.array(held, many), pa.array(around, pa.int64()), pa.array(beside, many)],
+            names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities", "around", "words"],
         )
 
     return map_batches(
         docs.select("doc_id", row_key().alias("key"), "text"), run,
         "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-        "near array<struct<entity:string,around:long,terms:array<string>>>",
+        "entities array<string>, around long, words array<string>",
     )
 
 
-def find_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, key and the spans of the given terms, for rows that have any."""
-    wanted = frozenset(terms)
+def documents_with(docs: DataFrame) -> DataFrame:
+    """term, n_t: how many rows hold each term, counted within batches before any shuffle."""
+
+    def run(batch: pa.RecordBatch):
+        count: Counter = Counter()
+        for t in texts(batch):
+            count.update({w.lower() for w in set(_WORD.findall(t)) if not w.isdigit()})
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+
+    return map_batches(docs.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def pair_counts(held: DataFrame, common: dict[str, int], support: int) -> DataFrame:
+    """entity, term, around, n from rows of (entity, most, around, terms), counted within batches.
+
+    Of a pair's different surroundings a batch names ``support`` at most, which tells whether there
+    are as many in all; the rows of a pair add up to its documents.  Terms that stand in more than
+    ``most`` documents cannot disclose the entity.
+    """
+
+    def run(batch: pa.RecordBatch):
+        count: dict[tuple[str, str], list] = {}
+        rows = zip(*(column(batch, c).to_pylist() for c in ("entity", "most", "around", "terms")))
+        for entity, most, around, terms in rows:
+            for t in terms:
+                if common.get(t, 0) <= most:
+                    x = count.get((entity, t))
+                    if x is None:
+                        count[entity, t] = [1, around]
+                    else:
+                        x[0] += 1
+                        if len(x) <= support and around not in x[1:]:
+                            x.append(around)
+            if len(count) >= PAIRS:
+                yield from show_counts(count)
+                count = {}
+        yield from show_counts(count)
+
+    def show_counts(count):
+        rows = [(e, t, h, 0 if k else x[0]) for (e, t), x in count.items() for k, h in enumerate(x[1:])]
+        if rows:
+            e, t, h, n = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["entity", "term", "around", "n"]
+            )
+
+    return map_batches(held.select("entity", "most", "around", "terms"), run, "entity string, term string, around long, n long")
+
+
+def find_terms(docs: DataFrame, action: Callable[[str], str | None]) -> DataFrame:
+    """doc_id, key and the spans of terms that have an action, for rows with any."""
 
     def run(batch: pa.RecordBatch):
         rows = []
         for k, t in enumerate(texts(batch)):
-            low = t.lower()
-            if wanted.isdisjoint(_WORD.findall(low)):
-                continue
-            spans = [{"term": m[0].lower(), "a": m.start(), "b": m.end()} for m in _WORD.finditer(t) if m[0].lower() in wanted]
-            if spans:
-                rows.append((k, spans))
+            hit = {w: x for w in set(_WORD.findall(t)) if (x := action(w.lower()))}
+            if hit:
+                rows.append((k, [{"term": m[0].lower(), "a": m.start(), "b": m.end(), "action": hit[m[0]]} for m in _WORD.finditer(t) if m[0] in hit]))
         at = pa.array([k for k, _ in rows], pa.int64())
-        kind = pa.list_(pa.struct([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
+        kind = pa.list_(pa.struct([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("action", pa.string())]))
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id").cast(pa.int64()).take(at), column(batch, "key").take(at), pa.array([s for _, s in rows], kind)],
             names=["doc_id", "key", "found"],
@@ -169,97 +226,57 @@ def find_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
 
     return map_batches(
         docs.select("doc_id", row_key().alias("key"), "text"), run,
-        "doc_id long, key long, found array<struct<term:string,a:long,b:long>>",
+        "doc_id long, key long, found array<struct<term:string,a:long,b:long,action:string>>",
     )
 
 
-def documents_with(found: DataFrame) -> DataFrame:
-    """term, n: how many rows of a batch hold each term, summed within the batch before any shuffle."""
-
-    def run(batch: pa.RecordBatch):
-        count: Counter = Counter()
-        for spans in column(batch, "found").to_pylist():
-            count.update({s["term"] for s in spans})
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
-
-    return map_batches(found.select("found"), run, "term string, n long")
-
-
 def _share(n: int, holds: str) -> Column:
     """PMI / IC of a pair with n_te and n_e, ``holds`` being the documents that hold the term."""
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col(holds) * F.col("n_e")))
     return pmi / F.log2(F.lit(float(n)) / F.col("n_e"))
 
 
-def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT):
-    """(flagged, found): terms with their share and action, and where candidate terms stand; None if there are none."""
-    near = base.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
-    pairs = near.select("entity", "around", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("ways"))
+def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT) -> DataFrame | None:
+    """term, share, action of the terms that disclose a value; None if there are none."""
     n = base.count()
-    n_e = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    # documents in which a term is near any value: no more than those that hold it, so a share
-    # reckoned with them is an upper bound, and pairs below the threshold are settled here
-    close = base.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.flatten("near.terms"))).alias("term"))
-    m_t = close.groupBy("term").agg(F.count("*").alias("m_t"))
-    pairs = pairs.where(F.col("ways") >= support).join(n_e, "entity").where(F.col("n_e") < n).join(m_t, "term")
-    pairs = written(pairs.where(_share(n, "m_t") >= discloses), "pairs")
-    terms = pairs.select("term").distinct()
-    blocks = -(-terms.count() // BLOCK)
-    if not blocks:
+    near = base.where(F.size("entities") > 0)
+    n_e = near.select(F.explode("entities").alias("entity"), "around").groupBy("entity", "around").agg(F.count("*").alias("n"))
+    n_e = n_e.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("ways"))
+    # a term in more documents than ``most`` stays below the threshold even if it is in all n_e;
+    # the margin is for rounding, the share itself decides
+    most = F.lit(float(n)) * F.pow(F.col("n_e") / F.lit(float(n)), F.lit(discloses)) * F.lit(1 + 1e-9)
+    n_e = written(n_e.where((F.col("ways") >= support) & (F.col("n_e") < n)).select("entity", "n_e", most.alias("most")), "entities")
+    if n_e.isEmpty():
         return None
-    found = None
-    for k in range(blocks):
-        block = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
-        part = find_terms(docs, [r.term for r in block.collect()])  # bounded by about BLOCK
-        found = part if found is None else found.unionByName(part)
-    found = written(found, "terms")
-    n_t = documents_with(found).groupBy("term").agg(F.sum("n").alias("n_t"))
-    scored = pairs.join(n_t, "term").withColumn("share", _share(n, "n_t")).where(F.col("share") >= discloses)
+    n_t = written(documents_with(docs).where(F.col("n_t") >= support), "words")
+    common = {r.term: r.n_t for r in n_t.orderBy(F.desc("n_t"), "term").limit(COMMON).collect()}  # bounded by COMMON
+    held = near.select(F.explode("entities").alias("entity"), "around", F.col("words").alias("terms")).join(n_e.select("entity", "most"), "entity")
+    pairs = pair_counts(held, common, support).groupBy("entity", "term", "around").agg(F.sum("n").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("ways"))
+    pairs = pairs.where(F.col("ways") >= support).join(n_e.select("entity", "n_e"), "entity").join(n_t, "term")
+    scored = pairs.withColumn("share", _share(n, "n_t")).where(F.col("share") >= discloses)
     flagged = scored.groupBy("term").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= REMOVES, F.lit("remove")).otherwise(F.lit("generalise"))
-    return written(flagged.withColumn("action", action), "flagged"), found
+    flagged = written(flagged.withColumn("action", action), "flagged")
+    return None if flagged.isEmpty() else flagged
 
 
-def term_spans(flagged: DataFrame, found: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """doc_id, key and the sorted spans (a, b, action) of flagged terms; a row per text."""
-    blocks = max(1, -(-flagged.count() // BLOCK))
-    kept = None
-    for k in range(blocks):
-        block = flagged.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term", "action")
-        part = _only(found, {r.term: r.action for r in block.collect()})  # bounded by about BLOCK
-        kept = part if kept is None else kept.unionByName(part)
-    one = kept.select("doc_id", "key", F.explode("spans").alias("s"))
-    return one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
-
-
-def _only(found: DataFrame, action: dict[str, str]) -> DataFrame:
-    """doc_id, key and the spans of terms that have an action, for rows with any."""
-
-    def run(batch: pa.RecordBatch):
-        rows = []
-        for k, all_spans in enumerate(column(batch, "found").to_pylist()):
-            spans = [{"a": s["a"], "b": s["b"], "action": action[s["term"]]} for s in all_spans if s["term"] in action]
-            if spans:
-                rows.append((k, spans))
-        at = pa.array([k for k, _ in rows], pa.int64())
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("action", pa.string())]))
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id").take(at), column(batch, "key").take(at), pa.array([s for _, s in rows], kind)], names=["doc_id", "key", "spans"]
-        )
-
-    return map_batches(found, run, "doc_id long, key long, spans array<struct<a:long,b:long,action:string>>")
+    action = {r.term: r.action for r in flagged.select("term", "action").collect()}
+    found = find_terms(docs, action.get).groupBy("doc_id", "key").agg(F.first("found").alias("found"))
+    spans = F.transform("found", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["action"].alias("action")))
+    return found.select("doc_id", "key", F.array_sort(spans).cast("array<struct<a:long,b:long,action:string>>").alias("terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, the method's kind is ``term``)."""
     base = written(find_base(docs), "base")
     out = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
-    known = disclosing(docs, base)
-    if known is None:
+    flagged = disclosing(docs, base)
+    if flagged is None:
         return base.select(*out, F.col("base").alias("spans"))
-    spans = written(term_spans(*known).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "terms"), "spans")
+    spans = written(term_spans(docs, flagged).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "terms"), "spans")
     both = base.join(spans, base["doc_id"].eqNullSafe(spans["_doc"]) & (base["key"] == spans["_key"]), "left")
     shown = F.array_join(F.transform("terms", lambda s: F.concat(F.lit("term:"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string"))), ",")
     shown = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, shown))
@@ -284,10 +301,10 @@ def sanitise_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, all other columns as they were."""
     base = written(find_base(docs), "base")
-    known = disclosing(docs, base)
+    flagged = disclosing(docs, base)
     name = fresh("terms", docs)
-    if known:
-        terms = term_spans(*known)
+    if flagged is not None:
+        terms = term_spans(docs, flagged)
     else:
         terms = base.limit(0).select("doc_id", "key").withColumn("terms", F.lit(None).cast("array<struct<a:long,b:long,action:string>>"))
     terms = terms.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("terms").alias(name))
