@@ -4,7 +4,8 @@ Each stage works on what its predecessor kept, which is written as Parquet in th
 and read again, so that a lost executor costs a stage at most.
 
 1. ``toxicity``: documents that the classifier rejects go.
-2. ``near_duplicates``: of each SimHash group the document with the smallest doc_id stays.
+2. ``near_duplicates``: of each SimHash group one row stays, that of the smallest doc_id; one
+   without a doc_id only if none of the group has any.
 3. ``decontamination``: documents with a benchmark window go.
 4. ``secrets``: secrets are replaced by their kind; ``n_chars`` follows where a text changed.
 5. ``packing``: documents become token pieces in sequences of 2,048.
@@ -27,7 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, apart=False)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tollgate.llm.common import byte_texts, column, map_batches, written
+from tollgate.llm.common import byte_texts, column, fresh, map_batches, row_key, written
 from tollgate.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -65,13 +66,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """All columns but the text, and fp (the fingerprint's bits as a signed long)."""
+    kept = docs.drop("text").schema
+    names = kept.names
 
     def run(batch: pa.RecordBatch):
         fp = np.array([fingerprint(t, shingle) for t in byte_texts(batch)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(fp)], names=[*names, "fp"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs, run, StructType([*kept.fields, StructField("fp", LongType())]))
 
 
 # ---- the covering code -------------------------------------------------------
@@ -178,7 +181,7 @@ def links(fps: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, fingerprint (hex), component_id."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = written(links(distinct.select("fp"), bits), "links")
     label = components(found)
@@ -190,11 +193,23 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The document of each group with the smallest doc_id, all columns kept.
+def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, apart: bool = True) -> DataFrame:
+    """One row of each group, all columns kept: that of the smallest doc_id.
 
-    Rows that share the smallest doc_id are that document; rows without a doc_id stay.
+    Rows are told apart by a number that is written with them once, so that a repeated row and a
+    doc_id of several texts are no exception.  A group's rows without a doc_id can't be told from
+    its named document: one of them stays beside it, or, unless they are taken ``apart``, only
+    where the group has no doc_id at all.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), bits, shingle).where("doc_id <> component_id")
-    gone = written(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = fresh("_row", docs)
+    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    d = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(rows["text"]).alias("key"), F.col(name).alias("row"), "text")
+    prints = written(fingerprints(d, shingle), "fingerprints")
+    unnamed = F.col("doc_id").isNull()
+    first = F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "key", "row")).alias("first")
+    # the first row of a fingerprint, then of its group: no join meets all rows of a group
+    firsts = written(prints.groupBy("fp", (unnamed & F.lit(apart)).alias("part")).agg(first), "firsts")
+    label = components(written(links(firsts.select("fp").distinct(), bits), "links"))
+    group = firsts.join(label, firsts["fp"] == label["node"], "left").select(F.coalesce("label", "fp").alias("group"), "part", "first")
+    stay = written(group.groupBy("group", "part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_stays")), "stay")
+    return rows.join(stay, rows[name] == stay["_stays"], "left_semi").drop(name)
