@@ -54,6 +54,15 @@ def test_against_brute_force(spark, crowd):
     check(spark, sample(), 40, gram=12, crowd=crowd)
 
 
+def test_texts_without_an_id_whose_short_hashes_agree(spark):
+    shared, alone = "the passage that stands in two of the rows, word for word. ", "nothing of this line is found again in any other place! "
+    rows = [(d, t, 1, "x", "y") for d in (None, 4) for t in (shared + "9758", alone + "198644", shared + "39777", alone + "17614")][:6]
+    rows = [r for r in rows if r[0] is None or r[1].startswith(shared)]
+    df = spark.createDataFrame([(r[1],) for r in rows if r[0] is None], "text string")
+    assert df.selectExpr("hash(text, isnull(text)) AS h").distinct().count() == 2  # four texts
+    check(spark, rows, 40, gram=12)
+
+
 def test_long_texts_are_scanned_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 300)
     rng = random.Random(5)

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import bound_batches, byte_texts, column, free, fresh, map_batches, remove, scratch, written
+from tollgate.llm.common import bound_batches, byte_texts, column, free, fresh, map_batches, remove, row_key, scratch, written
 
 LENGTH = 200            # bytes of a string
 GRAM = 50               # bytes of an anchor
@@ -126,10 +126,6 @@ def chunks(batch: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield close()
 
 
-def _place_key(text: Column) -> Column:
-    return F.hash(text, text.isNull())
-
-
 def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """h, ctx, doc_id, key, s1, s2 (starts that the anchor owns), e1 (last start of one context), n.
 
@@ -163,8 +159,8 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             )
 
     return map_batches(
-        docs.select("doc_id", _place_key(F.col("text")).alias("key"), "text"), run,
-        "h long, ctx long, doc_id long, key int, s1 int, s2 int, e1 int, n int",
+        docs.select("doc_id", row_key().alias("key"), "text"), run,
+        "h long, ctx long, doc_id long, key long, s1 int, s2 int, e1 int, n int",
     )
 
 
@@ -308,7 +304,7 @@ def fetch(docs: DataFrame, pool: DataFrame, length: int) -> DataFrame:
     asked = pool.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.key").alias("_key")).agg(
         F.collect_list(F.struct("h", "ctx", "crowded", "rep.s1", "rep.e1")).alias("asked")
     )
-    d = docs.select("doc_id", _place_key(F.col("text")).alias("key"), "text")
+    d = docs.select("doc_id", row_key().alias("key"), "text")
     d = d.join(asked, d["doc_id"].eqNullSafe(asked["_doc"]) & (d["key"] == asked["_key"])).select("text", "asked")
 
     def run(batch: pa.RecordBatch):
@@ -379,7 +375,7 @@ def _with_runs(docs: DataFrame, length: int, options: dict) -> tuple[DataFrame,
     name = fresh("runs", docs)
     found = repeated_runs(docs, length, **options).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("runs").alias(name))
     free(docs.sparkSession)
-    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (_place_key(docs["text"]) == found["_key"])
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (row_key(docs["text"]) == found["_key"])
     return docs.join(found, same, "left").select(*(docs[c] for c in docs.columns), found[name]), name
 
 
