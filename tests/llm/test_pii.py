@@ -121,3 +121,15 @@ def test_terms_anywhere_in_the_document(spark):
     got = {r.doc_id: re.findall(r"term:(\d+):(\d+)", r.spans) for r in pii.find_personal_data(df).collect()}
     for d, t in rows:
         assert [t[int(a):int(b)].lower() for a, b in got[d]] == [w.lower() for w in re.findall(r"\w+", EMAIL.sub(" ", t)) if w.lower() in want], d
+
+
+def test_many_terms_are_joined(spark, monkeypatch):
+    words = [f"term{k}é" for k in range(300)]
+    flagged = spark.createDataFrame([(w, 1.0, "remove") for w in words], "term string, share double, action string")
+    df = spark.createDataFrame([(k, f"{w} other{k} {w.upper()}") for k, w in enumerate(words)], "doc_id long, text string")
+    whole = sorted(map(str, pii.term_spans(df, flagged).collect()))
+    assert len(whole) == 300 and all(str(r).count("a=") == 2 for r in whole)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert sorted(map(str, pii.term_spans(df, flagged).collect())) == whole
+    monkeypatch.setattr(pii, "SIEVE", 64)  # the bitmap lets other words through, the join doesn't
+    assert sorted(map(str, pii.term_spans(df, flagged).collect())) == whole

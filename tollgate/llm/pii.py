@@ -17,7 +17,8 @@ copies of one text prove nothing (copies that were edited count as different).
 3. Entities in too few different documents are settled by their counts.  Pairs of all others are
    counted within batches; a frequent term that could not disclose an entity even if it stood in
    all its documents (n_t is known) makes no pair.
-4. One scan finds the disclosing terms in all documents.
+4. One scan finds the disclosing terms in all documents.  Tasks hold up to ``BLOCK`` of them;
+   more are sieved by a bitmap of bounded size, and what it lets through is joined with them.
 
 Counts are aggregated by (entity, term), within batches before they are shuffled; nothing else
 about an entity is gathered, however frequent it is.
@@ -48,6 +49,7 @@ REMOVES = 0.95          # share from which it is removed
 BLOCK = 1 << 19         # disclosing terms that a task holds
 COMMON = 1 << 16        # most frequent terms whose counts a task holds
 PAIRS = 1 << 18         # pairs that a task counts before it passes them on
+SIEVE = 1 << 26         # bits of the bitmap for more than BLOCK terms
 
 # The same matches as the published patterns, found in linear time: what stands before an "@"
 # is read backwards, and a number starts only where a run of digits starts.
@@ -261,12 +263,33 @@ def disclosing(docs: DataFrame, base: DataFrame, discloses: float = DISCLOSES, s
     return None if flagged.isEmpty() else flagged
 
 
+def sieve(flagged: DataFrame) -> Callable[[str], str | None]:
+    """Says "?" of every flagged term and of few others, from a bitmap of ``SIEVE`` bits."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(SIEVE))
+    chunks = flagged.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    wide = 1 << 15  # bits of a bucket; Spark's bucket 1 begins at bit 1, and bit 0 is bucket 0's position 0
+    bits = {r.k: bytes(r.bits) for r in chunks.collect()}  # bounded by SIEVE
+
+    def action(word: str) -> str | None:
+        h = xxhash.xxh64_intdigest(word.encode(), 42) % SIEVE
+        k, at = (1 + (h - 1) // wide, (h - 1) % wide) if h else (0, 0)
+        return "?" if k in bits and bits[k][at >> 3] >> (at & 7) & 1 else None
+
+    return action
+
+
 def term_spans(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """doc_id, key and the sorted spans (a, b, action) of flagged terms; a row per text."""
-    action = {r.term: r.action for r in flagged.select("term", "action").collect()}
-    found = find_terms(docs, action.get).groupBy("doc_id", "key").agg(F.first("found").alias("found"))
-    spans = F.transform("found", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["action"].alias("action")))
-    return found.select("doc_id", "key", F.array_sort(spans).cast("array<struct<a:long,b:long,action:string>>").alias("terms"))
+    span = "struct<a:long,b:long,action:string>"
+    if flagged.count() <= BLOCK:
+        action = {r.term: r.action for r in flagged.select("term", "action").collect()}  # bounded by BLOCK
+        found = find_terms(docs, action.get).groupBy("doc_id", "key").agg(F.first("found").alias("found"))
+        spans = F.transform("found", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["action"].alias("action")))
+        return found.select("doc_id", "key", F.array_sort(spans).cast(f"array<{span}>").alias("terms"))
+    one = find_terms(docs, sieve(flagged)).select("doc_id", "key", F.explode("found").alias("s"))
+    one = one.select("doc_id", "key", F.col("s.term").alias("term"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    one = one.join(flagged.select("term", "action"), "term").select("doc_id", "key", F.struct("a", "b", "action").cast(span).alias("s"))
+    return one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
