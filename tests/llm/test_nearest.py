@@ -65,3 +65,31 @@ def test_pruning_keeps_diverse_edges():
     x = nearest.unit(np.array([[1, 0], [1, 0.1], [1, 0.11], [0, 1.0], [1, -0.5]]))
     kept = nearest.prune(x, 0, [1, 2, 3, 4])
     assert kept[0] == 1 and 2 not in kept and 4 in kept
+
+
+def test_a_third_of_the_rows_in_one_direction(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD", 600)
+    monkeypatch.setattr(nearest, "MEMBERS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=16)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(800)]
+    rows += [(1000 + i, (v * (1 + i)).astype(np.float32).tolist()) for i in range(400)]
+    queries = rows[800::20] + rows[:800:80] + [(5000, (v + 0.01 * rng.normal(size=16)).astype(np.float32).tolist())]
+    want, got = brute(rows, queries, 5), run(spark, rows, queries)
+    scores = lambda found: [round(s, 12) for _, s in found]
+    hits = sum(scores(got[q]) == scores(want[q]) for q in want if q >= 1000)
+    assert hits == 21
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want if q < 1000) >= 0.9 * 50
+
+
+def test_every_point_is_reached():
+    rng = np.random.default_rng(6)
+    x = nearest.unit(np.concatenate([rng.normal(size=(300, 8)), np.ones((150, 8)) + 1e-9 * rng.normal(size=(150, 8))]))
+    edges, start = nearest.build(x)
+    seen, todo = {start}, [start]
+    while todo:
+        new = set(edges[todo.pop()]) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == len(x)
