@@ -1,6 +1,7 @@
 """Toxicity: gradients, held-out accuracy, whole texts, edge cases."""
 
 import numpy as np
+import pytest
 
 from tollgate.llm import toxicity
 
@@ -42,7 +43,7 @@ def test_gradients():
 
 
 def test_windows_cover_everything():
-    for n in (0, 1, 63, 64, 65, 112, 113, 500):
+    for n in (0, 1, 63, 64, 65, 112, 113, 500, 255, 256, 257, 2000):
         spans = toxicity.windows(n)
         assert spans[0][0] == 0 and spans[-1][1] == n
         assert all(b - a <= toxicity.WINDOW for a, b in spans)
@@ -75,6 +76,22 @@ def test_without_labels(spark):
     assert [r.score < 1e-6 for r in toxicity.score_documents(docs, toxicity.fit(docs, none)).collect()] == [True, True]
 
 
+@pytest.mark.parametrize("words", [["a"], ["ab"], ["abc"], ["abcd"], ["abcde"], ["abcdef", "a"], ["\u00e9"]])
+def test_few_bytes(words):
+    """The new words of a batch may have fewer bytes in all than an n-gram."""
+    buckets, ends = toxicity.word_buckets(words)
+    assert len(ends) == len(words) and ends[-1] == len(buckets) >= len(words)
+    one = toxicity.Scorer(toxicity.new_parameters(3))
+    assert np.isfinite(one.scores([" ".join(words), words[-1]])).all()
+
+
+def test_a_repeated_id_gives_one_text(spark):
+    rows = [(1, "b text", 1), (1, "a text", 1), (2, "fine words", 0), (3, "more fine words", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    models = [toxicity.fit(df.repartition(n).drop("toxic"), df.select("doc_id", "toxic")) for n in (1, 4)]
+    assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
+
+
 def test_batches_do_not_change_scores(monkeypatch):
     p = toxicity.new_parameters(3)
     texts = ["one two three", "", "four " * 300, "five six", "seven " * 70]

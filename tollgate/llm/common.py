@@ -15,6 +15,7 @@ from tollgate.session import ensure_checkpoint_dir
 #: A Python task holds one Arrow batch at a time; texts may be long, so batches are bounded in bytes too.
 BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_steps: list[list[str]] = []  # scratch paths of the steps that are being worked out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,10 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the session names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _steps[-1:]:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -94,6 +98,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(spark: SparkSession, step: Callable[[], DataFrame], name: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """What ``step`` plans, written, and its path; the scratch tables that it made on the way go.
+
+    So does ``before``, the path of the table that the step alone has read.
+    """
+    _steps.append([])
+    try:
+        out = step()
+    finally:
+        made = _steps.pop()
+    path = scratch(spark, name)
+    out.write.parquet(path)
+    for old in [*made, *([before] if before else [])]:
+        remove(spark, old)
+    free(spark)
+    return spark.read.schema(out.schema).parquet(path), path
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of plans that are gone: it does so when their handles are collected."""
     gc.collect()

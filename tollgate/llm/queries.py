@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, nearest, packing, pii, secrets, sharding, simhash, substrings, tokens, toxicity
+from tollgate.llm import decontaminate, nearest, packing, pieces, pii, secrets, sharding, simhash, substrings, tokens, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7_toxicity(spark, sf_dir):
 @register("op6_repeated_strings")
 def op6_repeated_strings(spark, sf_dir):
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@register("op13_sentencepiece")
+def op13_sentencepiece(spark, sf_dir):
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -31,6 +31,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -193,17 +194,37 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, apart: bool = True) -> DataFrame:
+def file_rows(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with the place of each row (_file, _place), if it is read from files as it is or filtered.
+
+    A place is the same in every scan, whatever its splits, so nothing has to be copied to number rows.
+    """
+    if not docs.inputFiles():
+        return None
+    file, place = fresh("_file", docs), fresh("_place", docs)
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # a union, an aggregate: no row of it has a place
+        return None
+
+
+def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, apart: bool = True, in_place: bool = False) -> DataFrame:
     """One row of each group, all columns kept: that of the smallest doc_id.
 
-    Rows are told apart by a number that is written with them once, so that a repeated row and a
-    doc_id of several texts are no exception.  A group's rows without a doc_id can't be told from
-    its named document: one of them stays beside it, or, unless they are taken ``apart``, only
-    where the group has no doc_id at all.
+    Rows are told apart by a number that is written with them once or, where ``docs`` is read from
+    files as it is or filtered (``in_place``), by their places in these files, so that a repeated
+    row and a doc_id of several texts are no exception.  A group's rows without a doc_id can't be
+    told from its named document: one of them stays beside it, or, unless they are taken ``apart``,
+    only where the group has no doc_id at all.
+
+    The texts move once, to meet the rows that stay: by a hashed shuffle at every size, which
+    neither sorts them nor depends on how few rows stay.
     """
-    name = fresh("_row", docs)
-    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    d = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(rows["text"]).alias("key"), F.col(name).alias("row"), "text")
+    rows = file_rows(docs) if in_place else None
+    if rows is None:
+        rows = written(docs.withColumn(fresh("_place", docs), F.monotonically_increasing_id()), "rows")
+    at = rows.columns[len(docs.columns) :]
+    d = rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(rows["text"]).alias("key"), F.struct(*at).alias("row"), "text")
     prints = written(fingerprints(d, shingle), "fingerprints")
     unnamed = F.col("doc_id").isNull()
     first = F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "key", "row")).alias("first")
@@ -211,5 +232,5 @@ def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, apart: b
     firsts = written(prints.groupBy("fp", (unnamed & F.lit(apart)).alias("part")).agg(first), "firsts")
     label = components(written(links(firsts.select("fp").distinct(), bits), "links"))
     group = firsts.join(label, firsts["fp"] == label["node"], "left").select(F.coalesce("label", "fp").alias("group"), "part", "first")
-    stay = written(group.groupBy("group", "part").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_stays")), "stay")
-    return rows.join(stay, rows[name] == stay["_stays"], "left_semi").drop(name)
+    stay = written(group.groupBy("group", "part").agg(F.min("first").alias("first")).select("first.row.*"), "stay")
+    return rows.join(stay.hint("shuffle_hash"), at, "left_semi").drop(*at)

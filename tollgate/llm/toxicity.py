@@ -31,10 +31,11 @@ from tollgate.llm.common import column, map_batches, texts
 
 SAMPLE = 2500           # labelled rows of each class that are fitted
 SAMPLE_CHARS = 20_000   # longest text that is fitted on (any length is scored)
-WINDOW, STRIDE = 64, 48  # words of a window, and from one window to the next
+WINDOW, STRIDE = 256, 192  # words of a window, and from one window to the next
 BUCKETS, DIM, HIDDEN, ATTEND = 1 << 14, 12, 8, 8
-EPOCHS, RATE, BATCH = 7, 0.02, 128
-GRAMS = (3, 4, 5)       # characters (bytes of the marked word) of an n-gram
+EPOCHS, RATE, BATCH = 10, 0.02, 128
+DECAY = 1.0             # share of a parameter that goes in a step, times the rate: keeps the fit from learning texts by heart
+GRAMS = (5, 6, 7)       # characters (bytes of the marked word) of an n-gram
 MEMO = 1 << 17          # words remembered per worker
 GROUP = 1024            # windows scored together
 WORD = re.compile(r"[^\W_]+")
@@ -58,7 +59,7 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     roll = np.zeros(len(data), np.uint64)
     for k in range(max(GRAMS)):  # a rolling hash of the k + 1 bytes from each place
         shifted = np.zeros(len(data), np.uint64)
-        shifted[: len(data) - k] = data[k:]
+        shifted[: max(0, len(data) - k)] = data[k:]
         roll = (roll * np.uint64(0x100000001B3) + shifted + np.uint64(1)) & np.uint64((1 << 40) - 1)
         if k + 1 in GRAMS:
             at = np.flatnonzero(left > k)
@@ -302,6 +303,7 @@ def train(batch: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
                 grad = np.clip(grad, -1, 1).astype(np.float32)
                 m[k][at_rows] = 0.9 * m[k][at_rows] + 0.1 * grad
                 s[k][at_rows] = 0.999 * s[k][at_rows] + 0.001 * grad * grad
+                p[k][at_rows] *= np.float32(1 - rate * DECAY)
                 p[k][at_rows] -= rate * (m[k][at_rows] / fix1) / (np.sqrt(s[k][at_rows] / fix2) + 1e-7)
     return p
 
@@ -393,8 +395,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     parts = [usable.where(F.col("toxic") == c).orderBy("by", "doc_id").limit(sample) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select(F.col("doc_id").alias("_id"), "toxic")  # 2 * sample rows at most
     found = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
-    rows = found.join(F.broadcast(chosen), found["doc_id"] == chosen["_id"]).select("doc_id", "text", "toxic")
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows.dropDuplicates(["doc_id"]).collect())
+    rows = found.join(F.broadcast(chosen), found["doc_id"] == chosen["_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))  # a repeated doc_id: its first text in order
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows.collect())
     y = [y for *_, y in rows]
     model = train([t for _, t, _ in rows], y)
     if 0 < sum(y) < len(y) and of.get(0) and of.get(1):  # the sample holds the classes in other shares
