@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, nearest, packing, pieces, pii, secrets, sharding, simhash, substrings, tokens, toxicity
+from tollgate.llm import decontaminate, nearest, packing, pieces, pii, prefixes, secrets, sharding, simhash, substrings, tokens, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op6_repeated_strings(spark, sf_dir):
 @register("op13_sentencepiece")
 def op13_sentencepiece(spark, sf_dir):
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@register("op11_conversation_prefixes")
+def op11_conversation_prefixes(spark, sf_dir):
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))

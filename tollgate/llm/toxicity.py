@@ -33,8 +33,8 @@ SAMPLE = 2500           # labelled rows of each class that are fitted
 SAMPLE_CHARS = 20_000   # longest text that is fitted on (any length is scored)
 WINDOW, STRIDE = 256, 192  # words of a window, and from one window to the next
 BUCKETS, DIM, HIDDEN, ATTEND = 1 << 14, 12, 8, 8
-EPOCHS, RATE, BATCH = 10, 0.02, 128
-DECAY = 1.0             # share of a parameter that goes in a step, times the rate: keeps the fit from learning texts by heart
+EPOCHS, RATE, BATCH = 12, 0.02, 128
+DECAY = 1.5             # share of a parameter that goes in a step, times the rate: keeps the fit from learning texts by heart
 GRAMS = (5, 6, 7)       # characters (bytes of the marked word) of an n-gram
 MEMO = 1 << 17          # words remembered per worker
 GROUP = 1024            # windows scored together
