@@ -40,14 +40,25 @@ def uuid7(run_ms: Column, counter: Column, *key: Column) -> Column:
     )
 
 
-MAX_COUNTER = (1 << 40) - 1
-COUNTER_RANGE = "Row position beyond the 40-bit counter of an id"
+COUNTER_BITS = 40
+MAX_COUNTER = (1 << COUNTER_BITS) - 1
+COUNTER_RANGE = "Row position below zero"
 
 
 def row_counter(ordinal: Column) -> Column:
-    """40-bit counter from a row's position in the whole input; beyond its range the job fails."""
+    """The id's counter: the low 40 bits of a row's position in the whole input."""
     n = ordinal.cast("bigint")
-    return F.when((n >= 0) & (n <= MAX_COUNTER), n).otherwise(F.raise_error(F.lit(COUNTER_RANGE)).cast("bigint"))
+    return F.when(n >= 0, n.bitwiseAND(F.lit(MAX_COUNTER))).otherwise(F.raise_error(F.lit(COUNTER_RANGE)).cast("bigint"))
+
+
+def row_millis(run_ms: Column, ordinal: Column) -> Column:
+    """The id's milliseconds: one more for every 2^40 rows, so that ids never run out within a run."""
+    return run_ms + F.shiftright(ordinal.cast("bigint"), COUNTER_BITS)
+
+
+def millis_needed(rows: int) -> int:
+    """Milliseconds that a run of so many rows takes its ids from."""
+    return (max(rows, 0) >> COUNTER_BITS) + 1
 
 
 def uuid7_millis(uid: Column) -> Column:

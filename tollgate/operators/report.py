@@ -58,6 +58,28 @@ def error_sample(rej: DataFrame, partition_cols: Sequence[str] = (), n: int = MA
     return rej.orderBy(*order_key(partition_cols)).limit(n)
 
 
+def file_samples(rej: DataFrame, n: int = MAX_ERRORS_IN_RESULT) -> DataFrame:
+    """H1 per file: the first ``n`` violations of each file in report order.
+
+    A rank that is bounded per file: every task keeps at most ``n`` rows of a file before the
+    shuffle, so neither a global sort nor a file with most of the rows meets one task.
+    """
+    w = Window.partitionBy("file_seq").orderBy(*order_key())
+    return rej.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def file_warnings(rej: DataFrame, n: int = MAX_ROW_WARNINGS) -> DataFrame:
+    """H2 per file: the first ``n`` rejected rows of each file with their ``field: message`` list."""
+    keys = ["file_seq", "batch_no", "is_duplicate", "line_number"]
+    # n violations of distinct rows need more than n violations, so rows are ranked, not violations
+    w = Window.partitionBy("file_seq").orderBy(*keys[1:])
+    rows = rej.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= n)
+    detail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_ordinal", "field", "message"))),
+                                      lambda v: F.concat(v["field"], F.lit(": "), v["message"])), "; ")
+    return rows.groupBy(*keys, "_rank").agg(detail.alias("detail")).select(
+        "file_seq", F.col("_rank").cast("bigint").alias("warn_seq"), "line_number", "detail")
+
+
 def warned_rows(outcome: DataFrame, partition_cols: Sequence[str] = (), n: int = MAX_ROW_WARNINGS) -> DataFrame:
     """H2: the first ``n`` rejected rows with their ``field: message`` list, then the notice.
 

@@ -41,7 +41,7 @@ def seeded_target(spark: SparkSession, sf_dir: str, every: int = 10) -> str:
         F.col("score").cast("decimal(5,2)").alias("score"),
         F.lit(SEED_TS).cast("timestamp").alias("created_at"),
     )
-    reg.write.mode("append").parquet(path)
+    TB.store(reg, path)
     return path
 
 
@@ -115,7 +115,7 @@ def skipped_at_write(spark, sf_dir):
         F.lit("2024-02-01").cast("date").alias("enrollment_date"), F.lit("COURSE-1").alias("course_id"),
         F.lit(50.0).alias("score"),
     )
-    TB.to_stored(rival, SEED_TS).write.mode("append").parquet(path)
+    TB.store(TB.to_stored(rival, SEED_TS), path)
     res = TB.append_new(accepted, path, RUN_TS)
     return spark.createDataFrame([(res.offered, res.inserted, res.skipped)], "offered bigint, inserted bigint, skipped bigint")
 

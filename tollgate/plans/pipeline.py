@@ -7,17 +7,24 @@ so all of them see the same numbering and the same generated ids.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.operators.report import error_sample, rejections
+from tollgate.functions.ids import millis_needed, uuid7_millis
+from tollgate.functions.rules import CODES, MSG
+from tollgate.operators import skew
+from tollgate.operators.report import MAX_ERRORS_IN_RESULT, error_sample, file_samples, order_key, rejections
+from tollgate.operators.skew import hot_keys, hot_split_join
 from tollgate.operators.summary import import_summary
 from tollgate.operators.unique import assign_batches, classify
-from tollgate.plans.spec import STUDENTS, DataSpec, validate
+from tollgate.plans.spec import STUDENTS, DataSpec, explode_violations, validate
+from tollgate.session import create_exclusive, list_files, names_in, path_exists, read_small, remove_path
+from tollgate.sources.csv_scan import REQUIRED_COLUMNS, CsvScan, read_lines, scan_lines
 
 DEFAULT_BATCH_SIZE = 1000
 
@@ -90,14 +97,270 @@ def import_rows(
     return ImportRun(out, rej, import_summary(out), error_sample(rej, partition_cols))
 
 
-def candidate_keys(raw: DataFrame) -> DataFrame:
-    """The normalised emails of the raw rows: the only keys that an import asks the target for."""
-    from tollgate.functions.rules import norm_email
+# ---- import of scanned files: one wide cache, numbers where rows leave ---------------------
 
-    return raw.select(norm_email(F.coalesce("email", F.lit(""))).alias("email"))
 
+def keep_validated(spec: DataSpec = STUDENTS):
+    """What a scan keeps of its parsed rows: typed values, violations, validity."""
+    values = [f"{f.name}_value" for f in spec.fields]
+    return lambda rows: validate(rows, spec).select(
+        "file_seq", "split", "at", "record_bytes", "odd", "is_blank", "violations", "is_valid", *values)
 
-# ---- whole-file import: scan -> outcome -> report -> append -> result ------------------
+
+PLACE = ("file_seq", "split", "at")  # where a row stands; comparable within an import
+
+
+def after(mark: tuple | None) -> Column:
+    """Rows behind a place (all, if there is none)."""
+    return F.lit(True) if mark is None else F.struct(*PLACE) > F.struct(*[F.lit(v).cast(t) for v, t in zip(mark, ("int", "bigint", "bigint"))])
+
+
+def up_to(mark: tuple | None) -> Column:
+    return F.lit(True) if mark is None else ~after(mark)
+
+
+@dataclass
+class ScanOutcome:
+    """The outcome of an import of scanned files.
+
+    Only ``scan.rows`` is wide and cached, in input order and without a shuffle.  Everything else is
+    narrow: ``firsts`` has a row per key, ``splits`` a row per split.  Line and batch numbers are
+    bound to the rows that leave (``rejections``, ``accepted``) by a join with the splits: a row's
+    number of valid rows before it is that of its split plus its number among the valid rows of the
+    split or, for a row that isn't valid, its place less its number among those.
+    """
+
+    scan: CsvScan
+    spec: DataSpec
+    batch_size: int
+    splits: DataFrame      # the scan's, with the first number of valid and of other rows
+    firsts: DataFrame      # key, _n, first (place and number), registered: cached
+    hot: list
+    def _bound(self, rows: DataFrame, prefix: str = "") -> DataFrame:
+        """Add line_number and batch_no to rows with their place and ``number`` among the valid rows."""
+        s = self.splits.select("file_seq", "split", "first", "lines_before", "valid_before", "first_valid")
+        names = {c: f"_{c}" for c in ("first", "lines_before", "valid_before", "first_valid")}
+        bound = rows.join(s.withColumnsRenamed(names), ["file_seq", "split"])
+        before = F.col("_valid_before") + F.col("number") - F.col("_first_valid")
+        return bound.withColumn("line_number", (F.col("at") - F.col("_first") + F.col("_lines_before") + 1).cast("bigint")).withColumn(
+            "batch_no", F.floor(before / F.lit(self.batch_size)).cast("bigint")).drop(*names.values())
+
+    def invalid(self) -> DataFrame:
+        """Rows that break a rule: place, line_number, batch_no, violations."""
+        rows = split_rows(self.scan, self.spec)[1].where(~F.col("is_header") & ~F.col("is_blank"))
+        s = self.splits.select("file_seq", "split", "first", "lines_before", "valid_before", "first_other")
+        names = {c: f"_{c}" for c in ("first", "lines_before", "valid_before", "first_other")}
+        inside = F.col("at") - F.col("_first")
+        valid = F.col("_valid_before") + inside - (F.col("number") - F.col("_first_other"))
+        return rows.join(s.withColumnsRenamed(names), ["file_seq", "split"]).select(
+            *PLACE, (inside + F.col("_lines_before") + 1).cast("bigint").alias("line_number"),
+            F.floor(valid / F.lit(self.batch_size)).cast("bigint").alias("batch_no"), "violations")
+
+    def duplicates(self) -> DataFrame:
+        """Valid rows whose key is registered or came before: place, line_number, batch_no, value, message."""
+        valid, _ = split_rows(self.scan, self.spec)
+        repeated = self.firsts.where((F.col("_n") > 1) | F.col("registered"))
+        rows = hot_split_join(valid, repeated, "key", self.hot)
+        rows = rows.where(F.col("registered") | (F.struct(*PLACE) != F.struct(*[F.col(f"first.{c}") for c in PLACE])))
+        rows = self._bound(rows)
+        where_first = rows.where(~F.col("registered")).select("key", F.col("first.file_seq").alias("file_seq"), F.col("first.split").alias("split"),
+                                                              F.col("first.at").alias("at"), F.col("first.number").alias("number")).distinct()
+        flush = self._bound(where_first).select("key", F.col("file_seq").alias("_file"), F.col("batch_no").alias("_flush"))
+        joined = rows.join(flush, "key", "left")
+        in_file = ~F.col("registered") & (F.col("file_seq") == F.col("_file")) & (F.col("batch_no") == F.col("_flush"))
+        return joined.select(*PLACE, "line_number", "batch_no", F.col("key").alias("value"),
+                             F.when(in_file, F.lit(MSG["dup_file"])).otherwise(F.lit(MSG["dup_existing"])).alias("message"))
+
+    def rejections(self, start: tuple | None = None, end: tuple | None = None) -> DataFrame:
+        """The violations of invalid rows and a row per duplicate, with the report's order, of a range of places."""
+        keep, here = ["file_seq", "batch_no", "line_number"], after(start) & up_to(end)
+        inv = explode_violations(self.invalid().where(here), keep).withColumn("is_duplicate", F.lit(0))
+        ordinal = self.spec.field_names().index(self.spec.key) + 1
+        dup = self.duplicates().where(here).select(
+            *keep, F.lit(ordinal).alias("field_ordinal"), F.lit(self.spec.key).alias("field"), "value", "message",
+            F.lit(CODES["duplicate"]).alias("code"), F.lit(1).alias("is_duplicate"))
+        return inv.unionByName(dup)
+
+    def _winners(self) -> DataFrame:
+        return self.firsts.where(~F.col("registered"))
+
+    def accepted(self, start: tuple | None = None, end: tuple | None = None) -> DataFrame:
+        """Rows to be stored, of a range of places: ordinal (over all files), line_number and the typed fields.
+
+        Wide rows move once, to their keys; those of a hot key stay where they are.
+        """
+        here = F.struct(*[F.col(f"first.{c}").alias(c) for c in PLACE])
+        w = self._winners().select("key", here.alias("_won"), *[F.col(f"first.{c}") for c in PLACE])
+        w = self.scan.with_ordinal(self.scan.numbered(w)).select("key", "_won", "ordinal")
+        rows = self.scan.data().where(F.col("is_valid") & after(start) & up_to(end)).withColumn("key", F.col(f"{self.spec.key}_value"))
+        rows = hot_split_join(rows, w, "key", self.hot).where(F.struct(*PLACE) == F.col("_won"))
+        return rows.select("file_seq", "ordinal", *[F.col(f"{f.name}_value").alias(f.name) for f in self.spec.fields])
+
+    def counts(self, start: tuple | None = None, end: tuple | None = None) -> tuple[int, int]:
+        """(rows processed, rows to be stored) of a range of places."""
+        if start is None and end is None:
+            processed = self.splits.agg(F.sum("data")).first()[0] or 0
+        else:
+            processed = self.scan.data().where(after(start) & up_to(end)).count()
+        winners = self._winners().select(*[F.col(f"first.{c}") for c in PLACE]).where(after(start) & up_to(end))
+        return int(processed), winners.count()
+
+    def boundaries(self, step_rows: int) -> list[tuple]:
+        """(place, line_number) of the last valid row of every ``step_rows``-th flush; a row per step reaches the driver."""
+        every = max(1, step_rows // self.batch_size) * self.batch_size
+        valid, _ = split_rows(self.scan, self.spec)
+        s = self.splits.select("file_seq", "split", "valid_before", "first_valid", "first", "lines_before")
+        rows = valid.join(s, ["file_seq", "split"]).withColumn("_nth", F.col("valid_before") + F.col("number") - F.col("first_valid") + 1)
+        ends = rows.where(F.col("_nth") % every == 0).select(*PLACE, (F.col("at") - F.col("first") + F.col("lines_before") + 1).alias("line"))
+        return sorted((tuple(r[c] for c in PLACE), r["line"]) for r in ends.collect())
+
+    def release(self) -> None:
+        self.firsts.unpersist()
+        self.splits.unpersist()
+
+
+def split_rows(scan: CsvScan, spec: DataSpec) -> tuple[DataFrame, DataFrame]:
+    """(valid rows: key, place, number; other rows: place, number, violations), numbered within their task."""
+    ok = F.col("is_valid") & ~F.col("is_blank") & ~F.col("is_header")
+    valid = scan.rows.where(ok).select(F.col(f"{spec.key}_value").alias("key"), *PLACE, F.monotonically_increasing_id().alias("number"))
+    other = scan.rows.where(~ok).select(*PLACE, "is_header", "is_blank", "violations", F.monotonically_increasing_id().alias("number"))
+    return valid, other
+
+
+def scan_outcome(scan: CsvScan, lookup: Callable[[DataFrame], DataFrame], batch_size: int = DEFAULT_BATCH_SIZE,
+                 spec: DataSpec = STUDENTS) -> ScanOutcome:
+    """Plan the outcome of scanned rows (kept by ``keep_validated``); ``lookup`` gives the registered ones of keys (email)."""
+    valid, other = split_rows(scan, spec)
+    none = F.lit(None).cast("bigint")
+    numbers = valid.select("file_seq", "split", F.col("number").alias("v"), none.alias("o")).unionByName(
+        other.select("file_seq", "split", none.alias("v"), F.col("number").alias("o")))
+    numbers = numbers.groupBy("file_seq", "split").agg(F.min("v").alias("first_valid"), F.min("o").alias("first_other"))
+    splits = scan.splits.join(numbers, ["file_seq", "split"], "left").persist(StorageLevel.MEMORY_AND_DISK)
+    firsts = valid.groupBy("key").agg(F.min(F.struct(*PLACE, "number")).alias("first"), F.count("*").alias("_n")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    known = lookup(firsts.select(F.col("key").alias("email"))).select(F.col("email").alias("key"), F.lit(True).alias("_known"))
+    marked = firsts.join(known, "key", "left").select("key", "first", "_n", F.coalesce("_known", F.lit(False)).alias("registered")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    hot = [] if scan.lines <= skew.HOT_ROWS else hot_keys(marked, "key")
+    marked.count()
+    firsts.unpersist()
+    return ScanOutcome(scan, spec, batch_size, splits, marked, hot)
+
+
+# ---- durable progress: an import that stops and goes on inside a file ----------------------
+
+
+class Progress:
+    """How far an import has come, in a folder of small files: one is added before and after each step.
+
+    A step is noted with its reserved milliseconds before its rows are appended and entered as done
+    afterwards.  The rows that a step has stored are known by their ids, so a step that was noted
+    only (the run died in it) is done again without storing or counting a row twice, and rows of
+    earlier steps are told from those that were registered before.
+    """
+
+    def __init__(self, spark, path: str | None):
+        self.spark, self.path = spark, path.rstrip("/") if path else None
+        names = sorted(n for n in names_in(spark, self.path) if n.endswith(".json")) if self.path else []
+        self.entries = [json.loads(read_small(spark, f"{self.path}/{n}")) for n in names]
+
+    @property
+    def done(self) -> dict | None:
+        """The last step that was finished."""
+        return next((e for e in reversed(self.entries) if e["state"] == "done"), None)
+
+    @property
+    def open(self) -> dict | None:
+        """A step that was begun and not finished."""
+        return self.entries[-1] if self.entries and self.entries[-1]["state"] == "noted" else None
+
+    def add(self, **entry) -> None:
+        if self.path is None:
+            return
+        if not create_exclusive(self.spark, f"{self.path}/{len(self.entries):012d}.json", json.dumps(entry)):
+            raise RuntimeError(f"Another run has gone on from {self.path}")
+        self.entries.append(entry)
+
+    def own(self, target: DataFrame, entry: dict | None = None) -> DataFrame:
+        """Rows of the target that these steps, or one of them, have stored."""
+        some = [entry] if entry else self.entries
+        mine = F.lit(False)
+        for first, count in sorted({(e["first_ms"], e["count"]) for e in some}):
+            mine = mine | uuid7_millis(F.col("id")).between(first, first + count - 1)
+        return target.where(mine)
+
+
+def place_of(scan: CsvScan, file_path: str, line: int) -> tuple:
+    """The place of a line of a file in this scan."""
+    of = scan.files.where(F.col("file_path") == file_path).select("file_seq")
+    inside = (F.col("lines_before") < line) & (F.col("lines_before") + F.col("lines") >= line)
+    r = scan.splits.join(of, "file_seq").where(inside).first()
+    if r is None:
+        raise ValueError(f"{file_path} has no line {line}: it isn't the file that was imported before")
+    return r["file_seq"], r["split"], r["first"] + line - r["lines_before"] - 1
+
+
+NOWHERE, EVERYWHERE = (-1, 0, 0), (1 << 30, 0, 0)  # places before and after all rows
+
+
+@dataclass
+class Steps:
+    begin: tuple | None   # the last place that earlier runs have done
+    end: tuple | None     # the last place that this run has done (None: all)
+    processed: int
+    imported: int
+    before: dict          # processed and imported of earlier runs
+    aborted: bool = False
+
+
+def registered_now(spark, target: str, keys: DataFrame, progress: Progress) -> tuple[DataFrame, str]:
+    """(those of the keys that were registered before this import began, the scratch table they are in)."""
+    from tollgate.sinks.table import read_target, snapshot_keys
+
+    snap = snapshot_keys(spark, target, keys)
+    if not progress.entries:
+        return snap, snap._tollgate_path
+    return snap.join(progress.own(read_target(spark, target)).select("email"), "email", "left_anti"), snap._tollgate_path
+
+
+def run_steps(out: ScanOutcome, target: str, run_ts, progress: Progress, step_rows: int | None = None,
+              should_stop: Callable[[int], bool] | None = None, seen: set[str] | None = None) -> Steps:
+    """Append the accepted rows, step by step where that is asked for, from where ``progress`` ends.
+
+    A step ends with a flush of the reference's loop, so results don't depend on the steps.  Before
+    each one ``should_stop`` (rows this run has processed) is asked; a stop leaves what was flushed.
+    ``seen``: the target's files as of the look-up of the keys.
+    """
+    from tollgate.sinks.table import append_new, read_target, reserve_millis
+
+    spark, scan, last, interrupted = progress.spark, out.scan, progress.done, progress.open
+    before = {"processed": last["processed"], "imported": last["imported"]} if last else {"processed": 0, "imported": 0}
+    begin = None if last is None else EVERYWHERE if last["file_path"] is None else place_of(scan, last["file_path"], last["lines"])
+    if begin == EVERYWHERE:
+        return Steps(begin, None, 0, 0, before)
+    ends = [(p, line) for p, line in out.boundaries(step_rows) if begin is None or p > begin] if step_rows else []
+    names = {r["file_seq"]: r["file_path"] for r in scan.files.where(F.col("file_seq").isin([p[0] for p, _ in ends])).collect()} if ends else {}
+    count, start, processed, imported = millis_needed(scan.lines), begin, 0, 0
+    for end, line in [*ends, (None, None)]:
+        if should_stop is not None and should_stop(processed):
+            return Steps(begin, start or NOWHERE, processed, imported, before, True)
+        first_ms = reserve_millis(spark, target, int(run_ts.timestamp() * 1000), count)
+        mark = {"file_path": names[end[0]] if end else None, "lines": line, "first_ms": first_ms, "count": count}
+        progress.add(state="noted", **mark)
+        rows, offered = out.counts(start, end)
+        stored = append_new(out.accepted(start, end), target, run_ts, "ordinal", offered, first_ms, True, None if interrupted else seen).inserted
+        if interrupted:  # rows that the step had stored when it was interrupted are its own, not skipped
+            stored += progress.own(read_target(spark, target), interrupted).count()
+            interrupted = None
+            seen = set(list_files(spark, target))
+        elif ends and seen is not None:
+            seen = set(list_files(spark, target))
+        processed, imported, start = processed + rows, imported + stored, end
+        progress.add(state="done", **mark, processed=before["processed"] + processed, imported=before["imported"] + imported)
+    return Steps(begin, None, processed, imported, before)
+
+
+# ---- whole-file import: scan -> outcome -> append -> report -> result ----------------------
 
 @dataclass
 class ImportResult:
@@ -109,6 +372,7 @@ class ImportResult:
     rows_per_second: int
     error_report_path: str | None
     aborted: bool = False
+    file_errors: dict | None = None  # by path: the first 100 violations of each file
 
 
 def import_csv(
@@ -119,21 +383,28 @@ def import_csv(
     max_row_bytes: int = 64 * 1024,
     report_dir: str | None = None,
     run_ts=None,
+    progress: str | None = None,
+    step_rows: int | None = None,
+    should_stop: Callable[[int], bool] | None = None,
 ) -> ImportResult:
     """Import CSV file(s) into the Parquet target at ``target`` (created when absent).
 
-    Several files are imported in path order as consecutive jobs: the flush key
-    is ``(file_seq, batch_no)`` and a key first seen in an earlier file counts
-    as already registered.  Nothing is written unless header and size checks
-    pass; the driver receives counters and the 100-row sample only.
+    Several files are imported in path order as consecutive jobs: the flush key is ``(file_seq,
+    batch_no)`` and a key first seen in an earlier file counts as already registered.  Nothing is
+    written unless header and size checks pass; the driver receives counters and samples of 100
+    rows a file only.
+
+    With ``step_rows`` rows are appended in steps of about as many, each ending with a flush.
+    Before a step ``should_stop`` is asked with the rows processed so far: a stop returns
+    ``aborted`` with the counts of what was flushed.  With ``progress`` (a folder) each step is
+    entered there, and a later call with the same folder and files goes on at the next row, also
+    after a crash; it counts only the rows it processes itself.
     """
     import datetime as dt
     import time
 
-    from tollgate.session import path_exists
     from tollgate.sinks.csv_text import write_report
-    from tollgate.sinks.table import append_new, create_target, snapshot_keys
-    from tollgate.sources.csv_scan import REQUIRED_COLUMNS, project_columns, read_lines, scan_lines
+    from tollgate.sinks.table import create_target
 
     if not isinstance(batch_size, int) or isinstance(batch_size, bool) or not 1 <= batch_size <= 10_000:
         raise ValueError("batch size must be an integer between 1 and 10000")
@@ -141,33 +412,50 @@ def import_csv(
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     if not path_exists(spark, target):
         create_target(spark, target)
-    scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes)
-    raw = project_columns(scan, REQUIRED_COLUMNS).where(~F.col("is_blank"))
-    run = None
+    steps_done = Progress(spark, progress)
+    scan = scan_lines(read_lines(spark, paths), REQUIRED_COLUMNS, max_row_bytes, columns=REQUIRED_COLUMNS, keep=keep_validated())
+    out, made = None, []
     try:
-        keys = snapshot_keys(spark, target, candidate_keys(raw))
-        run = import_rows(raw, keys, batch_size, STUDENTS, ["file_seq"], row_bound=scan.lines)
-        counts = run.summary.collect()[0]
-        sample = [r.asDict() for r in run.sample.select("file_seq", "line_number", "field", "value", "message").collect()]
+        seen = set(list_files(spark, target))
+
+        def lookup(keys: DataFrame) -> DataFrame:
+            known, path = registered_now(spark, target, keys, steps_done)
+            made.append(path)
+            return known
+
+        out = scan_outcome(scan, lookup, batch_size)
+        steps = run_steps(out, target, run_ts, steps_done, step_rows, should_stop, seen)
+        processed, errors = steps.processed, steps.processed - steps.imported
+        rejected = out.rejections(steps.begin, steps.end)
+        samples = sample_by_file(scan, rejected) if errors else {}
         report = None
-        if (counts["total_errors"] or 0) > 0 and report_dir:
-            report = write_report(run.rejections, report_dir, run_ts, ["file_seq"])
-        accepted = run.outcome.where(F.col("status") == "unique").select(
-            "file_seq", "line_number", *[F.col(f"{f.name}_value").alias(f.name) for f in STUDENTS.fields])
-        appended = append_new(scan.with_ordinal(accepted), target, run_ts, "ordinal", int(counts["total_imported"] or 0),
-                              distinct_keys=True)
+        if errors > 0 and report_dir:
+            report = write_report(rejected, report_dir, run_ts, ["file_seq"], files=scan.files if scan.n_files > 1 else None)
     finally:
-        if run is not None:
-            run.release()
+        if out is not None:
+            out.release()
         scan.release()
+        for path in made:
+            remove_path(spark, path)
     duration = int(round((time.monotonic() - started) * 1000))
-    processed = int(counts["total_processed"] or 0)
     return ImportResult(
         total_processed=processed,
-        total_imported=appended.inserted,
-        total_errors=int(counts["total_errors"] or 0) + appended.skipped,
-        errors=sample,
+        total_imported=steps.imported,
+        total_errors=errors,
+        errors=[e for path in sorted(samples) for e in samples[path]][:MAX_ERRORS_IN_RESULT],
         duration_ms=duration,
         rows_per_second=int((processed * 1000 + duration // 2) // duration) if duration > 0 else processed,
         error_report_path=report,
+        aborted=steps.aborted,
+        file_errors=samples,
     )
+
+
+def sample_by_file(scan: CsvScan, rejected: DataFrame) -> dict:
+    """By path the first 100 violations of each file, in report order."""
+    top = file_samples(rejected).join(scan.files.select("file_seq", "file_path"), "file_seq").orderBy(*order_key(["file_seq"]))
+    out: dict[str, list] = {}
+    for r in top.select("file_path", "file_seq", "line_number", "field", "value", "message").collect():
+        row = r.asDict()
+        out.setdefault(row.pop("file_path"), []).append(row)
+    return out

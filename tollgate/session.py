@@ -101,3 +101,43 @@ def rename_suffix(spark: SparkSession, files: list[str], old: str, new: str) ->
         fs.rename(src, jvm.org.apache.hadoop.fs.Path(target))
         out.append(target)
     return out
+
+
+def create_exclusive(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a small file that isn't there yet; False if it is (of two writers one succeeds)."""
+    jpath, fs = _fs(spark, path)
+    if fs.exists(jpath):
+        return False
+    try:
+        out = fs.create(jpath, False)
+    except Exception as e:  # noqa: BLE001 - py4j wraps what the file system throws
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    jpath, fs = _fs(spark, path)
+    if not fs.exists(jpath):
+        return None
+    stream = fs.open(jpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder, none where there is no folder."""
+    jpath, fs = _fs(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this run."""
+    jpath, fs = _fs(spark, path)
+    fs.delete(jpath, True)

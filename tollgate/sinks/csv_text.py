@@ -98,13 +98,47 @@ def report_frame(rej: DataFrame, partition_cols: Sequence[str] = ()) -> DataFram
 
 
 def write_report(rej: DataFrame, report_dir: str, run_ts: dt.datetime,
-                 partition_cols: Sequence[str] = (), single_file: bool = False) -> str:
-    """Write the ordered report as text parts under a fresh errors-<stamp>.csv path."""
+                 partition_cols: Sequence[str] = (), single_file: bool = False, files: DataFrame | None = None) -> str:
+    """Write the ordered report as text parts under a fresh errors-<stamp>.csv path.
+
+    With ``files`` (file_seq, file_path) each file's lines are in a folder of its own, after a
+    header of their own, and ``_files`` names the folders.
+    """
     from tollgate.session import path_exists
 
     path = report_path(report_dir, run_ts, exists=lambda p: path_exists(rej.sparkSession, p))
+    if files is not None:
+        write_file_reports(rej, path, files)
+        return path
     framed = report_frame(rej, partition_cols).orderBy(*order_key(partition_cols))
     if single_file:  # opt-in for small reports; a global sort already orders the parts
         framed = framed.coalesce(1)
     framed.select("line").write.mode("errorifexists").text(path)
     return path
+
+
+MANIFEST = "_files"
+
+
+def write_file_reports(rej: DataFrame, path: str, files: DataFrame, batch_id: int | None = None) -> None:
+    """A folder of report lines per file (file=<file_seq>), header first, in report order, and a manifest.
+
+    The manifest (``_files``, JSON lines) has file, file_path, lines and batch of every folder.
+    """
+    keys = order_key(["file_seq"])
+    lines = report_text(rej, ["file_seq"]).select(*[F.col(k).cast("bigint") for k in keys], "line")
+    heads = lines.select("file_seq").distinct().select(
+        "file_seq", *[F.lit(-1).cast("bigint").alias(k) for k in keys[1:]], F.lit(",".join(REPORT_HEADER)).alias("line"))
+    # a file may hold a third of all rows: ranges of the report order, not files, go to tasks, and
+    # the parts of a folder come in the order of their names
+    text = lines.unionByName(heads).orderBy(*keys).select(F.col("file_seq").alias("file"), F.col("line").alias("value"))
+    text.write.mode("overwrite").partitionBy("file").text(path)
+    counted = lines.groupBy("file_seq").agg(F.count("*").cast("bigint").alias("lines"))
+    named = counted.join(files.select(F.col("file_seq").cast("bigint").alias("file_seq"), "file_path"), "file_seq")
+    manifest = named.select(F.col("file_seq").alias("file"), "file_path", "lines", F.lit(batch_id).cast("bigint").alias("batch"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def report_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, file_path, lines and batch of the folders of a report of several files."""
+    return spark.read.schema("file bigint, file_path string, lines bigint, batch bigint").json(f"{path.rstrip('/')}/{MANIFEST}")

@@ -1,8 +1,17 @@
-"""The target table: schema, append of new keys, read-back audits.
+"""The target table: schema, keyed look-up, append of new keys, audits.
+
+The table is laid out by key: a folder for each bucket of the email's hash, as
+many as the table was created with (``_buckets``).  A look-up reads the email
+column of the buckets that its keys fall in and of no other.
 
 Spark does not enforce PK / UNIQUE / NOT NULL, so they are an audit job, and the
-insert-ignore of the reference becomes a ``left_anti`` join against a fresh read
-of the target right before the append.
+insert-ignore of the reference becomes a ``left_anti`` join right before the
+append.  A run that has looked its keys up already only meets the files that
+came after its look-up, usually none.
+
+Ids take their time from a clock in the table's folder (``_clock``): a run
+reserves its milliseconds there before it writes, by a file that only one
+writer can create, so no two runs share one.
 """
 
 from __future__ import annotations
@@ -10,13 +19,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.functions.ids import row_counter, uuid7
+from tollgate.functions.ids import millis_needed, row_counter, row_millis, uuid7
 from tollgate.plans.spec import STORED_STUDENTS, validate, violation_message
+from tollgate.session import create_exclusive, list_files, names_in, read_small, scratch_path
 
 # The stored students table (lengths of the reference's columns).
 STUDENTS_SCHEMA = T.StructType([
@@ -32,53 +41,92 @@ COLUMN_LIMITS = {"id": 36, "name": 100, "email": 255, "course_id": 36}
 CORRUPTED_ROW = "Corrupted student row "
 
 
-def create_target(spark: SparkSession, path: str) -> None:
-    """An empty table with the students schema."""
-    spark.createDataFrame([], STUDENTS_SCHEMA).write.mode("errorifexists").parquet(path)
+BUCKET = "key_bucket"
+KEY_BUCKETS = 16  # of a new table; a look-up of few keys reads their share of the buckets
+
+
+def key_bucket(email: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(email), F.lit(buckets)).cast("int")
+
+
+def create_target(spark: SparkSession, path: str, buckets: int = KEY_BUCKETS) -> None:
+    """An empty table with the students schema, laid out in ``buckets`` folders."""
+    empty = spark.createDataFrame([], STUDENTS_SCHEMA).withColumn(BUCKET, F.lit(0))
+    empty.write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
+    create_exclusive(spark, f"{path.rstrip('/')}/_buckets", str(buckets))
+
+
+def bucket_count(spark: SparkSession, path: str) -> int:
+    return int(read_small(spark, f"{path.rstrip('/')}/_buckets") or KEY_BUCKETS)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*STUDENTS_SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STUDENTS_SCHEMA).parquet(path)
+    return _read(spark, path).select(*STUDENTS_SCHEMA.names)
+
+
+def registered_keys(spark: SparkSession, path: str, wanted: list[int] | None = None) -> DataFrame:
+    """The registered keys of the target (only the email column is read), of the ``wanted`` buckets or of all."""
+    rows = _read(spark, path)
+    if wanted is not None:
+        rows = rows.where(F.col(BUCKET).isin(wanted) if wanted else F.lit(False))
+    return rows.select("email")
 
 
-def registered_keys(spark: SparkSession, path: str) -> DataFrame:
-    """The registered keys of the target (only the email column is read)."""
-    return read_target(spark, path).select("email")
+def wanted_buckets(candidates: DataFrame, buckets: int) -> list[int]:
+    """The buckets that the candidates' emails fall in: at most ``buckets`` numbers."""
+    rows = candidates.where(F.col("email").isNotNull()).select(key_bucket(F.col("email"), buckets).alias("b")).distinct().collect()
+    return sorted(r["b"] for r in rows)
 
 
 def snapshot_keys(spark: SparkSession, path: str, candidates: DataFrame | None = None) -> DataFrame:
     """The registered keys as of now, cut from the target's lineage.
 
-    With ``candidates`` (email) only those of them that are registered, so that what is shuffled
-    and written follows the batch and not the target.
+    With ``candidates`` (email) only those of them that are registered, so that what is read,
+    shuffled and written follows the batch and not the target.
 
     Spark re-caches every cached plan that reads a path when that path is
     written, so a plan reading the target lazily would see rows appended later
     (by this run or a concurrent writer).  The key set is written once as a
     Parquet table under ``spark.checkpoint.dir`` (shared, survives executor
-    loss) and read back: that freezes it at run start.
+    loss) and read back: that freezes it at run start.  ``_tollgate_path`` of
+    the result names it, for the run to remove.
     """
-    from tollgate.session import scratch_path
-
     snap = scratch_path(spark, "registered-keys")
-    keys = registered_keys(spark, path)
     if candidates is None:
-        keys = keys.distinct()
+        keys = registered_keys(spark, path).distinct()
     else:
+        keys = registered_keys(spark, path, wanted_buckets(candidates, bucket_count(spark, path)))
         keys = candidates.select("email").where(F.col("email").isNotNull()).distinct().join(keys, "email", "left_semi")
     keys.write.parquet(snap)
-    return spark.read.schema("email string").parquet(snap)
+    out = spark.read.schema("email string").parquet(snap)
+    out._tollgate_path = snap  # type: ignore[attr-defined]
+    return out
+
 
+def reserve_millis(spark: SparkSession, path: str, run_ms: int, count: int = 1) -> int:
+    """The first of ``count`` milliseconds, ``run_ms`` or later, that no other run of this target has."""
+    clock = f"{path.rstrip('/')}/_clock"
+    while True:
+        taken = [tuple(map(int, n.split("-"))) for n in names_in(spark, clock) if n[:1].isdigit()]
+        first = max([run_ms, *[a + n for a, n in taken]])
+        # one file a reservation; of two writers that see the same clock only one creates it
+        if create_exclusive(spark, f"{clock}/{first}-{count}"):
+            return first
 
-def to_stored(rows: DataFrame, run_ts: dt.datetime, ordinal: str = "line_number", tick: int = 0) -> DataFrame:
+
+def to_stored(rows: DataFrame, run_ts: dt.datetime, ordinal: str = "line_number", first_ms: int | None = None) -> DataFrame:
     """Typed target rows with a uuid7 id per row and the run's created_at.
 
-    ``ordinal`` is the row's position in the whole input.  ``tick`` (the number of the micro-batch)
-    advances the id's milliseconds, so that ids of later micro-batches sort behind earlier ones.
+    ``ordinal`` is the row's position in the whole input, ``first_ms`` the first millisecond that
+    is reserved for the run (by default its time).
     """
-    run_ms = F.lit(int(run_ts.timestamp() * 1000) + tick).cast("bigint")
+    run_ms = F.lit(int(run_ts.timestamp() * 1000) if first_ms is None else first_ms).cast("bigint")
     return rows.select(
-        uuid7(run_ms, row_counter(F.col(ordinal)), F.col("email")).alias("id"),
+        uuid7(row_millis(run_ms, F.col(ordinal)), row_counter(F.col(ordinal)), F.col("email")).alias("id"),
         "name",
         "email",
         F.col("enrollment_date").cast("date").alias("enrollment_date"),
@@ -88,6 +136,19 @@ def to_stored(rows: DataFrame, run_ts: dt.datetime, ordinal: str = "line_number"
     )
 
 
+def store(rows: DataFrame, path: str) -> int:
+    """Append typed rows, each to its bucket; how many were written (observed on the way)."""
+    spark = rows.sparkSession
+    n = bucket_count(spark, path)
+    # a bucket is written by as many tasks as there are shuffle partitions for it
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n)
+    written = Observation("stored rows")
+    keyed = rows.select(*STUDENTS_SCHEMA.names).withColumn(BUCKET, key_bucket(F.col("email"), n))
+    keyed = keyed.repartition(BUCKET, F.pmod(F.xxhash64("id"), F.lit(tasks))).sortWithinPartitions(BUCKET, "id")
+    keyed.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(BUCKET).parquet(path)
+    return int(written.get["n"])
+
+
 @dataclass
 class AppendResult:
     offered: int    # unique rows of the run
@@ -96,28 +157,32 @@ class AppendResult:
 
 
 def append_new(accepted: DataFrame, path: str, run_ts: dt.datetime, ordinal: str = "line_number",
-               offered: int | None = None, tick: int = 0, distinct_keys: bool = False) -> AppendResult:
+               offered: int | None = None, first_ms: int | None = None, distinct_keys: bool = False,
+               seen: set[str] | None = None, max_ordinal: int = 0) -> AppendResult:
     """B1/B2: append rows whose email is not in the target *now*; count both sides.
 
     Of several rows with one email the first by ``ordinal`` is inserted; ``distinct_keys`` says that
     there are none.  ``offered`` (the row count) is counted here unless the caller already knows it.
+    ``seen`` are the target's files as of the caller's look-up of these keys: only later ones are
+    asked again.  ``first_ms``: reserved milliseconds; by default some are reserved here, enough for
+    ordinals up to ``max_ordinal``.
     """
     spark = accepted.sparkSession
     first = accepted
     if not distinct_keys:
         row = F.struct(*[F.col(c) for c in accepted.columns])
         first = accepted.groupBy("email").agg(F.min_by(row, F.col(ordinal)).alias("_row")).select("_row.*")
-    new = first.join(registered_keys(spark, path), on="email", how="left_anti")
-    stored = to_stored(new, run_ts, ordinal, tick).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if offered is None:
-            offered = accepted.count()
-        inserted = stored.count()
-        if inserted:
-            # clustered by id: files come out in insert order, like sequential keys in a B-tree
-            stored.sortWithinPartitions("id").write.mode("append").parquet(path)
-    finally:
-        stored.unpersist()
+    if seen is None:
+        first = first.join(registered_keys(spark, path), on="email", how="left_anti")
+    else:
+        later = sorted(set(list_files(spark, path)) - seen)
+        if later:
+            first = first.join(spark.read.schema("email string").parquet(*later), on="email", how="left_anti")
+    if first_ms is None:
+        first_ms = reserve_millis(spark, path, int(run_ts.timestamp() * 1000), millis_needed(max_ordinal))
+    if offered is None:
+        offered = accepted.count()
+    inserted = store(to_stored(first, run_ts, ordinal, first_ms), path)
     return AppendResult(offered, inserted, offered - inserted)
 
 

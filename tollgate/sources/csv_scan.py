@@ -1,30 +1,34 @@
-"""Line-numbered CSV scan (A1-A7) on Spark's text source.
+"""Line-numbered CSV scan (A1-A7) on Spark's text source, numbered late.
 
 Spark's ``csv`` source drops blank lines (record numbers would shift) and does
 not expose ordinals, so the scan is built from the text source:
 
-1. ``read_lines``: one row per physical line with ``_metadata.file_path``,
-   ``file_block_start`` and ``monotonically_increasing_id`` (increasing within
-   a split, which holds the block's lines in file order).
-2. A block table (one row per split: min id, line count, quote-odd lines) is
-   prefix-summed per file; ``line = id - min_id + lines_before_block + 1``.
-   The table has one row per input split; the planner broadcasts it when it is
-   small enough.  A line that doesn't fit its split's offsets fails the job.
-3. Fast path: when no line has an odd number of quotes every line is a
-   record.  Otherwise the open-quote parity is a running sum (bucketed, see
-   ``operators.running``), record ids are a running count of record starts and
-   lines are grouped per record -- after a size check, so an unterminated
-   quote can never gather a file into one task.
-4. The header record of each file is split into cells and normalised in Spark
-   (BOM stripped, trimmed, lower-cased): one row per header cell.  Missing
-   required columns come back as at most one row; cells are parsed with
-   ``from_csv`` into positional columns and picked per file by header index.
+1. ``first_lines`` reads the beginning of each file, one task a file; headers
+   are split and normalised in Spark and give each file the positions of the
+   wanted columns, a row per file that is broadcast.
+2. The text is read once.  Every row carries its *place*: file, split (where
+   the split begins) and a number that grows along the split.  Cells, rules and
+   whatever else the caller keeps are worked out in the same pass and cached,
+   without a shuffle, so rows stay in input order within their split.
+3. The split table (a row per split: first place, lines, ...) is prefix-summed
+   per file.  ``numbered`` joins it to the rows that need a line number, which
+   usually are the few that leave: rejections and ids.
+4. A file with a line of odd quotes may hold records of several lines.  Only
+   such files are read again: each split reports the parity of its quotes, a
+   prefix over the splits of the file gives the state that a split opens in,
+   and lines are put together to records inside their split.  Only records
+   that cross a split move, after a size check, so an unterminated quote can
+   never gather a file into one task.  They are numbered as a split of their
+   own, between that in which they begin and the next one.
+5. Cells are parsed positionally: a plain split for lines without a quote,
+   ``from_csv`` for the others.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
+from typing import Callable, Iterator, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import JS_WS_CHARS, js_trim
 from tollgate.operators.running import running_sums
-from tollgate.sources.fixtures import spread
+from tollgate.session import scratch_path
 
 # Required student columns (in reporting order), size limits and
 # messages of the reference reader.
@@ -42,6 +46,7 @@ MIN_MAX_ROW_BYTES = 256
 ROW_TOO_LARGE = "Row exceeds the maximum size"
 REPORTED_LINES = 20  # oversized lines named by the error, the first ones
 HEADER_MISSING = "CSV header is missing required columns: "
+MAX_BROADCAST_FILES = 100_000  # files whose column positions (a row of integers each) are broadcast
 
 LAYOUT_CHANGED = "The input's splits changed between numbering and reading its lines"
 
@@ -91,11 +96,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Physical lines, as they are but for the line feed, with their file and split."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.option("lineSep", "\n").text(paths)
-    return raw.select(
+    lines = raw.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
+    lines._tollgate_paths = paths  # type: ignore[attr-defined]
+    return lines
 
 
 def without_cr(record: Column) -> Column:
@@ -107,130 +115,282 @@ def _quotes(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))).cast("bigint")
 
 
+@contextmanager
+def _one_split_per_file(spark: SparkSession) -> Iterator[None]:
+    """Within it, text is planned with a task for each file, whatever its size (up to 1 TiB)."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    saved = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(1 << 40))
+        yield
+    finally:
+        for n, v in saved.items():
+            spark.conf.set(n, v)
+
+
+def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file_path, first line (text) and file_size of each file; a task reads one Arrow batch of its file, no more."""
+
+    def first(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.slice(0, 1)
+                return
+
+    out = scratch_path(spark, "first-lines")
+    with _one_split_per_file(spark):
+        begin = read_lines(spark, paths).where(F.col("block_start") == 0)
+        begin.select("file_path", F.col("value").cast("binary").alias("text"), "file_size").mapInArrow(
+            first, "file_path string, text binary, file_size bigint").write.parquet(out)
+    found = spark.read.schema("file_path string, text binary, file_size bigint").parquet(out)
+    return found.select("file_path", F.col("text").cast("string").alias("text"), "file_size")
+
+
+def header_cells(first: DataFrame) -> DataFrame:
+    """file_seq, position and normalised name of every header cell, from file_seq and the header's text."""
+    return first.select("file_seq", F.posexplode(split_outside_quotes(without_cr(F.col("text")))).alias("position", "_raw")) \
+        .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header"))
+
+
+def column_positions(header: DataFrame, columns: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Per file the position of each wanted column (the last duplicate wins), its width and what it lacks."""
+    wanted = F.array(*[F.lit(c) for c in required])
+    return header.groupBy("file_seq").agg(
+        *[F.max(F.when(F.col("header") == c, F.col("position"))).alias(f"_i_{c}") for c in columns],
+        (F.max("position") + 1).alias("_width"),
+        F.array_except(wanted, F.collect_set("header")).alias("_missing"),
+    )
+
+
+def _in_place(rows: DataFrame, small: DataFrame, on: str, n_files: int) -> DataFrame:
+    """``rows`` joined with a row per file, rows staying in order within their split."""
+    if n_files <= MAX_BROADCAST_FILES:
+        return rows.join(F.broadcast(small), on)
+    # more files than are broadcast: the join shuffles, so splits are put together and sorted again
+    return rows.join(small, on).repartition("file_seq", "split").sortWithinPartitions("file_seq", "split", "at")
+
+
+def _parsed(records: DataFrame, positions: DataFrame, columns: Sequence[str], width: int, limit: int, n_files: int) -> DataFrame:
+    """The wanted columns of records (file_seq, split, at, record, record_bytes, odd).
+
+    Each file's header decides the position of a column.  Short records give NULL for missing
+    cells, extra cells are ignored, blank records are flagged: they keep their number but are not
+    processed.
+    """
+    schema = ", ".join(f"_c{i} string" for i in range(width))  # the widest header fixes the positions
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "maxColumns": str(max(20_480, limit + 2))}
+    parsed = F.from_csv(F.col("record"), schema, options)
+    quoted = F.array(*[parsed[f"_c{i}"] for i in range(width)])
+    # a line without a quote splits at its commas; the empty cell is NULL as from_csv has it
+    cells = F.when(F.col("record").contains('"'), quoted).otherwise(F.split(F.col("record"), ",", -1))
+    rows = _in_place(records, positions, "file_seq", n_files).withColumn("_cells", cells)
+    cell = lambda c: F.try_element_at("_cells", F.col(f"_i_{c}") + 1)
+    return rows.select(
+        "file_seq", "split", "at", "record", "record_bytes", "odd",
+        F.coalesce(blank_record(F.col("record")), F.lit(False)).alias("is_blank"),
+        *[F.when(cell(c) != "", cell(c)).alias(c) for c in columns])
+
+
+def _record_bytes(record: Column) -> Column:
+    return F.octet_length(record).cast("bigint")
+
+
+Keep = Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class CsvScan:
-    records: DataFrame          # file_seq, file_path, line_number, record, record_bytes
+    rows: DataFrame             # file_seq, split, at, is_header, is_blank, record_bytes and what the caller keeps; cached
+    splits: DataFrame           # file_seq, split, first, lines, lines_before, max_bytes, valid, valid_before; cached
+    files: DataFrame            # file_seq, file_path, file_size, missing: a row per file
     header: DataFrame           # file_seq, position, header (normalised), one row per header cell
+    n_files: int
     multiline: bool
-    blocks: DataFrame | None = None  # persisted split table the numbering joins to
-    width: int = 1                   # cells in the widest header
-    lines: int = 0                   # physical lines read (an upper bound on records)
-    quoted: bool = True              # some line holds a double quote
-    limit: int = DEFAULT_MAX_ROW_BYTES  # bytes of a record, which bound its cells
-    cached: list = field(default_factory=list)  # shuffled lines of the multi-line running sums
+    width: int = 1              # cells in the widest header
+    lines: int = 0              # records read, headers and blank ones included
+    limit: int = DEFAULT_MAX_ROW_BYTES  # bytes of a record
+    cached: list = field(default_factory=list)
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (file_seq, split, at, ...) with their ``line_number`` (the header is 1)."""
+        offsets = self.splits.select("file_seq", "split", F.col("first").alias("_first"), F.col("lines_before").alias("_before"))
+        return rows.join(offsets, ["file_seq", "split"]).withColumn(
+            "line_number", (F.col("at") - F.col("_first") + F.col("_before") + 1).cast("bigint")).drop("_first", "_before")
+
+    @property
+    def records(self) -> DataFrame:
+        """file_seq, file_path, line_number, record, record_bytes (of a scan that keeps records)."""
+        named = self.files.select("file_seq", "file_path")
+        return self.numbered(self.rows).join(named, "file_seq").select("file_seq", "file_path", "line_number", "record", "record_bytes")
+
+    def data(self) -> DataFrame:
+        """Rows that are neither a header nor blank."""
+        return self.rows.where(~F.col("is_header") & ~F.col("is_blank"))
+
+    def file_offsets(self) -> DataFrame:
+        """Lines before each file, over all files in their order."""
+        per_file = self.splits.groupBy("file_seq").agg(F.sum("lines").alias("_lines")).withColumn("_order", F.col("file_seq").cast("bigint"))
+        if self.n_files == 1:
+            return per_file.select("file_seq", F.lit(0).cast("bigint").alias("_earlier"))
+        through = running_sums(per_file, "_order", ["_lines"], max_order=self.n_files)
+        return through.select("file_seq", (F.col("_lines_through") - F.col("_lines")).alias("_earlier"))
 
     def with_ordinal(self, rows: DataFrame) -> DataFrame:
         """``rows`` (file_seq, line_number) with their position over all files, ``ordinal``."""
-        per_file = self.blocks.groupBy("file_seq").agg(F.sum("_n").alias("_lines"))
-        w = Window.orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-        first = per_file.select("file_seq", F.coalesce(F.sum("_lines").over(w), F.lit(0)).alias("_first"))
-        return rows.join(first, "file_seq").withColumn("ordinal", F.col("_first") + F.col("line_number")).drop("_first")
+        return rows.join(self.file_offsets(), "file_seq").withColumn("ordinal", F.col("_earlier") + F.col("line_number")).drop("_earlier")
 
-    def failures(self, required: Sequence[str], max_row_bytes: int | None) -> DataFrame:
+    def failures(self, max_row_bytes: int | None = None) -> DataFrame:
         """file_seq, file_path and reason of files that can't be imported; a row per bad file."""
-        wanted = F.array(*[F.lit(c) for c in required])
-        missing = self.header.groupBy("file_seq").agg(F.array_except(wanted, F.collect_set("header")).alias("_missing"))
-        if self.multiline:
-            size = self.records.groupBy("file_seq", "file_path").agg(F.max("record_bytes").alias("_big"))
-        else:
-            size = self.blocks.groupBy("file_seq", "file_path").agg(F.max("max_bytes").alias("_big"))
-        size = size.join(missing, "file_seq", "left")
-        too_big = F.col("_big") > (max_row_bytes if max_row_bytes is not None else 1 << 62)
-        lacks = F.size(F.coalesce("_missing", wanted)) > 0
-        reason = F.when(lacks, F.concat(F.lit(HEADER_MISSING), F.array_join(F.coalesce("_missing", wanted), ", "))) \
-            .when(too_big, F.lit(ROW_TOO_LARGE))
-        return size.select("file_seq", "file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
+        size = self.splits.groupBy("file_seq").agg(F.max("max_bytes").alias("_big"))
+        limit = self.limit if max_row_bytes is None else max_row_bytes
+        reason = F.when(F.size("missing") > 0, F.concat(F.lit(HEADER_MISSING), F.array_join("missing", ", "))) \
+            .when(F.col("_big") > limit, F.lit(ROW_TOO_LARGE))
+        bad = self.files.join(size, "file_seq").select("file_seq", "file_path", reason.alias("reason"))
+        return bad.where(F.col("reason").isNotNull())
+
+    def without(self, file_seqs: list[int]) -> "CsvScan":
+        """The same scan without some of its files."""
+        left = ~F.col("file_seq").isin(file_seqs) if file_seqs else F.lit(True)
+        return replace(self, rows=self.rows.where(left), splits=self.splits.where(left), files=self.files.where(left), cached=[])
 
     def release(self) -> None:
-        self.records.unpersist()
-        self.header.unpersist()
-        if self.blocks is not None:
-            self.blocks.unpersist()
-        for c in self.cached:
+        for c in [*self.cached, self.splits, self.header]:
             c.unpersist()
 
 
-def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines with file_seq + phys_line + quotes, block table).  Block table is persisted."""
-    lines = lines.withColumn("_m", F.monotonically_increasing_id()).withColumn("quotes", _quotes(F.col("value")))
-    blocks = lines.groupBy("file_path", "block_start").agg(
-        F.min("_m").alias("_m0"),
-        F.count("*").cast("bigint").alias("_n"),
-        F.sum((F.col("quotes") % 2 == 1).cast("int")).cast("bigint").alias("odd_lines"),
-        F.max(F.octet_length(without_cr(F.col("value")))).cast("bigint").alias("max_bytes"),
-        F.min_by(without_cr(F.col("value")), "_m").alias("first_line"),
-        F.max("quotes").alias("max_quotes"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    # the file list derives from the persisted split table: deriving it from ``lines`` would plan a
-    # second full scan of the input
-    files = blocks.select("file_path").distinct()
-    files = files.withColumn("file_seq", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("int"))
-    w = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    raw_blocks = blocks
-    blocks = (
-        blocks.join(files, "file_path")
-        .withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    blocks.count()  # materialise the offsets, then drop the raw split table they came from
-    raw_blocks.unpersist()
-    # the lines are scanned again here: should that scan be split otherwise (executors joined, a
-    # setting changed), a line's split is missing or its offset is beyond the split's lines, and
-    # the job fails instead of losing lines.  The join is left to the planner: the split table is
-    # cached, so its size is known and a small one is broadcast.
-    offsets = blocks.select("file_path", "block_start", "file_seq", "_m0", "_n", "_before")
-    at = F.col("_m") - F.col("_m0")
-    numbered = lines.join(offsets, ["file_path", "block_start"], "left").select(
-        "file_seq",
-        "file_path",
-        F.when((at >= 0) & (at < F.col("_n")), at + F.col("_before") + 1).otherwise(F.raise_error(F.lit(LAYOUT_CHANGED)).cast("bigint")).alias("phys_line"),
-        "value",
-        "quotes",
-    )
-    return numbered, blocks
-
-
-def assemble_records(
-    numbered: DataFrame, multiline: bool, max_row_bytes: int = DEFAULT_MAX_ROW_BYTES, max_lines: int | None = None,
-    raise_oversized: bool = True,
-) -> DataFrame:
-    """A2: records with their record number (header = 1), raw text and size in bytes.
-
-    A record's lines are gathered only after its size is known: one beyond ``max_row_bytes`` raises
-    or, without ``raise_oversized``, has a row without text.  ``max_lines`` (lines read) bounds the
-    line numbers.  On the multi-line path both running sums persist their shuffled lines, so the
-    text is scanned once rather than once per branch; the caches are listed in
-    ``_tollgate_cached`` of the result.
-    """
-    size = F.octet_length("record").cast("bigint").alias("record_bytes")
-    if not multiline:
-        record = without_cr(F.col("value")).alias("record")
-        return numbered.select("file_seq", "file_path", F.col("phys_line").alias("line_number"), record).select("*", size)
-    par = running_sums(numbered, "phys_line", ["quotes"], ["file_seq"], max_order=max_lines, persist=True)
-    starts = par.withColumn(
-        "_start", (((F.col("quotes_through") - F.col("quotes")) % 2) == 0).cast("bigint")
-    )
-    rec = running_sums(starts, "phys_line", ["_start"], ["file_seq"], max_order=max_lines, persist=True)
-    cached = [*getattr(par, "_tollgate_cached", []), *getattr(rec, "_tollgate_cached", [])]
-    rec = rec.withColumnRenamed("_start_through", "line_number")
-    key = ["file_seq", "file_path", "line_number"]
-    last_cr = F.max_by(F.col("value").endswith("\r").cast("int"), F.col("phys_line"))
-    too_big = rec.groupBy(*key).agg(
-        (F.sum(F.octet_length("value")) + F.count("*") - 1 - last_cr).cast("bigint").alias("record_bytes")
-    ).where(F.col("record_bytes") > max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(too_big)
-    if raise_oversized:
-        first = too_big.orderBy("file_seq", "line_number").limit(REPORTED_LINES).collect()
-        if first:
-            raise RowTooLargeError([r["line_number"] for r in first])
-    grouped = rec.join(too_big.select("file_seq", "line_number"), ["file_seq", "line_number"], "left_anti").groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("phys_line", "value"))).alias("_parts")
-    )
-    joined = without_cr(F.array_join(F.transform("_parts", lambda p: p["value"]), "\n")).alias("record")
-    out = grouped.select(*key, joined).select("*", size).unionByName(
-        too_big.select(*key, F.lit(None).cast("string").alias("record"), "record_bytes"))
-    out._tollgate_cached = cached  # type: ignore[attr-defined]
-    return out
+def _split_table(rows: DataFrame) -> DataFrame:
+    """A row per split, with the sums of the splits before it in its file."""
+    ok = (F.col("is_valid") & ~F.col("is_blank")) if "is_valid" in rows.columns else F.lit(False)
+    ok = F.coalesce(ok, F.lit(False)).cast("bigint")
+    splits = rows.groupBy("file_seq", "split").agg(
+        F.min("at").alias("first"), F.count("*").cast("bigint").alias("lines"), F.max("record_bytes").alias("max_bytes"),
+        F.sum("odd").cast("bigint").alias("odd"), F.sum((~F.col("is_blank")).cast("bigint")).alias("filled"),
+        F.sum(ok).alias("_ok"), F.min_by(ok, "at").alias("_first_ok"), F.min_by(F.col("is_blank"), "at").alias("_first_blank"))
+    # the first line of a file is its header, whatever the rules make of it
+    begins = F.row_number().over(Window.partitionBy("file_seq").orderBy("split")) == 1
+    before = Window.partitionBy("file_seq").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "file_seq", "split", "first", "lines", "max_bytes", "odd", begins.alias("begins"),
+        (F.col("filled") - F.when(begins & ~F.col("_first_blank"), 1).otherwise(0)).alias("data"),
+        (F.col("_ok") - F.when(begins, F.col("_first_ok")).otherwise(0)).alias("valid"))
+    sums = {"lines": "lines_before", "valid": "valid_before", "data": "data_before"}
+    return splits.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()])
+
+
+# ---- records of several lines ------------------------------------------------
+
+_FRAGMENT = "file_seq int, block_start bigint, kind int, at bigint, record binary, record_bytes bigint, cr boolean"
+WHOLE, HEAD, TAIL = 0, 1, 2  # a record inside its split; the open end of a split; what belongs to a record of an earlier split
+
+
+def _assemble(limit: int):
+    """Lines of splits, in order, to records inside the splits and fragments of those that cross them."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = [c.split()[0] for c in _FRAGMENT.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+
+    def run(batches):
+        key, left, inside, tail, at = None, 0, False, False, 0
+        held, size, cr, out, out_bytes = [], -1, False, [], 0
+
+        def close(kind):
+            nonlocal held, size, at, out_bytes
+            text = b"\n".join(held) if held is not None else None
+            out.append((*key, kind, at if kind != TAIL else -1, text, size, cr))
+            out_bytes += len(text or b"")
+            at += kind != TAIL
+            held, size = [], -1
+
+        def ready():
+            nonlocal out, out_bytes
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            out, out_bytes = [], 0
+            return batch
+
+        def finish():
+            if left:
+                raise ValueError(LAYOUT_CHANGED)
+            if size >= 0:
+                close(TAIL if tail else HEAD)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seq, start = b.column(0).to_numpy(), b.column(1).to_numpy()
+            values = b.column(4).to_pylist()
+            odd = (pc.count_substring(b.column(4), '"').to_numpy() % 2 == 1).tolist()
+            bounds = np.flatnonzero(np.r_[True, (seq[1:] != seq[:-1]) | (start[1:] != start[:-1])]).tolist() + [b.num_rows]
+            for i, j in zip(bounds, bounds[1:]):
+                if (int(seq[i]), int(start[i])) != key:
+                    if key is not None:
+                        finish()
+                    key, left, at = (int(seq[i]), int(start[i])), b.column(3)[i].as_py(), 0
+                    inside = tail = b.column(2)[i].as_py()
+                left -= j - i
+                for value, flips in zip(values[i:j], odd[i:j]):
+                    size += 1 + len(value)
+                    cr = value.endswith(b"\r")
+                    if held is not None:
+                        held.append(value)
+                        if size > limit + 1:
+                            held = None  # beyond the limit only the size is kept
+                    inside ^= flips
+                    if not inside:
+                        close(TAIL if tail else WHOLE)
+                        tail = False
+                if out_bytes > 4 << 20 or len(out) > 50_000:
+                    yield ready()
+        if key is not None:
+            finish()
+        if out:
+            yield ready()
+
+    return run
+
+
+def _quoted_records(lines: DataFrame, files: DataFrame, n_files: int, limit: int) -> tuple[DataFrame, list]:
+    """(records of files with quoted line feeds: file_seq, split, at, record, record_bytes, odd; what is cached)."""
+    named = lines.join(F.broadcast(files), "file_path") if n_files <= MAX_BROADCAST_FILES else lines.join(files, "file_path")
+    named = named.withColumn("at", F.monotonically_increasing_id()) if n_files <= MAX_BROADCAST_FILES else named.repartition(
+        "file_seq", "block_start").sortWithinPartitions("file_seq", "block_start", "at")
+    parity = named.groupBy("file_seq", "block_start").agg(
+        F.sum(_quotes(F.col("value")) % 2).alias("_odd"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_seq").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    opens = parity.select("file_seq", "block_start", "n", (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2 == 1).alias("open"))
+    states = scratch_path(lines.sparkSession, "split-states")
+    opens.write.parquet(states)
+    opens = lines.sparkSession.read.schema("file_seq int, block_start bigint, n bigint, open boolean").parquet(states)
+    # a row per split of these files; should the second scan be split otherwise, the job fails
+    opened = named.join(F.broadcast(opens), ["file_seq", "block_start"], "left").select(
+        "file_seq", "block_start",
+        F.when(F.col("n").isNull(), F.raise_error(F.lit(LAYOUT_CHANGED)).cast("boolean")).otherwise(F.col("open")).alias("open"),
+        "n", F.col("value").cast("binary").alias("value"))
+    pieces = opened.mapInArrow(_assemble(limit), _FRAGMENT).persist(StorageLevel.MEMORY_AND_DISK)
+    text = F.col("record").cast("string")
+    whole = pieces.where(F.col("kind") == WHOLE).select(
+        "file_seq", (F.col("block_start") * 2).alias("split"), "at", without_cr(text).alias("record"),
+        (F.col("record_bytes") - F.col("cr").cast("bigint")).alias("record_bytes"))
+    # records over several splits: a head and the fragments up to the next one, in file order
+    order = Window.partitionBy("file_seq").orderBy("block_start", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    moved = pieces.where(F.col("kind") != WHOLE).withColumn("_record", F.sum((F.col("kind") == HEAD).cast("int")).over(order))
+    position = F.struct("block_start", -F.col("kind"))
+    sizes = moved.groupBy("file_seq", "_record").agg(
+        (F.sum("record_bytes") + F.count("*") - 1 - F.max_by(F.col("cr").cast("bigint"), position)).alias("record_bytes"),
+        F.min("block_start").alias("_begin"))
+    small = moved.join(sizes.where(F.col("record_bytes") <= limit).select("file_seq", "_record"), ["file_seq", "_record"])
+    texts = small.groupBy("file_seq", "_record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("block_start", (-F.col("kind")).alias("_k"), text.alias("t")))), lambda p: p["t"]), "\n").alias("_text"))
+    crossing = sizes.join(texts, ["file_seq", "_record"], "left").select(
+        "file_seq", (F.col("_begin") * 2 + 1).alias("split"), F.lit(0).cast("bigint").alias("at"), without_cr(F.col("_text")).alias("record"),
+        "record_bytes")
+    return whole.unionByName(crossing).withColumn("odd", F.lit(0).cast("bigint")), [pieces]
+
+
+# ---- the scan ----------------------------------------------------------------
 
 
 def scan_lines(
@@ -239,93 +399,84 @@ def scan_lines(
     max_row_bytes: int | None = DEFAULT_MAX_ROW_BYTES,  # None: the default
     check_header: bool = True,
     check_size: bool = True,
+    columns: Sequence[str] | None = None,
+    keep: Keep | None = None,
 ) -> CsvScan:
-    """Number, assemble and header-map the lines of one or more CSV files."""
+    """Read, parse and keep the records of one or more CSV files.
+
+    ``keep`` turns the parsed rows (``columns``, by default none, beside the record and its place)
+    into those that are cached: a projection.  By default the record's text is kept.  Lines of
+    ``read_lines`` are read once, and files with quoted line feeds twice more; any other frame of
+    such lines (a micro-batch) is cached and read from there.
+    """
     if max_row_bytes is not None and max_row_bytes < MIN_MAX_ROW_BYTES:
         raise ValueError(f"max_row_bytes must be at least {MIN_MAX_ROW_BYTES}")
-    numbered, blocks = number_lines(lines)
-    flags = blocks.agg(F.max("odd_lines").alias("odd"), F.max("max_bytes").alias("big"),
-                       F.sum("_n").alias("lines"), F.max("max_quotes").alias("quotes")).collect()[0]
-    multiline = bool(flags["odd"] or 0)
-    limit = DEFAULT_MAX_ROW_BYTES if max_row_bytes is None else max_row_bytes
-    assembled = records = assemble_records(numbered, multiline, limit, max_lines=int(flags["lines"] or 0), raise_oversized=check_size)
-    if multiline:
-        # slow path: record 1 may span lines; the assembled frame is reused below
-        records = records.persist(StorageLevel.MEMORY_AND_DISK)
-        head = records.where(F.col("line_number") == 1).select("file_seq", F.col("record").alias("_text"))
-    else:
-        # the first line of each file came out of the split pass: no extra scan
-        head = blocks.where(F.col("block_start") == 0).select("file_seq", F.col("first_line").alias("_text"))
-    # one row per (file, header cell): small, computed in Spark, never gathered on the driver
-    header = head.select("file_seq", F.posexplode(split_outside_quotes(F.col("_text"))).alias("position", "_raw")) \
-        .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    # one row back: the widest header and the first file (if any) missing required columns
-    wanted = F.array(*[F.lit(c) for c in required])
-    per_file = header.groupBy("file_seq").agg(
-        F.max("position").alias("_w"), F.array_except(wanted, F.collect_set("header")).alias("_missing"))
-    info = per_file.agg(
-        F.max("_w").alias("width"),
-        F.min_by(F.col("_missing"), F.when(F.size("_missing") > 0, F.col("file_seq"))).alias("missing"),
-    ).collect()[0]
-    width = int(info["width"] or 0) + 1
-    if check_header and info["missing"]:
-        raise InvalidCsvHeaderError(info["missing"])
-    if check_size and not multiline and (flags["big"] or 0) > limit:
-        over = records.where(F.col("record_bytes") > limit).orderBy("file_seq", "line_number")
-        too_big = over.select("line_number").limit(REPORTED_LINES).collect()
-        raise RowTooLargeError([r[0] for r in too_big])
-    return CsvScan(records, header, multiline, blocks, width, int(flags["lines"] or 0), bool(flags["quotes"] or 0),
-                   limit, list(getattr(assembled, "_tollgate_cached", [])))
-
-
-def project_columns(scan: CsvScan, columns: Sequence[str]) -> DataFrame:
-    """Data records (header excluded) with one string column per name.
-
-    Cells are parsed positionally with ``from_csv``; each file's header decides
-    the position of a column (the last duplicate header name wins).  Short
-    records give NULL for missing cells, extra cells are ignored.  Blank records
-    are flagged (``is_blank``) -- they keep their number but are not processed.
-    """
-    width = scan.width  # the widest header fixes the positional schema
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    # per file, the position of each wanted column; max() makes the last duplicate win
-    mapping = scan.header.groupBy("file_seq").agg(
-        *[F.max(F.when(F.col("header") == c, F.col("position"))).alias(f"_i_{c}") for c in columns]
-    )
-
-    # numbering is done, so rows may move: spread an under-split input over all cores
-    # before the per-row parse and rules (a no-op when the scan already has enough splits)
-    data = spread(scan.records.where(F.col("line_number") > 1))
-    if scan.quoted:
-        parsed = data.withColumn(
-            "_cells", F.from_csv(F.col("record"), schema, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE",
-                                                      "maxColumns": str(max(20_480, scan.limit + 2))})
-        )
-        cells = F.array(*[F.col(f"_cells._c{i}") for i in range(width)])
+    spark, limit = lines.sparkSession, DEFAULT_MAX_ROW_BYTES if max_row_bytes is None else max_row_bytes
+    columns = list(columns or ())
+    keep = keep or (lambda rows: rows)
+    cached = []
+    paths = getattr(lines, "_tollgate_paths", None)
+    if paths is not None:
+        heads = first_lines(spark, paths)
     else:
-        # no double quote anywhere in the input: every comma separates cells, a plain split parses it
-        parsed = data.withColumn("_cells", F.split(F.col("record"), ",", -1))
-        cells = F.col("_cells")
-    # one row of six integers per input file, from the cached header: the planner knows its size
-    parsed = parsed.join(mapping, "file_seq", "left")
-    out = parsed.select(
-        "file_seq",
-        "file_path",
-        "line_number",
-        "record_bytes",
-        blank_record(F.col("record")).alias("is_blank"),
-        *[_cell(cells, F.col(f"_i_{c}") + 1, scan.quoted).alias(c) for c in columns],
-    )
-    return out
-
-
-def _cell(cells: Column, pos: Column, quoted: bool) -> Column:
-    """Cell at 1-based ``pos``; a short record gives NULL, an empty cell '' becomes NULL like from_csv."""
-    if quoted:
-        return F.element_at(cells, pos)
-    v = F.try_element_at(cells, pos)
-    return F.when(v != "", v)
+        lines = lines.withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(lines)
+        heads = lines.where(F.col("block_start") == 0).groupBy("file_path").agg(
+            F.min_by("value", "_m").alias("text"), F.max("file_size").alias("file_size"))
+        lines = lines.drop("_m")
+    # the files' names and sizes, a list that the driver holds for Spark's own file index as well
+    found = sorted((r["file_path"], r["file_size"]) for r in heads.select("file_path", "file_size").collect())
+    names, n_files = [p for p, _ in found], len(found)
+    files = spark.createDataFrame([(p, k, n) for k, (p, n) in enumerate(found)], "file_path string, file_seq int, file_size bigint")
+    header = header_cells(heads.join(files.select("file_path", "file_seq"), "file_path")).persist(StorageLevel.MEMORY_AND_DISK)
+    positions = column_positions(header, columns, required)
+
+    def info() -> tuple[int, list | None]:
+        # one row back: the widest header and the first file (if any) missing required columns
+        r = positions.agg(F.max("_width").alias("width"), F.min_by(F.col("_missing"), F.when(F.size("_missing") > 0, F.col("file_seq"))).alias("missing")).first()
+        return int(r["width"] or 1), r["missing"]
+
+    width, missing = info()
+    base = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.col("block_start") * 2)
+    record = without_cr(F.col("value"))
+    plain = _in_place(base, files.select("file_path", "file_seq"), "file_path", n_files).select(
+        "file_seq", "split", "at", record.alias("record"), _record_bytes(record).alias("record_bytes"), (_quotes(F.col("value")) % 2).alias("odd"))
+    rows = keep(_parsed(plain, positions, columns, width, limit, n_files)).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(rows)
+    splits = _split_table(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    odd = [r["file_seq"] for r in splits.where(F.col("odd") > 0).select("file_seq").distinct().collect()]
+    if odd:
+        # files with quoted line feeds: read again, put together inside their splits
+        again = lines.where(F.col("file_path").isin([names[k] for k in odd]))
+        records, pieces = _quoted_records(again, files.select("file_path", "file_seq"), n_files, limit)
+        begin = records.groupBy("file_seq").agg(F.min_by("record", F.struct("split", "at")).alias("text"))
+        of_odd = header_cells(begin.select("file_seq", F.coalesce("text", F.lit("")).alias("text")))
+        quoted = files.where(F.col("file_seq").isin(odd)).select("file_seq")
+        header_all = header.join(quoted, "file_seq", "left_anti").unionByName(of_odd).persist(StorageLevel.MEMORY_AND_DISK)
+        positions = column_positions(header_all, columns, required)
+        width, missing = info()
+        put = keep(_parsed(records, positions, columns, width, limit, n_files)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached += [put, header, *pieces]
+        header = header_all
+        rows = rows.where(~F.col("file_seq").isin(odd)).unionByName(put)
+        splits.unpersist()
+        splits = _split_table(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    if check_header and missing:
+        raise InvalidCsvHeaderError(missing)
+    # a row per file: where its header lies
+    begins = splits.where("begins").select("file_seq", F.col("split").alias("_s"), F.col("first").alias("_a"))
+    rows = _in_place(rows, begins, "file_seq", n_files).withColumn(
+        "is_header", (F.col("split") == F.col("_s")) & (F.col("at") == F.col("_a"))).drop("_s", "_a", "odd")
+    total = splits.agg(F.sum("lines").alias("lines"), F.max("max_bytes").alias("big")).first()
+    described = files.join(positions.select("file_seq", F.col("_missing").alias("missing")), "file_seq", "left").select(
+        "file_seq", "file_path", "file_size", F.coalesce("missing", F.array(*[F.lit(c) for c in required])).alias("missing"))
+    scan = CsvScan(rows, splits, described, header, n_files, bool(odd), width, int(total["lines"] or 0), limit, cached)
+    if check_size and (total["big"] or 0) > limit:
+        over = scan.numbered(rows.where(F.col("record_bytes") > limit).select("file_seq", "split", "at"))
+        first = over.orderBy("file_seq", "line_number").select("line_number").limit(REPORTED_LINES).collect()
+        scan.release()
+        raise RowTooLargeError([r[0] for r in first])
+    return scan
 
 
 def scan_csv(
@@ -335,9 +486,8 @@ def scan_csv(
     max_row_bytes: int | None = DEFAULT_MAX_ROW_BYTES,
     keep_blank: bool = False,
 ) -> DataFrame:
-    """Read CSV file(s) into ``file_seq, file_path, line_number, <columns...>``."""
-    scan = scan_lines(read_lines(spark, paths), columns, max_row_bytes)
-    out = project_columns(scan, columns)
-    if not keep_blank:
-        out = out.where(~F.col("is_blank"))
-    return out
+    """Read CSV file(s) into ``file_seq, file_path, line_number, record_bytes, is_blank, <columns...>``."""
+    scan = scan_lines(read_lines(spark, paths), columns, max_row_bytes, columns=columns, keep=lambda rows: rows.drop("record"))
+    rows = scan.rows.where(~F.col("is_header")) if keep_blank else scan.data()
+    named = scan.files.select("file_seq", "file_path")
+    return scan.numbered(rows).join(named, "file_seq").select("file_seq", "file_path", "line_number", "record_bytes", "is_blank", *columns)
