@@ -83,7 +83,10 @@ def test_the_text_is_read_once_and_not_shuffled(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     cache = plan(scan.cached[0])
     cache = cache[cache.index("InMemoryRelation"):]
-    assert cache.count("FileScan text") == 1 and "Exchange hashpartitioning" not in cache and "Exchange rangepartitioning" not in cache
+    assert cache.count("FileScan text") == 1
+    # what is shuffled is the header's cells, a few rows a file; the lines aren't
+    assert all("header" in line or "_missing" in line or "file_seq" in line and "at#" not in line for line in cache.splitlines() if "Exchange hash" in line)
+    assert "SortMergeJoin" not in cache and "Exchange rangepartitioning" not in cache
     out = P.scan_outcome(scan, lambda keys: keys.where(F.lit(False)), 1000)
     for frame in (out.rejections(), out.accepted()):  # all from the cache
         assert "InMemoryTableScan" in plan(frame)
