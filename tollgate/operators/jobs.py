@@ -11,8 +11,10 @@ the state is an aggregation.  Per job, ordered by ``(ts, event_id)``:
 * every other start / complete / fail is an illegal move and changes nothing.
 
 That is three rounds of per-job ``min`` aggregations (partial aggregation before
-the shuffle) joined back on the job key with ``hot_split_join`` (a job holding a
-third of all events joins map-side), never a per-job window.
+the shuffle) over four narrow columns, joined on the job key with
+``hot_split_join`` (a job holding a third of all events joins map-side), never a
+per-job window.  The events themselves are joined once, with the facts of their
+job.  ``streaming.job_stream`` keeps the same facts as state of a stream.
 """
 
 from __future__ import annotations
@@ -64,26 +66,26 @@ def replay(events: DataFrame) -> DataFrame:
     """
     # every job id of the log has a row in each per-job table, so inner joins keep all events;
     # a job holding a third of the events joins map-side (see operators.skew)
-    hot = hot_keys(events.groupBy("job_id").agg(F.count("*").alias("_n")), "job_id")  # same set for all three joins
-    created = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == CREATE, _pos())).alias("created"))
-    e1 = hot_split_join(events, created, "job_id", hot)
-    r2 = e1.groupBy("job_id").agg(
+    hot = hot_keys(events.groupBy("job_id").agg(F.count("*").alias("_n")), "job_id")  # same set for all joins
+    narrow = events.select("job_id", "ts", "event_id", _end_kind().alias("end_kind"), "kind")
+    created = narrow.groupBy("job_id").agg(F.min(F.when(F.col("kind") == CREATE, _pos())).alias("created"))
+    r2 = hot_split_join(narrow, created, "job_id", hot).groupBy("job_id").agg(
+        F.first("created").alias("created"),
         _first_after(START, "created").alias("first_start"),
         _first_after(FAIL, "created").alias("first_fail"),
-    )
-    e2 = hot_split_join(e1, r2, "job_id", hot).withColumn(
+    ).withColumn(
         "start_pos",
         F.when(F.col("first_start").isNotNull() & (F.col("first_fail").isNull() | (F.col("first_start") < F.col("first_fail"))),
                F.col("first_start")),
     )
-    r3 = e2.groupBy("job_id").agg(
-        F.min(F.when(F.col("start_pos").isNotNull() & F.col("kind").isin(COMPLETE, FAIL) & (_pos() > F.col("start_pos")),
-                     F.struct(_pos().alias("p"), _end_kind().alias("k")))).alias("_end_after_start"),
+    moves = narrow.where(F.col("kind").isin(COMPLETE, FAIL))
+    r3 = hot_split_join(moves, r2.where(F.col("start_pos").isNotNull()).select("job_id", "start_pos"), "job_id", hot).groupBy("job_id").agg(
+        F.min(F.when(_pos() > F.col("start_pos"), F.struct(_pos().alias("p"), F.col("end_kind").alias("k")))).alias("_end_after_start"),
     )
-    e3 = hot_split_join(e2, r3, "job_id", hot)
     end = F.when(F.col("start_pos").isNotNull(), F.col("_end_after_start")).otherwise(
         F.when(F.col("first_fail").isNotNull(), F.struct(F.col("first_fail").alias("p"), F.lit(FAIL).alias("k"))))
-    e3 = e3.withColumn("end", end).drop("_end_after_start")
+    facts = r2.join(r3, "job_id", "left").select("job_id", "created", "start_pos", end.alias("end"))
+    e3 = hot_split_join(events, facts, "job_id", hot)
     p = _pos()
     state_before = (
         F.when(F.col("created").isNull() | (p < F.col("created")), F.lit(None).cast("string"))

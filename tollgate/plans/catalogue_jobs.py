@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tollgate.operators import jobs as JB
 from tollgate.operators.summary import rate, round1
 from tollgate.plans import oracle as O
-from tollgate.plans.catalogue import register
+from tollgate.plans.catalogue import ORACLE, register
 from tollgate.plans.catalogue_io import students_csv
 from tollgate.sources import manifest as M
+from tollgate.session import scratch_path
 from tollgate.sources.fixtures import table
+from tollgate.streaming.job_stream import EPOCH, VERDICT_SCHEMA, follow_jobs
 
 KIND = {"signup": JB.CREATE, "view": JB.START, "purchase": JB.COMPLETE, "error": JB.FAIL}
 RETENTION_LIMIT = 100  # 150 jobs at sf0.01, so eviction is exercised
@@ -97,6 +99,24 @@ def job_transitions(spark, sf_dir):
     return r.where(F.col("kind") != "other").select("event_id", "job_id", "kind", "state_before", "legal", "message")
 
 
+JOB_CUTS = 5  # pieces of the log that the streamed ledger takes one by one
+
+
+@register("job_stream", ORACLE["job_transitions"])
+def job_stream(spark, sf_dir):
+    """K1 as a stream: the log arrives in pieces of time, each a micro-batch; the state of a job is kept between them."""
+    log = job_log(spark, sf_dir).select("job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "kind", "report_error", "reason")
+    inbox, verdicts = scratch_path(spark, "job-log"), scratch_path(spark, "job-verdicts")
+    second = F.timestamp_diff("SECOND", F.expr(EPOCH), F.col("ts"))
+    lo, hi = log.agg(F.min(second), F.max(second)).first()
+    for k in range(JOB_CUTS):  # one file a piece, in time
+        part = log.where(F.floor((second - (lo or 0)) * JOB_CUTS / ((hi or 0) - (lo or 0) + 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    follow_jobs(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(inbox), verdicts, scratch_path(spark, "job-ckpt"))
+    return spark.read.schema(VERDICT_SCHEMA).parquet(verdicts).where(F.col("kind") != "other").select(
+        "event_id", "job_id", "kind", "state_before", "legal", "message")
+
+
 _RESULT_SQL = ", ".join(f"CASE WHEN end_kind = 'complete' THEN {x} END AS {n}" for n, x in zip(RESULT, _report_sql("d.value", "d.event_id")))
 _STATUS_SQL = f"""WITH {_LEDGER},
 jobs AS (SELECT job_id, any_value(created) AS created, any_value(start_pos) AS start_pos, any_value(end_pos) AS end_pos,

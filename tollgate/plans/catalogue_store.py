@@ -167,6 +167,41 @@ def constraint_audit(spark, sf_dir):
     return TB.constraint_audit(rows).unionByName(TB.constraint_audit(bad))
 
 
+@register(
+    "keyed_lookup",
+    O.with_validated(f"SELECT DISTINCT email_norm AS email FROM val WHERE email_norm IN (SELECT email FROM ({O.REGISTERED}))"),
+)
+def keyed_lookup(spark, sf_dir):
+    """The registered ones of a batch's keys, read from the buckets of the target that these keys fall in."""
+    keys = raw_students(spark, sf_dir).select(R.norm_email(F.coalesce("email", F.lit(""))).alias("email"))
+    return TB.snapshot_keys(spark, seeded_target(spark, sf_dir), keys)
+
+
+@register(
+    "id_clock",
+    O.with_outcome("SELECT CAST(2 * count(*) AS BIGINT) AS ids, CAST(2 * count(*) AS BIGINT) AS distinct_ids, CAST(0 AS BIGINT) AS inversions, "
+                   "CAST(0 AS BIGINT) AS shared_millis FROM oc2 WHERE status = 'unique'"),
+)
+def id_clock(spark, sf_dir):
+    """C11: two runs of one time store the accepted rows, the second one under other emails; ids repeat nowhere,
+    follow the input in both runs, and no millisecond is in both."""
+    from tollgate.functions.ids import uuid7_millis
+
+    path = seeded_target(spark, sf_dir)
+    rows = accepted_rows(outcome(raw_students(spark, sf_dir), TB.snapshot_keys(spark, path), BATCH)).persist()
+    TB.append_new(rows, path, RUN_TS)
+    TB.append_new(rows.withColumn("email", F.concat(F.lit("second."), "email")), path, RUN_TS)
+    stored = TB.read_target(spark, path).where(F.col("created_at") == F.lit(RUN_TS).cast("timestamp"))
+    second = F.col("email").startswith("second.")
+    stored = stored.select("id", second.alias("second"), F.when(second, F.substring("email", 8, 255)).otherwise(F.col("email")).alias("email"))
+    at = rows.select("email", "line_number").join(stored, "email").select(
+        "id", "second", (F.col("line_number") + F.when(F.col("second"), 1 << 40).otherwise(0)).alias("at"))
+    counts = at.agg(F.count("*").alias("ids"), F.countDistinct("id").alias("distinct_ids"))
+    shared = at.groupBy(uuid7_millis(F.col("id")).alias("ms")).agg(F.countDistinct("second").alias("runs")).agg(
+        F.coalesce(F.sum(F.when(F.col("runs") > 1, 1)), F.lit(0)).cast("bigint").alias("shared_millis"))
+    return counts.crossJoin(order_inversions(at, "at", {"inversions": "id"})).crossJoin(shared)
+
+
 # ---- JDBC -----------------------------------------------------------------------
 
 @register("jdbc_write", _UNIQUE_ROWS)

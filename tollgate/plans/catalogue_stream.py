@@ -253,3 +253,139 @@ def stream_report(spark, sf_dir):
     report_dir = scratch_path(spark, "stream-reports")
     _stream(spark, sf_dir, report_dir=report_dir)
     return spark.read.text(report_dir).select(F.col("file").cast("int").alias("file_seq"), F.col("value").alias("line"))
+
+
+# ---- stop inside a file, admission by bytes, samples and reports by file -----------------
+
+STOP_STEP = 1000
+
+
+@register(
+    "import_stop",
+    O.with_outcome(
+        f"SELECT any_value(CASE WHEN valid_all >= {STOP_STEP} THEN true ELSE false END) AS aborted, "
+        "CAST(sum(CASE WHEN first THEN 1 ELSE 0 END) AS BIGINT) AS processed_before_stop, "
+        "CAST(sum(CASE WHEN first AND status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS imported_before_stop, "
+        "CAST(sum(CASE WHEN first THEN 0 ELSE 1 END) AS BIGINT) AS processed_after, "
+        "CAST(sum(CASE WHEN NOT first AND status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS imported_after, "
+        "CAST(sum(CASE WHEN status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS stored "
+        f"FROM (SELECT *, valid_all < {STOP_STEP} OR line_number <= (SELECT min(line_number) FROM oc2 WHERE is_valid AND valid_through = {STOP_STEP}) AS first "
+        "FROM (SELECT *, max(valid_through) OVER () AS valid_all FROM oc2))",
+        raw_sql=_CSV_RAW,
+    ),
+)
+def import_stop(spark, sf_dir):
+    """An import is stopped inside its file after the first step and goes on at the next row."""
+    from tollgate.sinks.table import read_target
+
+    target, path, progress = seeded_target(spark, sf_dir), students_csv(spark, sf_dir), scratch_path(spark, "progress")
+    kw = dict(batch_size=1000, run_ts=RUN_TS, progress=progress, step_rows=STOP_STEP)
+    first = import_csv(spark, path, target, should_stop=lambda rows: rows >= STOP_STEP, **kw)
+    rest = import_csv(spark, path, target, **kw)
+    stored = read_target(spark, target).where(F.col("created_at") == F.lit(RUN_TS).cast("timestamp")).count()
+    return spark.createDataFrame(
+        [(first.aborted, first.total_processed, first.total_imported, rest.total_processed, rest.total_imported, stored)],
+        "aborted boolean, processed_before_stop bigint, imported_before_stop bigint, processed_after bigint, imported_after bigint, stored bigint")
+
+
+@register(
+    "stream_stop_inside",
+    _STREAM + f"SELECT max(valid_through) >= {STOP_STEP} AS aborted, CAST(0 AS BIGINT) AS entered_before, CAST(count(*) AS BIGINT) AS processed, "
+    "CAST(sum(CASE WHEN status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS imported, "
+    "CAST(sum(CASE WHEN status = 'unique' THEN 1 ELSE 0 END) AS BIGINT) AS stored FROM oc2",
+)
+def stream_stop_inside(spark, sf_dir):
+    """J4 in a stream: a stop inside a micro-batch's first file; a restart goes on in the same micro-batch."""
+    from tollgate.sinks.table import read_target
+
+    inbox, _ = make_inbox(spark, sf_dir)
+    target, ckpt, ledger = seeded_target(spark, sf_dir), scratch_path(spark, "ckpt"), scratch_path(spark, "ledger")
+    kw = dict(run_ts=RUN_TS, step_rows=STOP_STEP)
+    first = stream_import(spark, inbox, target, ckpt, ledger, should_stop=lambda rows: rows >= STOP_STEP, **kw)
+    before = first.ledger.count() if first.aborted else 0
+    rest = stream_import(spark, inbox, target, ckpt, ledger, **kw)
+    r = rest.ledger.agg(F.sum("processed"), F.sum("imported")).first()
+    stored = read_target(spark, target).where(F.col("created_at") == F.lit(RUN_TS).cast("timestamp")).count()
+    return spark.createDataFrame([(first.aborted, before, r[0], r[1], stored)],
+                                 "aborted boolean, entered_before bigint, processed bigint, imported bigint, stored bigint")
+
+
+@register(
+    "stream_byte_limit",
+    _STREAM + "SELECT true AS within_bound, CAST(count(DISTINCT file_seq) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS processed FROM oc2",
+)
+def stream_byte_limit(spark, sf_dir):
+    """Micro-batches of at most twice the largest file's bytes; the ledger has the bytes of each."""
+    inbox, _ = make_inbox(spark, sf_dir)
+    largest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inbox).agg(F.max("length")).first()[0]
+    run = stream_import(spark, inbox, seeded_target(spark, sf_dir), scratch_path(spark, "ckpt"), scratch_path(spark, "ledger"),
+                        run_ts=RUN_TS, max_bytes_per_trigger=2 * largest)
+    return run.ledger.agg((F.max("n_bytes") <= 2 * largest).alias("within_bound"), F.sum("n_files").cast("bigint").alias("files"),
+                          F.sum("processed").cast("bigint").alias("processed"))
+
+
+_REPORTED_ORDER = " UNION ALL ".join(
+    [f"SELECT file_seq, batch_no, 0 AS dup, line_number, {i} AS ord_field, '{field}' AS field, {col}_raw AS value, {col}_error AS message FROM oc2 WHERE {col}_error IS NOT NULL"
+     for i, (field, col) in enumerate(_FIELDS, 1)]
+    + [f"SELECT file_seq, batch_no, 1, line_number, 2, 'email', email_norm, CASE WHEN status = 'existing' THEN {O.q(R.MSG['dup_existing'])} "
+       f"ELSE {O.q(R.MSG['dup_file'])} END FROM oc2 WHERE status IN ('existing', 'file')"])
+_SAMPLED = (f"rej AS ({_REPORTED_ORDER}), ranked AS (SELECT *, row_number() OVER (PARTITION BY file_seq ORDER BY batch_no, dup, line_number, ord_field) AS rk FROM rej)")
+
+
+@register("file_samples", _STREAM + f", {_SAMPLED} SELECT file_seq, line_number, field, value, message FROM ranked WHERE rk <= 100")
+def file_samples_q(spark, sf_dir):
+    """H1 per file: an import of several files returns the first 100 violations of each."""
+    inbox, _ = make_inbox(spark, sf_dir)
+    res = import_csv(spark, inbox, seeded_target(spark, sf_dir), 1000, run_ts=RUN_TS)
+    rows = [(k, e["line_number"], e["field"], e["value"], e["message"]) for k, p in enumerate(sorted(res.file_errors)) for e in res.file_errors[p]]
+    return spark.createDataFrame(rows, "file_seq int, line_number bigint, field string, value string, message string")
+
+
+@register("stream_samples", _STREAM + f", {_SAMPLED} SELECT file_seq, line_number, field, value, message FROM ranked WHERE rk <= 100")
+def stream_samples(spark, sf_dir):
+    """H1 in streaming: the first 100 violations of each file, a micro-batch a file."""
+    run, *_ = _stream(spark, sf_dir, max_files_per_trigger=1)
+    return run.samples.select(_file_seq(F.col("file_path")).alias("file_seq"), "line_number", "field", "value", "message")
+
+
+_WARN_DETAIL = "string_agg(field || ': ' || message, '; ' ORDER BY ord_field)"
+
+
+@register(
+    "file_warnings",
+    _STREAM + f", rej AS ({_REPORTED_ORDER}), by_row AS (SELECT file_seq, batch_no, dup, line_number, {_WARN_DETAIL} AS detail FROM rej "
+    "GROUP BY file_seq, batch_no, dup, line_number), ranked AS (SELECT *, row_number() OVER (PARTITION BY file_seq ORDER BY batch_no, dup, line_number) AS rk FROM by_row) "
+    "SELECT file_seq, CAST(rk AS BIGINT) AS warn_seq, line_number, detail FROM ranked WHERE rk <= 100",
+)
+def file_warnings_q(spark, sf_dir):
+    """H2 per file: the first 100 rejected rows of each file with their messages."""
+    from tollgate.operators.report import file_warnings
+    from tollgate.plans.pipeline import keep_validated, scan_outcome
+    from tollgate.sinks.table import snapshot_keys
+    from tollgate.sources import csv_scan as S
+
+    inbox, _ = make_inbox(spark, sf_dir)
+    target = seeded_target(spark, sf_dir)
+    scan = S.scan_lines(S.read_lines(spark, inbox), columns=S.REQUIRED_COLUMNS, keep=keep_validated())
+    return file_warnings(scan_outcome(scan, lambda keys: snapshot_keys(spark, target, keys), 1000).rejections())
+
+
+@register(
+    "report_files",
+    _STREAM + f", rej AS ({_REPORTED_ORDER}) SELECT file_seq, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS written FROM rej GROUP BY file_seq",
+)
+def report_files(spark, sf_dir):
+    """B3 for several files: the report's manifest names each file's folder; the lines that it has (without header)."""
+    from tollgate.sinks.csv_text import report_manifest
+
+    inbox, _ = make_inbox(spark, sf_dir)
+    res = import_csv(spark, inbox, seeded_target(spark, sf_dir), 1000, report_dir=scratch_path(spark, "reports"), run_ts=RUN_TS)
+    if res.error_report_path is None:
+        return spark.createDataFrame([], "file_seq int, lines bigint, written bigint")
+    lines = spark.read.text(res.error_report_path)
+    if "file" not in lines.columns:  # a single file's report has no folders
+        n = lines.count() - 1
+        return spark.createDataFrame([(0, n, n)], "file_seq int, lines bigint, written bigint")
+    manifest = report_manifest(spark, res.error_report_path).select(_file_seq(F.col("file_path")).alias("file_seq"), "file", "lines")
+    written = lines.groupBy("file").agg((F.count("*") - 1).cast("bigint").alias("written"))
+    return manifest.join(written, "file").select("file_seq", "lines", "written")
