@@ -69,7 +69,7 @@ def test_date_and_course(spark):
 
 
 def test_violation_order_and_raw_value(spark):
-    df = spark.createDataFrame([(7, "A", " bad ", "15/03/2024", "", "abc")],
+    df = spark.createDataFrame([(7, "A", " bad ", "24.12.2022", "", "abc")],
                                "line_number long, name string, email string, enrollment_date string, course_id string, score string")
     v = validate(df, STUDENTS).select("violations").collect()[0][0]
     assert [x["field"] for x in v] == ["name", "email", "enrollment_date", "course_id", "score"]

@@ -53,3 +53,23 @@ def test_trim_and_collapse_match_javascript_model(spark):
                                                         collapse_ws(F.col("s")).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (model_trim(t), model_collapse(t)), repr(t)
+
+
+def test_slug_within_and_beyond_latin(spark):
+    """The JVM branch and the UDF agree with a plain-Python decomposition."""
+    import unicodedata
+
+    from tollgate.functions.slug import slug
+
+    rng = random.Random(5)
+    marks = [chr(c) for c in [*range(0x20, 0x250), 0x301, 0x327]] + ["\u212a", "\u1e9e", "\u1ebf", "日", "\U0001f600", "\ufb01"]
+    rows = [(i, "".join(rng.choice(marks) for _ in range(rng.randint(0, 12)))) for i in range(800)] + [(900, None), (901, ""), (902, "İSTANBUL ǅ ß K")]
+
+    def model(s):
+        if s is None:
+            return None
+        d = "".join(ch for ch in unicodedata.normalize("NFD", s) if not unicodedata.category(ch).startswith("M"))
+        return "".join(ch for ch in d.lower() if ch in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", slug(F.col("t")).alias("s")).collect()}
+    assert got == {i: model(t) for i, t in rows}

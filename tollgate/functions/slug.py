@@ -1,9 +1,10 @@
 """C8 slug: NFD, drop combining marks, lowercase, keep [a-z0-9].
 
-Unicode decomposition has no built-in Spark expression, so this one helper is
-an Arrow-batched pandas UDF (vectorised per batch, never per row on the JVM
-boundary).  ``slug_latin`` in ``functions.text`` is the JVM-only variant for
-Latin-1 input.
+Unicode decomposition has no built-in Spark expression.  Text of Latin letters
+(up to U+024F) needs none: a ``translate`` table, derived from Unicode's own
+decompositions, takes letters to their base within the JVM.  Only text with
+other characters goes to an Arrow-batched pandas UDF; other rows reach it as
+nulls.
 """
 
 from __future__ import annotations
@@ -33,7 +34,29 @@ def _slug_series(values: pd.Series) -> pd.Series:
 _UDF = None
 
 
+def _latin() -> tuple[str, str, str]:
+    """(characters that the JVM branch knows, accented ones of them, their bases)."""
+    known, accented, bases = "", "", ""
+    for ch in map(chr, [*range(1, 0x250), *range(0x300, 0x370)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.category(x).startswith("M"))
+        if len(base) > 1:
+            continue
+        known += ch
+        if base and base != ch:
+            accented, bases = accented + ch, bases + base
+    return known, accented, bases
+
+
+_KNOWN, _ACCENTED, _BASES = _latin()
+
+
 def slug(c: Column) -> Column:
+    latin = F.translate(c, _KNOWN, "") == ""
+    within = F.regexp_replace(F.lower(F.translate(c, _ACCENTED, _BASES)), "[^a-z0-9]", "")
+    return F.when(latin, within).otherwise(_beyond_latin(F.when(~latin, c)))
+
+
+def _beyond_latin(c: Column) -> Column:
     global _UDF
     if _UDF is None:  # built on first use: declaring a UDF needs an active session
         from pyspark.sql import types as T

@@ -15,6 +15,7 @@ from tollgate.operators.summary import rate, round1
 from tollgate.plans import oracle as O
 from tollgate.plans.catalogue import ORACLE, register
 from tollgate.plans.catalogue_io import students_csv
+from tollgate.sinks.csv_text import write_csv_files
 from tollgate.sources import manifest as M
 from tollgate.session import scratch_path
 from tollgate.sources.fixtures import table
@@ -212,6 +213,9 @@ def rate_round(spark, sf_dir):
 
 # ---- A8: input manifest -------------------------------------------------------------
 
+SMALL_FILE = 14  # bytes of a file with a header and one row: the limit, which the students' file exceeds
+
+
 _MANIFEST_SQL = f"""SELECT page_id, CASE page_id % 10
     WHEN 0 THEN NULL
     WHEN 5 THEN '{M.MSG_UNREADABLE}'
@@ -219,26 +223,30 @@ _MANIFEST_SQL = f"""SELECT page_id, CASE page_id % 10
     WHEN 6 THEN CASE WHEN lower(url) LIKE '%.csv' THEN '{M.MSG_UNREADABLE}' ELSE '{M.MSG_EXTENSION}' END
     WHEN 2 THEN '{M.MSG_UNREADABLE}' WHEN 7 THEN '{M.MSG_UNREADABLE}'
     WHEN 3 THEN '{M.MSG_REQUIRED}' WHEN 8 THEN '{M.MSG_REQUIRED}'
+    WHEN 9 THEN '{M.too_large(SMALL_FILE)}'
     ELSE '{M.MSG_INVALID_CHARS}' END AS message
 FROM pages"""
 
 
 @register("input_manifest", _MANIFEST_SQL)
 def input_manifest(spark, sf_dir):
-    """Candidate paths derived from ``pages``: the real fixture file, its directory, the URL as is,
-    the URL with an upper-case .CSV suffix (missing file), a blank path, and a path with a NUL."""
-    root = students_csv(spark, sf_dir)
-    files = M.listing(spark, [root])
-    real = files.select(F.regexp_replace(F.min("_lpath"), "^file:", "").alias("real")).collect()[0]["real"]
+    """Candidate paths derived from ``pages``: a small file, a file beyond the limit, its directory, the URL
+    as is, the URL with an upper-case .CSV suffix (missing file), a blank path, and a path with a NUL."""
+    root, small_root = students_csv(spark, sf_dir), scratch_path(spark, "small") + ".csv"
+    first = table(spark, sf_dir, "region").where(F.col("r_regionkey") == 0)
+    small = write_csv_files(first, small_root, ["r_regionkey"], "r_regionkey")[0]
+    files = M.listing(spark, [root, small_root])
+    real = files.where(F.col("size_bytes") > SMALL_FILE).agg(F.min("_lpath")).first()[0]
     p = table(spark, sf_dir, "pages")
     kind = F.col("page_id") % 10
     cand = (
-        F.when(kind == 0, F.lit(real))
+        F.when(kind == 0, F.lit(small))
+        .when(kind == 9, F.lit(real))
         .when(kind == 5, F.lit(root))
         .when(kind.isin(1, 6), F.col("url"))
         .when(kind.isin(2, 7), F.concat(F.lit(root), F.lit("/"), F.col("page_id").cast("string"), F.lit(".CSV")))
         .when(kind.isin(3, 8), F.lit("   "))
         .otherwise(F.concat(F.col("url"), F.lit("\u0000"), F.lit(".csv")))
     )
-    out = M.classify_paths(p.select("page_id", cand.alias("candidate")), "candidate", files)
+    out = M.classify_paths(p.select("page_id", cand.alias("candidate")), "candidate", files, SMALL_FILE)
     return out.select("page_id", "message")

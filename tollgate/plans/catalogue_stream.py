@@ -116,7 +116,7 @@ def make_inbox(spark: SparkSession, sf_dir: str, bad_header_last: bool = False)
     if bad_header_last:
         bad = scratch_path(spark, "badfile")
         # the same rows under a header that lacks three required columns, as one file
-        files += write_csv_files(raw, bad, ["name", "email"], "_k", ROWS_PER_FILE, header="nome,email,score")
+        files += write_csv_files(raw, bad, ["name", "email"], "_k", ROWS_PER_FILE, header="label,email,score")
         # move the bad file into the inbox (metadata rename on the cluster filesystem)
         src, fs = _fs(spark, files[-1])
         dst = inbox + "/part=zzzzzz/bad.csv"

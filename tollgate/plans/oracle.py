@@ -33,12 +33,15 @@ def rx(x: str, pattern: str) -> str:
 
 
 RAW_STUDENTS = """SELECT o_orderkey + 2 AS line_number,
- CASE WHEN o_orderkey % 41 = 0 THEN 'J0hn Sm1th' WHEN o_orderkey % 43 = 0 THEN 'A' WHEN o_orderkey % 47 = 0 THEN '  Maria   Clara ' ELSE 'Ana Souza' END AS name,
+ CASE WHEN o_orderkey % 41 = 0 THEN 'M4rit Lund' WHEN o_orderkey % 43 = 0 THEN 'Q' WHEN o_orderkey % 47 = 0 THEN '  Edda   Brandt '
+      WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 103 = 0 THEN repeat('Ab ', 40) ELSE 'Nuala Quinn' END AS name,
  CASE WHEN o_orderkey % 31 = 0 THEN concat('user.at.', CAST(o_orderkey AS VARCHAR)) WHEN o_orderkey % 37 = 0 THEN ''
+      WHEN o_orderkey % 107 = 0 THEN concat(repeat('long.', 12), CAST(o_orderkey AS VARCHAR), '@', repeat('part.', 50), 'edu')
+      WHEN o_orderkey % 109 = 0 THEN concat(repeat('l', 70), CAST(o_orderkey AS VARCHAR), '@school.edu')
       ELSE concat(' User.', CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey ELSE 100000 + o_orderkey END AS VARCHAR), '@School.EDU') END AS email,
- CASE WHEN o_orderkey % 53 = 0 THEN '2024-02-30' WHEN o_orderkey % 59 = 0 THEN '15/03/2024' WHEN o_orderkey % 61 = 0 THEN '1899-12-31' ELSE substr(CAST(o_orderdate AS VARCHAR), 1, 10) END AS enrollment_date,
- CASE WHEN o_orderkey % 67 = 0 THEN '' WHEN o_orderkey % 71 = 0 THEN 'course 101' ELSE concat('COURSE-', CAST(o_custkey % 50 AS VARCHAR)) END AS course_id,
- CASE WHEN o_orderkey % 73 = 0 THEN 'N/A' WHEN o_orderkey % 79 = 0 THEN '85.555' WHEN o_orderkey % 83 = 0 THEN '-3'
+ CASE WHEN o_orderkey % 53 = 0 THEN '2024-02-30' WHEN o_orderkey % 59 = 0 THEN '24.12.2022' WHEN o_orderkey % 61 = 0 THEN '1899-12-31' ELSE substr(CAST(o_orderdate AS VARCHAR), 1, 10) END AS enrollment_date,
+ CASE WHEN o_orderkey % 67 = 0 THEN '' WHEN o_orderkey % 71 = 0 THEN 'course 101' WHEN o_orderkey % 113 = 0 THEN repeat('ROOM-', 8) ELSE concat('COURSE-', CAST(o_custkey % 50 AS VARCHAR)) END AS course_id,
+ CASE WHEN o_orderkey % 73 = 0 THEN 'twelve' WHEN o_orderkey % 79 = 0 THEN '61.377' WHEN o_orderkey % 83 = 0 THEN '-17'
       ELSE concat(CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS VARCHAR), '.', lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0')) END AS score
 FROM orders"""
 

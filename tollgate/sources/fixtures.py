@@ -37,25 +37,28 @@ def raw_students(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     name = (
-        F.when(k % 41 == 0, "J0hn Sm1th").when(k % 43 == 0, "A").when(k % 47 == 0, "  Maria   Clara ")
-        .otherwise("Ana Souza")
+        F.when(k % 41 == 0, "M4rit Lund").when(k % 43 == 0, "Q").when(k % 47 == 0, "  Edda   Brandt ")
+        .when(k % 101 == 0, "").when(k % 103 == 0, F.repeat(F.lit("Ab "), 40))
+        .otherwise("Nuala Quinn")
     )
     email = (
         F.when(k % 31 == 0, F.concat(F.lit("user.at."), s(k)))
         .when(k % 37 == 0, F.lit(""))
+        .when(k % 107 == 0, F.concat(F.repeat(F.lit("long."), 12), s(k), F.lit("@"), F.repeat(F.lit("part."), 50), F.lit("edu")))
+        .when(k % 109 == 0, F.concat(F.repeat(F.lit("l"), 70), s(k), F.lit("@school.edu")))
         .otherwise(F.concat(F.lit(" User."), s(F.when(k % 5 == 0, F.col("o_custkey")).otherwise(100000 + k)),
                             F.lit("@School.EDU")))
     )
     date = (
-        F.when(k % 53 == 0, "2024-02-30").when(k % 59 == 0, "15/03/2024").when(k % 61 == 0, "1899-12-31")
+        F.when(k % 53 == 0, "2024-02-30").when(k % 59 == 0, "24.12.2022").when(k % 61 == 0, "1899-12-31")
         .otherwise(F.substring(s(F.col("o_orderdate")), 1, 10))
     )
     course = (
-        F.when(k % 67 == 0, "").when(k % 71 == 0, "course 101")
+        F.when(k % 67 == 0, "").when(k % 71 == 0, "course 101").when(k % 113 == 0, F.repeat(F.lit("ROOM-"), 8))
         .otherwise(F.concat(F.lit("COURSE-"), s(F.col("o_custkey") % 50)))
     )
     score = (
-        F.when(k % 73 == 0, "N/A").when(k % 79 == 0, "85.555").when(k % 83 == 0, "-3")
+        F.when(k % 73 == 0, "twelve").when(k % 79 == 0, "61.377").when(k % 83 == 0, "-17")
         .otherwise(F.concat(s(F.floor(F.col("o_totalprice")).cast("bigint") % 101), F.lit("."),
                             F.lpad(s(k % 100), 2, "0")))
     )

@@ -44,13 +44,25 @@ def listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: Column) -> Column:
+    """A path as the cluster's file system names it: with its scheme, host and, where relative, working folder."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(jvm.org.apache.hadoop.fs.Path("/")).toString().rstrip("/")
+    here = fs.getWorkingDirectory().toString().rstrip("/")
+    # an empty host is left out, as in file:/a for file:///a
+    named = F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+    return F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:/"), named).when(path.startswith("/"), F.concat(F.lit(root), path)) \
+        .otherwise(F.concat(F.lit(here + "/"), path))
+
+
 def classify_paths(candidates: DataFrame, path_col: str, files: DataFrame, limit: int = UPLOAD_MAX_BYTES) -> DataFrame:
     """Adds ``message`` (NULL = importable) and ``size_bytes``.
 
-    ``files`` is a ``listing``: paths are compared in ``file:`` URI form.
+    ``files`` is a ``listing``: paths are compared as the file system qualifies them.
     """
     trimmed = js_trim(F.coalesce(F.col(path_col), F.lit("")))
-    uri = F.when(trimmed.startswith("/"), F.concat(F.lit("file:"), trimmed)).otherwise(trimmed)
+    uri = qualified(candidates.sparkSession, trimmed)
     joined = candidates.withColumn("_uri", uri).join(files, F.col("_uri") == F.col("_lpath"), "left")
     msg = (
         F.coalesce(
