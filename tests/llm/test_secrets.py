@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
+import pytest
 
 from tollgate.llm import secrets
 
@@ -66,3 +68,21 @@ def test_redaction_keeps_all_else(spark):
     got = {r.doc_id: r for r in secrets.redact_secrets(df, length_column="n_chars").collect()}
     assert got[1].text == "a [ASSIGN] b" and got[1].n_chars == len("a [ASSIGN] b")
     assert tuple(got[2]) == (2, "clean", 5, None) and tuple(got[3]) == (3, None, None, "y")
+
+
+def test_web_tokens_are_the_matches_of_their_rule():
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    regex, rng = re.compile(rule.pattern, re.ASCII), random.Random(4)
+    parts = ["eyJ", "eyJabcdefgh", ".", ".eyJ", "-", "_", "abcdefgh12", " ", "é", "x", "eyJ-", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(60_000)]
+    texts += ["eyJabcdefgh.eyJabcdefgh.s", "xeyJabcdefgh.eyJabcdefgh.s", "abc.eyJabcdefgh.eyJabcdefgh.eyJabcdefgh.s", "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + ".c."]
+    for t in texts:
+        assert secrets.web_tokens(t) == [m.span() for m in regex.finditer(t)], t
+    assert sum(bool(secrets.web_tokens(t)) for t in texts) > 100
+
+
+@pytest.mark.parametrize("text", ["eyJ-" * 500_000, "eyJabcdefgh." * 150_000, ".eyJ" * 500_000, "eyJ" + "a" * 2_000_000, ".eyJabcdefgh" * 150_000 + "-" * 10])
+def test_hostile_texts_take_linear_time(text):
+    started = time.monotonic()
+    secrets.Scanner().scan(pa.array([text]))
+    assert time.monotonic() - started < 20
