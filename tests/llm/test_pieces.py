@@ -73,8 +73,9 @@ def test_merging_many_parts_is_merging_each():
     one = pieces.Encoder(RAW)
     some = [p for t in random_texts(400, 4) for p in one.part.findall(one.normalise(t).text)]
     some = sorted({p for p in some if all(one.char_id[ord(c)] >= 0 for c in p)} | {"▁" * k for k in range(1, 40)})
-    for part, ids in zip(some, one.merge_many(some)):
-        assert ids.tolist() == [one.ids[p] for p in one.merge(part)], part
+    for part, (ids, sizes) in zip(some, one.merge_many(some)):
+        assert ids == [one.ids[p] for p in one.merge(part)], part
+        assert np.frombuffer(sizes, np.int32).tolist() == [len(p.encode()) for p in one.merge(part)]
     assert one.merge_many([]) == []
 
 

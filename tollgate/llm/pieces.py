@@ -13,8 +13,8 @@ children and whether a key ends there; the key's value is the place of its repla
 
 Merging never joins two characters that stand side by side in no piece of the vocabulary, so a
 text is cut there (before white space above all), and a cut part's pieces don't depend on what is
-around it.  Parts are remembered in a bounded dictionary per worker: ids, lengths, and the text
-that their ids decode to.
+around it.  Parts are remembered in a bounded dictionary per worker: ids and lengths.  A part's ids
+are decoded when they are learnt; where that gives another text than the part's, it is kept as well.
 
 Edge cases: null counts as the empty text, which has no pieces and decodes to itself; texts of any
 length are encoded whole; special strings inside a text are ordinary text; repeated rows and null
@@ -43,7 +43,7 @@ from tollgate.llm.common import column, map_batches, texts
 SPACE = "▁"             # how the library writes a space
 REPLACEMENT = "�"  # for bytes that are no UTF-8
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces
-MEMO = 1 << 18          # parts remembered per worker, and as many older ones
+MEMO = 1 << 19          # parts remembered per worker, and as many older ones
 MEMO_CHARS = 64         # longer parts aren't remembered
 GROUP = 1 << 22         # characters of texts whose new parts are merged together
 SHORT = 40              # symbols up to which the best pair is looked for one after the other
@@ -142,6 +142,7 @@ class Encoder:
             if p.type == BYTE:
                 b = int(p.piece[3:5], 16)
                 self.byte_ids[b], self.byte_of[k] = k, b
+        self.numbers = [str(k) for k in range(len(self.pieces))]
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
         # by number, for many parts at a time: characters, ranks of pieces, pairs and what they become
         self.char_id = np.full(0x110000, -1, np.int64)
@@ -158,9 +159,12 @@ class Encoder:
         # two characters that are neighbours in no piece are never merged
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         spaced = any(p[1] == SPACE != p[0] for p in self.pairs)
-        self.part = re.compile(".+" if spaced else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        self.memo: dict[str, tuple[str, bytes, str]] = {}
-        self.older: dict[str, tuple[str, bytes, str]] = {}
+        # so is a line feed, where no piece has one
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        self.part = re.compile(".+" if spaced else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n", re.S)
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.unlike: dict[str, str] = {}  # parts that don't decode to themselves (none, where bytes stand for unknown characters)
 
     # ---- normalisation ----
 
@@ -273,12 +277,12 @@ class Encoder:
         to = self.becomes[at]
         return np.where(self.pair[at] == key, self.rank_of[to] << 32, NONE), to
 
-    def merge_many(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of the pieces of many short parts without unknown characters, all merged at a time.
+    def merge_many(self, parts: list[str]) -> list[tuple[list[int], bytes]]:
+        """(ids, their pieces' bytes as int32) of many short parts without unknown characters, all merged at a time.
 
         A round joins the best pair of every part; parts that are ready leave when half of them are.
         """
-        out: list[np.ndarray] = [None] * len(parts)  # type: ignore[list-item]
+        out: list[tuple[list[int], bytes]] = [([], b"")] * len(parts)
         n = np.array([len(p) for p in parts], np.int64)
         sym = self.char_id[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
         who = np.arange(len(parts))  # the parts that are left, in order
@@ -289,9 +293,10 @@ class Encoder:
             best = np.minimum.reduceat(np.where(rank < NONE, rank + np.arange(len(sym)), NONE), start)
             live = best < NONE
             if 2 * live.sum() <= len(who):
-                ids = np.split(sym[np.repeat(~live, n)], np.cumsum(n[~live])[:-1])
-                for k, i in zip(who[~live].tolist(), ids):
-                    out[k] = i
+                done = sym[np.repeat(~live, n)]
+                ids, sizes, ends = done.tolist(), self.size_of[done].tobytes(), np.cumsum(n[~live]).tolist()
+                for k, a, b in zip(who[~live].tolist(), [0, *ends], ends):
+                    out[k] = ids[a:b], sizes[4 * a : 4 * b]
                 keep = np.repeat(live, n)
                 sym, rank, to = sym[keep], rank[keep], to[keep]
                 who, n = who[live], n[live]
@@ -320,13 +325,18 @@ class Encoder:
             self.char_id[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)],
             np.cumsum([0] + [len(p) for p in new[:-1]])) >= 0 if new else []
         plain = [p for p, k in zip(new, known) if k]
-        for part, ids in zip(plain, self.merge_many(plain)):
-            several = ids.tolist()
-            self._remember(part, (",".join(map(str, several)), self.size_of[ids].tobytes(),
-                                  "".join([self.shown[k] for k in several])))
+        number, shown = self.numbers, self.shown
+        for part, (ids, sizes) in zip(plain, self.merge_many(plain)):
+            self._decoded(part, "".join([shown[k] for k in ids]))
+            self._remember(part, (",".join([number[k] for k in ids]), sizes))
         # characters outside the vocabulary: one part after the other, when it is met
 
-    def _remember(self, part: str, found: tuple[str, bytes, str]) -> None:
+    def _decoded(self, part: str, text: str) -> None:
+        """A part's ids decode to ``text``: kept where that isn't the part itself."""
+        if self.byte_fallback and text != part.replace(SPACE, " "):
+            self.unlike[part] = text
+
+    def _remember(self, part: str, found: tuple[str, bytes]) -> None:
         if len(self.memo) >= MEMO:
             self.older, self.memo = self.memo, {}
         self.memo[part] = found
@@ -356,28 +366,24 @@ class Encoder:
 
     # ---- parts, remembered ----
 
-    def _part(self, part: str) -> tuple[str, bytes, str]:
-        """What is kept of a part: its ids in decimal, its pieces' bytes, and what it decodes to."""
+    def _part(self, part: str) -> tuple[str, bytes]:
+        """What is kept of a part: its ids in decimal and its pieces' bytes."""
         found = self.older.get(part)
         if found is None:
             ids, sizes = self._tokens(part)
-            found = ",".join(map(str, ids)), np.array(sizes, np.int32).tobytes(), self._surface(ids)
+            self._decoded(part, self._surface(ids))
+            found = ",".join(map(str, ids)), np.array(sizes, np.int32).tobytes()
         if len(part) <= MEMO_CHARS:
             self._remember(part, found)
         return found
 
-    def _found(self, parts: list[str]) -> list[tuple[str, bytes, str]]:
-        out, memo = [], self.memo
-        for part in parts:
-            found = memo.get(part)
-            if found is None:
-                found = self._part(part)
-                memo = self.memo
-            out.append(found)
-        return out
+    def _found(self, parts: list[str], found: list) -> list[tuple[str, bytes]]:
+        """What is kept of each part, ``found`` being that so far."""
+        return [f if f is not None else self.memo.get(p) or self._part(p) for p, f in zip(parts, found)] if None in found else found
 
-    def _parts(self, text: str) -> list[tuple[str, bytes, str]]:
-        return self._found(self.part.findall(text))
+    def _parts(self, text: str) -> list[tuple[str, bytes]]:
+        parts = self.part.findall(text)
+        return self._found(parts, list(map(self.memo.get, parts)))
 
     # ---- whole texts ----
 
@@ -445,23 +451,25 @@ class Encoder:
                 end += 1
             group = [self.normalise(t) for t in batch[at:end]]
             parts = [self.part.findall(n.text) for n in group]
+            found = [list(map(self.memo.get, p)) for p in parts]
             if self.byte_fallback:
-                new = {p for p in set(chain.from_iterable(parts)).difference(self.memo) if len(p) <= MEMO_CHARS and p not in self.older}
-                self.learn(list(new))
-            out += [self._digest(t, n, p) for t, n, p in zip(batch[at:end], group, parts)]
+                new = {p for ps, fs in zip(parts, found) if None in fs for p, f in zip(ps, fs) if f is None}
+                self.learn([p for p in new if len(p) <= MEMO_CHARS and p not in self.older])
+            out += [self._digest(t, n, p, f) for t, n, p, f in zip(batch[at:end], group, parts, found)]
             at = end
         return out
 
-    def _digest(self, text: str, norm: Normalised, parts: list[str]) -> tuple[int, int, str, str, int]:
+    def _digest(self, text: str, norm: Normalised, parts: list[str], found: list) -> tuple[int, int, str, str, int]:
         if not self.byte_fallback:
             ids, _, ends = self.encode(text)
             shown, decoded, n = ",".join(map(str, ids)), self.decode(ids), len(ids)
         else:
-            found = self._found(parts)
+            found = self._found(parts, found)
             shown = ",".join([f[0] for f in found])
             sizes = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
             ends, n = norm.origin(np.cumsum(sizes, dtype=np.int64)), len(sizes)
-            decoded = self._begin("".join([f[2] for f in found]), (int(m[0]) for m in NUMBER.finditer(shown)))
+            surface = norm.text if not self.unlike else "".join([self.unlike.get(p, p) for p in parts])
+            decoded = self._begin(surface.replace(SPACE, " "), (int(m[0]) for m in NUMBER.finditer(shown)))
         return (len(text.encode()), n, sha256(shown.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(),
                 zlib.crc32(ends.astype("<i8").tobytes()))
 
