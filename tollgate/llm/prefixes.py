@@ -183,3 +183,44 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, shared: int = SH
     return placed.join(below, "key", "left").join(ends, "key", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
         "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
+
+
+#: DuckDB SQL for the same rows: prefixes as lists of turns.  Turns of one number come by role and text
+#: there, and by their hashes here, so the tables held against it have none.
+ORACLE = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS first_id,
+    -- CRC-32 of the decimal id: each byte is mixed in, followed by eight single-bit steps (-1)
+    (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+        lambda i: list_concat([CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+taken AS (SELECT i.conv_id, i.h, count(o.place) AS n FROM ids i LEFT JOIN own o ON o.conv_id = i.first_id AND o.place <= i.h GROUP BY ALL),
+turns AS (
+  SELECT i.conv_id, o.place AS depth, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.first_id AND o.place <= i.h
+  UNION ALL
+  SELECT t.conv_id, o.place - t.h + t.n, o.role, o.text FROM taken t JOIN own o ON o.conv_id = t.conv_id AND o.place > t.h),
+prefixes AS (
+  SELECT conv_id, depth, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, '', [] FROM ids),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+nodes AS (
+  SELECT p.depth, p.path, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(p.text) AS text,
+    sha256(coalesce(string_agg(CASE WHEN l.depth = p.depth THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+  FROM prefixes p JOIN lengths l USING (conv_id) GROUP BY p.depth, p.path),
+linked AS (SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.path = n.path[:n.depth - 1]),
+children AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.path = l.path),
+above AS (SELECT depth, path, n_convs, text, n_children, unnest(range(0, depth + 1)) AS d FROM counted),
+below AS (
+  SELECT d AS depth, path[:d] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * length(text)) AS saved_tokens
+  FROM above GROUP BY 1, 2)
+SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(c.depth AS BIGINT) AS depth, CAST(c.parent_conv_id AS BIGINT) AS parent_conv_id,
+  CAST(c.n_convs AS BIGINT) AS n_convs, CAST(c.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.depth = c.depth AND b.path = c.path
+"""

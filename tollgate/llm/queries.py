@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import decontaminate, nearest, packing, pieces, pii, prefixes, repair, secrets, sharding, simhash, substrings, tokens, toxicity
+from tollgate.llm import decontaminate, nearest, packing, pieces, pii, prefixes, repair, repair_sql, secrets, sharding, simhash, substrings, tokens, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +91,12 @@ def op13_sentencepiece(spark, sf_dir):
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-@register("op11_conversation_prefixes")
+@register("op11_conversation_prefixes", prefixes.ORACLE)
 def op11_conversation_prefixes(spark, sf_dir):
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-@register("op12_conversation_repair")
+@register("op12_conversation_repair", repair_sql.oracle())
 def op12_conversation_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return repair.report(repair.damage(rows), rows)
