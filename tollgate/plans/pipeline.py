@@ -104,7 +104,7 @@ def keep_validated(spec: DataSpec = STUDENTS):
     """What a scan keeps of its parsed rows: typed values, violations, validity."""
     values = [f"{f.name}_value" for f in spec.fields]
     return lambda rows: validate(rows, spec).select(
-        "file_seq", "split", "at", "record_bytes", "odd", "is_blank", "violations", "is_valid", *values)
+        "file_seq", "split", "at", "record_bytes", "quotes", "is_blank", "violations", "is_valid", *values)
 
 
 PLACE = ("file_seq", "split", "at")  # where a row stands; comparable within an import

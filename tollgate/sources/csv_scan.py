@@ -21,7 +21,8 @@ not expose ordinals, so the scan is built from the text source:
    never gather a file into one task.  They are numbered as a split of their
    own, between that in which they begin and the next one.
 5. Cells are parsed positionally: a plain split for lines without a quote,
-   ``from_csv`` for the others.
+   ``from_csv`` for the others.  Files with quotes are parsed apart, so that all
+   other files stay within generated code.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import JS_WS_CHARS, js_trim
+from tollgate.functions.text import JS_WS, JS_WS_CHARS, js_trim
 from tollgate.operators.running import running_sums
 from tollgate.session import scratch_path
 
@@ -66,12 +67,15 @@ class RowTooLargeError(ValueError):
 def blank_record(record: Column) -> Column:
     """A5: only empty cells (white space, quoted or not).  Linear string scans, no regex.
 
-    Most records hold something besides white space, commas and quotes, which one ``translate``
-    shows; only the others are looked at cell by cell.
+    A cell is empty if it is white space, or quotes around nothing else.  Most records hold
+    something besides white space, commas and quotes, which one ``translate`` shows; of the others
+    quoted white space is dropped, then quotes that make up a cell, and no quote may be left.  All
+    of it stays within generated code.
     """
-    bare = lambda c, more="": F.translate(c, JS_WS_CHARS + more, "")
-    empty_cell = lambda c: (bare(c) == "") | ((bare(c) == '""') & c.startswith('"') & c.endswith('"'))
-    return F.when(bare(record, ',"') != "", F.lit(False)).otherwise(F.forall(F.split(record, ","), empty_cell))
+    quoted = F.regexp_replace(record, f'"{JS_WS}+"', '""')
+    apart = F.concat(F.lit(","), F.replace(quoted, F.lit(","), F.lit(",,")), F.lit(","))  # each cell between commas of its own
+    rest = F.translate(F.replace(apart, F.lit(',"",'), F.lit(",,")), JS_WS_CHARS + ",", "")
+    return F.when(F.translate(record, JS_WS_CHARS + ',"', "") != "", F.lit(False)).otherwise(rest == "")
 
 
 def split_outside_quotes(line: Column) -> Column:
@@ -116,47 +120,60 @@ def _quotes(c: Column) -> Column:
 
 
 @contextmanager
-def _one_split_per_file(spark: SparkSession) -> Iterator[None]:
-    """Within it, text is planned with a task for each file, whatever its size (up to 1 TiB)."""
-    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    saved = {n: spark.conf.get(n) for n in names}
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for as long as a plan is made and started."""
+    saved = {n: spark.conf.get(n) for n in values}
     try:
-        for n in names:
-            spark.conf.set(n, str(1 << 40))
+        for n, v in values.items():
+            spark.conf.set(n, v)
         yield
     finally:
         for n, v in saved.items():
             spark.conf.set(n, v)
 
 
+#: Text is planned with a task for each file, whatever its size (up to 1 TiB).
+ONE_SPLIT_PER_FILE = {"spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40)}
+#: Generated methods beyond 8,000 bytes are never compiled to machine code; the parse and all rules
+#: in one stage make such a method, and run in half the time as separate projections.
+COMPILED_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file_path, first line (text) and file_size of each file; a task reads one Arrow batch of its file, no more."""
+    """file_path, first line (text), file_size of each file, and whether its beginning has quotes.
+
+    A task reads one Arrow batch of its file, no more.
+    """
 
     def first(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         for b in batches:
             if b.num_rows:
-                yield b.slice(0, 1)
+                quoted = pc.any(pc.match_substring(b.column(1), '"')).as_py()
+                yield pa.RecordBatch.from_arrays([*b.slice(0, 1).columns, pa.array([bool(quoted)])], names=[*b.schema.names, "quoted"])
                 return
 
     out = scratch_path(spark, "first-lines")
-    with _one_split_per_file(spark):
+    with _settings(spark, ONE_SPLIT_PER_FILE):
         begin = read_lines(spark, paths).where(F.col("block_start") == 0)
         begin.select("file_path", F.col("value").cast("binary").alias("text"), "file_size").mapInArrow(
-            first, "file_path string, text binary, file_size bigint").write.parquet(out)
-    found = spark.read.schema("file_path string, text binary, file_size bigint").parquet(out)
-    return found.select("file_path", F.col("text").cast("string").alias("text"), "file_size")
+            first, "file_path string, text binary, file_size bigint, quoted boolean").write.parquet(out)
+    found = spark.read.schema("file_path string, text binary, file_size bigint, quoted boolean").parquet(out)
+    return found.select("file_path", F.col("text").cast("string").alias("text"), "file_size", "quoted")
 
 
-def header_cells(first: DataFrame) -> DataFrame:
+def header_cells(first: DataFrame, by: str = "file_seq") -> DataFrame:
     """file_seq, position and normalised name of every header cell, from file_seq and the header's text."""
-    return first.select("file_seq", F.posexplode(split_outside_quotes(without_cr(F.col("text")))).alias("position", "_raw")) \
-        .select("file_seq", F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header"))
+    return first.select(by, F.posexplode(split_outside_quotes(without_cr(F.col("text")))).alias("position", "_raw")) \
+        .select(by, F.col("position").cast("int"), normalize_header(F.col("_raw")).alias("header"))
 
 
-def column_positions(header: DataFrame, columns: Sequence[str], required: Sequence[str]) -> DataFrame:
+def column_positions(header: DataFrame, columns: Sequence[str], required: Sequence[str], by: str = "file_seq") -> DataFrame:
     """Per file the position of each wanted column (the last duplicate wins), its width and what it lacks."""
     wanted = F.array(*[F.lit(c) for c in required])
-    return header.groupBy("file_seq").agg(
+    return header.groupBy(by).agg(
         *[F.max(F.when(F.col("header") == c, F.col("position"))).alias(f"_i_{c}") for c in columns],
         (F.max("position") + 1).alias("_width"),
         F.array_except(wanted, F.collect_set("header")).alias("_missing"),
@@ -171,23 +188,24 @@ def _in_place(rows: DataFrame, small: DataFrame, on: str, n_files: int) -> DataF
     return rows.join(small, on).repartition("file_seq", "split").sortWithinPartitions("file_seq", "split", "at")
 
 
-def _parsed(records: DataFrame, positions: DataFrame, columns: Sequence[str], width: int, limit: int, n_files: int) -> DataFrame:
-    """The wanted columns of records (file_seq, split, at, record, record_bytes, odd).
+def _parsed(records: DataFrame, positions: DataFrame, columns: Sequence[str], width: int, limit: int, n_files: int, quoted: bool) -> DataFrame:
+    """The wanted columns of records (file_seq, split, at, record, record_bytes, quotes).
 
     Each file's header decides the position of a column.  Short records give NULL for missing
     cells, extra cells are ignored, blank records are flagged: they keep their number but are not
     processed.
     """
-    schema = ", ".join(f"_c{i} string" for i in range(width))  # the widest header fixes the positions
-    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "maxColumns": str(max(20_480, limit + 2))}
-    parsed = F.from_csv(F.col("record"), schema, options)
-    quoted = F.array(*[parsed[f"_c{i}"] for i in range(width)])
     # a line without a quote splits at its commas; the empty cell is NULL as from_csv has it
-    cells = F.when(F.col("record").contains('"'), quoted).otherwise(F.split(F.col("record"), ",", -1))
+    cells = F.split(F.col("record"), ",", -1)
+    if quoted:  # takes the rows out of generated code, so only files with quotes are parsed so
+        schema = ", ".join(f"_c{i} string" for i in range(width))  # the widest header fixes the positions
+        options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "maxColumns": str(max(20_480, limit + 2))}
+        parsed = F.from_csv(F.col("record"), schema, options)
+        cells = F.when(F.col("record").contains('"'), F.array(*[parsed[f"_c{i}"] for i in range(width)])).otherwise(cells)
     rows = _in_place(records, positions, "file_seq", n_files).withColumn("_cells", cells)
     cell = lambda c: F.try_element_at("_cells", F.col(f"_i_{c}") + 1)
     return rows.select(
-        "file_seq", "split", "at", "record", "record_bytes", "odd",
+        "file_seq", "split", "at", "record", "record_bytes", "quotes",
         F.coalesce(blank_record(F.col("record")), F.lit(False)).alias("is_blank"),
         *[F.when(cell(c) != "", cell(c)).alias(c) for c in columns])
 
@@ -255,7 +273,7 @@ class CsvScan:
         return replace(self, rows=self.rows.where(left), splits=self.splits.where(left), files=self.files.where(left), cached=[])
 
     def release(self) -> None:
-        for c in [*self.cached, self.splits, self.header]:
+        for c in [*self.cached, self.splits]:
             c.unpersist()
 
 
@@ -265,13 +283,13 @@ def _split_table(rows: DataFrame) -> DataFrame:
     ok = F.coalesce(ok, F.lit(False)).cast("bigint")
     splits = rows.groupBy("file_seq", "split").agg(
         F.min("at").alias("first"), F.count("*").cast("bigint").alias("lines"), F.max("record_bytes").alias("max_bytes"),
-        F.sum("odd").cast("bigint").alias("odd"), F.sum((~F.col("is_blank")).cast("bigint")).alias("filled"),
+        F.sum(F.col("quotes") % 2).cast("bigint").alias("odd"), F.max("quotes").alias("quotes"), F.sum((~F.col("is_blank")).cast("bigint")).alias("filled"),
         F.sum(ok).alias("_ok"), F.min_by(ok, "at").alias("_first_ok"), F.min_by(F.col("is_blank"), "at").alias("_first_blank"))
     # the first line of a file is its header, whatever the rules make of it
     begins = F.row_number().over(Window.partitionBy("file_seq").orderBy("split")) == 1
     before = Window.partitionBy("file_seq").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(
-        "file_seq", "split", "first", "lines", "max_bytes", "odd", begins.alias("begins"),
+        "file_seq", "split", "first", "lines", "max_bytes", "odd", "quotes", begins.alias("begins"),
         (F.col("filled") - F.when(begins & ~F.col("_first_blank"), 1).otherwise(0)).alias("data"),
         (F.col("_ok") - F.when(begins, F.col("_first_ok")).otherwise(0)).alias("valid"))
     sums = {"lines": "lines_before", "valid": "valid_before", "data": "data_before"}
@@ -387,7 +405,16 @@ def _quoted_records(lines: DataFrame, files: DataFrame, n_files: int, limit: int
     crossing = sizes.join(texts, ["file_seq", "_record"], "left").select(
         "file_seq", (F.col("_begin") * 2 + 1).alias("split"), F.lit(0).cast("bigint").alias("at"), without_cr(F.col("_text")).alias("record"),
         "record_bytes")
-    return whole.unionByName(crossing).withColumn("odd", F.lit(0).cast("bigint")), [pieces]
+    return whole.unionByName(crossing).withColumn("quotes", F.lit(0).cast("bigint")), [pieces]
+
+
+def _local(spark: SparkSession, rows: list[tuple], types: dict[str, str]) -> DataFrame:
+    """A few rows of the driver as a local relation: no job reads it."""
+    import pyarrow as pa
+
+    kinds = [pa.list_(pa.string()) if t == "list" else pa.type_for_alias(t) for t in types.values()]
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(types)))
 
 
 # ---- the scan ----------------------------------------------------------------
@@ -406,8 +433,9 @@ def scan_lines(
 
     ``keep`` turns the parsed rows (``columns``, by default none, beside the record and its place)
     into those that are cached: a projection.  By default the record's text is kept.  Lines of
-    ``read_lines`` are read once, and files with quoted line feeds twice more; any other frame of
-    such lines (a micro-batch) is cached and read from there.
+    ``read_lines`` are read once, files whose first quote comes late once more, and files with
+    quoted line feeds twice more; any other frame of such lines (a micro-batch) is cached and read
+    from there.
     """
     if max_row_bytes is not None and max_row_bytes < MIN_MAX_ROW_BYTES:
         raise ValueError(f"max_row_bytes must be at least {MIN_MAX_ROW_BYTES}")
@@ -422,52 +450,78 @@ def scan_lines(
         lines = lines.withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(lines)
         heads = lines.where(F.col("block_start") == 0).groupBy("file_path").agg(
-            F.min_by("value", "_m").alias("text"), F.max("file_size").alias("file_size"))
+            F.min_by("value", "_m").alias("text"), F.max("file_size").alias("file_size"), F.max(F.col("value").contains('"')).alias("quoted"))
         lines = lines.drop("_m")
-    # the files' names and sizes, a list that the driver holds for Spark's own file index as well
-    found = sorted((r["file_path"], r["file_size"]) for r in heads.select("file_path", "file_size").collect())
-    names, n_files = [p for p, _ in found], len(found)
-    files = spark.createDataFrame([(p, k, n) for k, (p, n) in enumerate(found)], "file_path string, file_seq int, file_size bigint")
-    header = header_cells(heads.join(files.select("file_path", "file_seq"), "file_path")).persist(StorageLevel.MEMORY_AND_DISK)
-    positions = column_positions(header, columns, required)
-
-    def info() -> tuple[int, list | None]:
-        # one row back: the widest header and the first file (if any) missing required columns
-        r = positions.agg(F.max("_width").alias("width"), F.min_by(F.col("_missing"), F.when(F.size("_missing") > 0, F.col("file_seq"))).alias("missing")).first()
-        return int(r["width"] or 1), r["missing"]
-
-    width, missing = info()
-    base = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.col("block_start") * 2)
-    record = without_cr(F.col("value"))
-    plain = _in_place(base, files.select("file_path", "file_seq"), "file_path", n_files).select(
-        "file_seq", "split", "at", record.alias("record"), _record_bytes(record).alias("record_bytes"), (_quotes(F.col("value")) % 2).alias("odd"))
-    rows = keep(_parsed(plain, positions, columns, width, limit, n_files)).persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(rows)
+    # a row per file: its name, size and column positions, as the driver holds names and sizes for
+    # Spark's own file index.  The text of the headers stays in Spark
+    found = heads.select("file_path", "file_size", "quoted").join(
+        column_positions(header_cells(heads, "file_path"), columns, required, "file_path"), "file_path").collect()
+    found = sorted(found, key=lambda r: r["file_path"])
+    names, n_files = [r["file_path"] for r in found], len(found)
+    files = _local(spark, [(r["file_path"], k, r["file_size"]) for k, r in enumerate(found)],
+                   {"file_path": "string", "file_seq": "int32", "file_size": "int64"})
+    header = header_cells(heads.join(files.select("file_path", "file_seq"), "file_path"))
+    width = max([r["_width"] for r in found], default=1)
+    missing = next((r["_missing"] for r in found if r["_missing"]), None)
+    at_columns = [f"_i_{c}" for c in columns]
+    positions = _local(spark, [(k, *[r[c] for c in at_columns], r["_width"], list(r["_missing"])) for k, r in enumerate(found)],
+                       {"file_seq": "int32", **{c: "int32" for c in at_columns}, "_width": "int32", "_missing": "list"})
+
+    def parsed(some: DataFrame, quoted: bool) -> DataFrame:
+        base = some.withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.col("block_start") * 2)
+        record = without_cr(F.col("value"))
+        plain = _in_place(base, files.select("file_path", "file_seq"), "file_path", n_files).select(
+            "file_seq", "split", "at", record.alias("record"), _record_bytes(record).alias("record_bytes"), _quotes(F.col("value")).alias("quotes"))
+        rows = keep(_parsed(plain, positions, columns, width, limit, n_files, quoted)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(rows)
+        return rows
+
+    def of(numbers: list[int]) -> DataFrame:
+        return lines.where(F.col("file_path").isin([names[k] for k in numbers]))
+
+    def without(rows: DataFrame, numbers: list[int]) -> DataFrame:
+        return rows.where(~F.col("file_seq").isin(numbers)) if numbers else rows
+
+    # files whose beginning has quotes are parsed apart, so that they don't slow the others; each is read once
+    quoted = [k for k, r in enumerate(found) if r["quoted"]]
+    if len(quoted) == n_files:
+        rows = parsed(lines, bool(quoted))
+    elif quoted:
+        rows = parsed(lines.where(~F.col("file_path").isin([names[k] for k in quoted])), False).unionByName(parsed(of(quoted), True))
+    else:
+        rows = parsed(lines, False)
     splits = _split_table(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    odd = [r["file_seq"] for r in splits.where(F.col("odd") > 0).select("file_seq").distinct().collect()]
+    with _settings(spark, COMPILED_METHODS):  # this starts the one pass over the text
+        total = splits.agg(F.sum("lines").alias("lines"), F.max("max_bytes").alias("big"), F.max("quotes").alias("quotes")).first()
+    marked = splits.where(F.col("quotes") > 0).groupBy("file_seq").agg(F.sum("odd").alias("odd")).collect() if total["quotes"] else []
+    odd = sorted(r["file_seq"] for r in marked if r["odd"])
+    late = sorted(r["file_seq"] for r in marked if not r["odd"] and r["file_seq"] not in set(quoted))
+    if late:  # quotes further on than the beginning: these files are parsed again, when the splits are counted
+        rows = without(rows, late).unionByName(parsed(of(late), True))
     if odd:
         # files with quoted line feeds: read again, put together inside their splits
-        again = lines.where(F.col("file_path").isin([names[k] for k in odd]))
+        again = of(odd)
         records, pieces = _quoted_records(again, files.select("file_path", "file_seq"), n_files, limit)
         begin = records.groupBy("file_seq").agg(F.min_by("record", F.struct("split", "at")).alias("text"))
         of_odd = header_cells(begin.select("file_seq", F.coalesce("text", F.lit("")).alias("text")))
-        quoted = files.where(F.col("file_seq").isin(odd)).select("file_seq")
-        header_all = header.join(quoted, "file_seq", "left_anti").unionByName(of_odd).persist(StorageLevel.MEMORY_AND_DISK)
-        positions = column_positions(header_all, columns, required)
-        width, missing = info()
-        put = keep(_parsed(records, positions, columns, width, limit, n_files)).persist(StorageLevel.MEMORY_AND_DISK)
-        cached += [put, header, *pieces]
-        header = header_all
-        rows = rows.where(~F.col("file_seq").isin(odd)).unionByName(put)
+        header = without(header, odd).unionByName(of_odd)
+        positions = column_positions(header, columns, required)
+        # one row back: the widest header and the first file (if any) missing required columns
+        info = positions.agg(F.max("_width").alias("width"), F.min_by(F.col("_missing"), F.when(F.size("_missing") > 0, F.col("file_seq"))).alias("missing")).first()
+        width, missing = int(info["width"] or 1), info["missing"]
+        put = keep(_parsed(records, positions, columns, width, limit, n_files, True)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached += [put, *pieces]
+        rows = without(rows, odd).unionByName(put)
+    if odd or late:
         splits.unpersist()
         splits = _split_table(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        total = splits.agg(F.sum("lines").alias("lines"), F.max("max_bytes").alias("big")).first()
     if check_header and missing:
         raise InvalidCsvHeaderError(missing)
     # a row per file: where its header lies
     begins = splits.where("begins").select("file_seq", F.col("split").alias("_s"), F.col("first").alias("_a"))
     rows = _in_place(rows, begins, "file_seq", n_files).withColumn(
-        "is_header", (F.col("split") == F.col("_s")) & (F.col("at") == F.col("_a"))).drop("_s", "_a", "odd")
-    total = splits.agg(F.sum("lines").alias("lines"), F.max("max_bytes").alias("big")).first()
+        "is_header", (F.col("split") == F.col("_s")) & (F.col("at") == F.col("_a"))).drop("_s", "_a", "quotes")
     described = files.join(positions.select("file_seq", F.col("_missing").alias("missing")), "file_seq", "left").select(
         "file_seq", "file_path", "file_size", F.coalesce("missing", F.array(*[F.lit(c) for c in required])).alias("missing"))
     scan = CsvScan(rows, splits, described, header, n_files, bool(odd), width, int(total["lines"] or 0), limit, cached)
