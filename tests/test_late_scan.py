@@ -289,3 +289,28 @@ def test_no_rows(spark, tmp_path):
     (tmp_path / "e.csv").write_text("")
     res = import_csv(spark, str(tmp_path / "e.csv"), str(tmp_path / "t"), run_ts=TS)
     assert (res.total_processed, res.total_imported) == (0, 0)
+
+
+def test_steps_are_written_at_once_and_moved(spark, tmp_path, monkeypatch):
+    """One write for all steps; keys that another writer stores between two steps are left out of the later ones."""
+    inbox, files = make_files(tmp_path, 3)
+    order, _ = sequential(files, set(), 5)
+    target, writes = str(tmp_path / "t"), []
+    real, publish = TB.stage_steps, TB.publish_step
+    monkeypatch.setattr(TB, "stage_steps", lambda *a: writes.append(a) or real(*a))
+    monkeypatch.setattr(P.StagedSteps, "LIST_SECONDS", 0.0)
+    rival = order[-1]
+
+    def meanwhile(spark, path, step, *rest):
+        moved = publish(spark, path, step, *rest)
+        if step == 0:
+            row = spark.createDataFrame([(1, "Iris Holm", rival, "2023-05-06", "b", "5")],
+                                        "line_number bigint, name string, email string, enrollment_date string, course_id string, score string")
+            TB.store(TB.to_stored(row, TS - dt.timedelta(days=1)), path)
+        return moved
+
+    monkeypatch.setattr(TB, "publish_step", meanwhile)
+    res = import_csv(spark, inbox, target, batch_size=5, run_ts=TS, step_rows=10)
+    assert len(writes) == 2  # at the beginning and after the rival
+    assert res.total_imported == len(order) - 1 and res.total_processed == sum(len(r) for _, r in files)
+    assert sorted(stored(spark, target)) == sorted(order)
