@@ -314,3 +314,15 @@ def test_steps_are_written_at_once_and_moved(spark, tmp_path, monkeypatch):
     assert len(writes) == 2  # at the beginning and after the rival
     assert res.total_imported == len(order) - 1 and res.total_processed == sum(len(r) for _, r in files)
     assert sorted(stored(spark, target)) == sorted(order)
+
+
+def test_lines_of_documents_count_on_through_files(spark, tmp_path, monkeypatch):
+    """The row size guard over several files of few documents numbers lines as over one."""
+    from tollgate.plans import catalogue_io as C
+
+    monkeypatch.setattr(C, "DOCUMENTS_PER_FILE", 4)
+    long = {3, 4, 7, 10}
+    rows = [(i, "x" * (C.GUARD_LIMIT + i) if i in long else 'a "b"\nc' if i % 2 else "") for i in range(11)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["line_number"], r["record_bytes"]) for r in C.csv_row_size_guard(spark, str(tmp_path)).collect()}
+    assert got == {(i + 2, C.GUARD_LIMIT + i + len(f"{i},")) for i in long}
