@@ -326,3 +326,59 @@ def test_lines_of_documents_count_on_through_files(spark, tmp_path, monkeypatch)
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["line_number"], r["record_bytes"]) for r in C.csv_row_size_guard(spark, str(tmp_path)).collect()}
     assert got == {(i + 2, C.GUARD_LIMIT + i + len(f"{i},")) for i in long}
+
+
+def test_first_lines_of_small_files_need_no_python_task(spark, tmp_path, monkeypatch):
+    from tollgate.sources import csv_scan as S
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.csv").write_bytes(b"\xef\xbb\xbf\"name\",email\nx,y\n")
+    (inbox / "b.csv").write_bytes(b"email,name\r\n" + b"p,q\r\n" * 40)
+    (inbox / "c.csv").write_bytes(b"")
+
+    def firsts():
+        rows = S.first_lines(spark, str(inbox), S.read_lines(spark, str(inbox))).collect()
+        return sorted((r["file_path"][-5:], r["text"], r["file_size"], r["quoted"]) for r in rows)
+
+    python = []
+    monkeypatch.setattr(S, "scratch_path", lambda s, n, k=iter(range(9)): str(tmp_path / f"{n}-{next(k)}"))
+    cls = type(spark.range(1))
+    mapped = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda df, *a, **kw: python.append(df.count()) or mapped(df, *a, **kw))
+    expected = [("a.csv", '"name",email', 20, True), ("b.csv", "email,name\r", 212, False)]
+    assert firsts() == expected
+    assert python == [0]  # no line reached a Python task
+    monkeypatch.setattr(S, "SMALL_FILE", 100)  # b.csv is a large one now
+    assert firsts() == expected
+    assert python == [0, 41]
+
+
+def test_parsed_rows_are_cached_with_compiled_methods(spark, tmp_path, monkeypatch):
+    from tollgate.plans.pipeline import keep_validated
+    from tollgate.sources import csv_scan as S
+
+    path = tmp_path / "a.csv"
+    path.write_text("name,email,enrollment_date,course_id,score\nNia,n@x.org,2024-01-01,C1,5\n")
+    cls, seen = type(spark.range(1)), []
+    kept = cls.persist
+    monkeypatch.setattr(cls, "persist", lambda df, *a: seen.append(
+        ("violations" in df.columns, spark.conf.get("spark.sql.codegen.hugeMethodLimit"))) or kept(df, *a))
+    scan = S.scan_lines(S.read_lines(spark, str(path)), columns=S.REQUIRED_COLUMNS, keep=keep_validated())
+    scan.release()
+    assert [limit for rules, limit in seen if rules] == ["8000"]
+
+
+def test_audit_rules_are_not_copied_into_a_filter(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tollgate.sinks import table as TB
+
+    at = dt.datetime(2026, 1, 1)
+    rows = [("1", "Nia", "n@x.org", dt.date(2024, 1, 1), "C1", Decimal("5.00"), at), ("2", "M4", "bad", dt.date(2024, 1, 1), "C1", Decimal("5.00"), at)]
+    audit = TB.readback_audit(spark.createDataFrame(rows, TB.STUDENTS_SCHEMA).repartition(2))
+    assert [tuple(r) for r in audit.collect()] == [
+        ("2", "Corrupted student row 2: name: Name may only contain letters, spaces, hyphens and apostrophes; email: Email must be a valid address")]
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
