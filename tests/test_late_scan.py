@@ -382,3 +382,36 @@ def test_audit_rules_are_not_copied_into_a_filter(spark):
         ("2", "Corrupted student row 2: name: Name may only contain letters, spaces, hyphens and apostrophes; email: Email must be a valid address")]
     plan = audit._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
+
+
+def test_a_small_micro_batch_is_planned_without_shuffles(spark, tmp_path, monkeypatch):
+    """Few lines in one partition have the outcome that they have otherwise, by plans of a single stage."""
+    from pyspark.sql import DataFrame
+
+    inbox, _ = make_files(tmp_path, 6)
+    known = spark.createDataFrame([("p1x1@tal.ch",), ("p0x2@tal.ch",)], "email string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+    def facts(few: bool):
+        lines = S.read_lines(spark, inbox).select("*")  # as a micro-batch: not known to be of these paths
+        scan = S.scan_lines(lines, S.REQUIRED_COLUMNS, check_header=False, check_size=False, columns=S.REQUIRED_COLUMNS, keep=P.keep_validated())
+        assert (scan.few, scan.placed) == (few, few)
+        with S.settings(spark, scan.settings):
+            scan = scan.without([1])
+            out = P.scan_outcome(scan, lambda keys: keys.join(F.broadcast(known), "email", "left_semi").distinct(), 7)
+            ends = out.boundaries(14)
+            line = {p: n for p, n in ends}
+            mark = ends[1][0]
+            rows = lambda df: sorted(map(str, df.collect()))
+            frames: list[DataFrame] = [out.rejections(), out.accepted(), out.accepted(steps=(14, ends))]
+            if few:
+                assert not [f for f in frames if "Exchange hash" in plan(f) or "Exchange range" in plan(f)]
+            got = [rows(f) for f in frames] + [rows(out.accepted(None, mark).select("email")), out.counts(), out.counts(None, mark),
+                   out.counts(mark, None), sorted(line.values()), out.step_counts(14, ends), [f[1:] for f in scan.listing]]
+        out.release()
+        scan.release()
+        return got
+
+    small = facts(True)
+    monkeypatch.setattr(S, "SHUFFLE_BYTES", 1)
+    assert small == facts(False)
