@@ -415,3 +415,21 @@ def test_a_small_micro_batch_is_planned_without_shuffles(spark, tmp_path, monkey
     small = facts(True)
     monkeypatch.setattr(S, "SHUFFLE_BYTES", 1)
     assert small == facts(False)
+
+
+def test_the_samples_of_files_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """100 violations reach the driver, however many files there are; a file's when they are asked for."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for k in range(3):
+        (inbox / f"f{k}.csv").write_text(HEADER + "\n" + "".join(f"Q,p{k}x{i}@tal.ch,2023-05-06,b,5\n" for i in range(60 + 50 * k)))
+    cls, got = type(spark.range(1)), []
+    collect = cls.collect
+    monkeypatch.setattr(cls, "collect", lambda df: got.append(rows := collect(df)) or rows)
+    res = import_csv(spark, str(inbox), str(tmp_path / "t"), run_ts=TS)
+    assert max(map(len, got)) == 100 and sum(len(r) > 10 for r in got) == 1
+    assert [(e["file_seq"], e["line_number"]) for e in res.errors] == [(0, n) for n in range(2, 62)] + [(1, n) for n in range(2, 42)]
+    by_file = [[e["line_number"] for e in res.file_errors[p]] for p in sorted(res.file_errors)]
+    assert by_file == [list(range(2, 62)), list(range(2, 102)), list(range(2, 102))] and len(res.file_errors) == 3
+    with pytest.raises(KeyError):
+        res.file_errors["no such file"]
