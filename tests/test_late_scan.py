@@ -433,3 +433,26 @@ def test_the_samples_of_files_stay_off_the_driver(spark, tmp_path, monkeypatch):
     assert by_file == [list(range(2, 62)), list(range(2, 102)), list(range(2, 102))] and len(res.file_errors) == 3
     with pytest.raises(KeyError):
         res.file_errors["no such file"]
+
+
+def test_steps_are_published_in_groups(spark, tmp_path, monkeypatch):
+    """Many steps, few entries and moves; a stop inside a group stores its first steps; a run that stops soon has written little ahead."""
+    inbox, files = make_files(tmp_path, 3, n_files=2)
+    order, _ = sequential(files, set(), 5)
+    assert P.step_groups(3, 20, 10) == [(3, 4), (4, 6), (6, 10), (10, 18), (18, 20)]
+    assert P.step_groups(0, 3, 10 ** 6) == [(0, 1), (1, 2), (2, 3)]
+    kw, written, real = dict(batch_size=5, run_ts=TS, step_rows=5), [], TB.stage_steps
+    monkeypatch.setattr(TB, "stage_steps", lambda rows, *a: written.append(rows.count()) or real(rows, *a))
+    done = lambda p: [e for e in P.Progress(spark, p).entries if e["state"] == "done"]
+    import_csv(spark, inbox, str(tmp_path / "t"), progress=str(tmp_path / "p"), **kw)
+    steps = sum(sum(ok for *_, ok in f) // 5 for _, f in files) + 1
+    assert steps > 20 and len(done(str(tmp_path / "p"))) == len(P.step_groups(0, steps, 5)) <= 6 and written == [len(order)]
+    monkeypatch.setattr(P.StagedSteps, "AHEAD", 1)
+    written.clear()
+    target, progress = str(tmp_path / "t2"), str(tmp_path / "p2")
+    first = import_csv(spark, inbox, target, progress=progress, should_stop=lambda rows: rows >= 30, **kw)  # within (3, 7)
+    assert first.aborted and 30 <= first.total_processed < 40 and sum(written) < len(order)
+    assert stored(spark, target) == order[: first.total_imported] and done(progress)[-1]["processed"] == first.total_processed
+    rest = import_csv(spark, inbox, target, progress=progress, **kw)
+    assert first.total_imported + rest.total_imported == len(order) and sorted(stored(spark, target)) == sorted(order)
+    assert stored(spark, target) == order
